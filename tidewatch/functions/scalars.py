@@ -11,8 +11,22 @@ from tidewatch.schema import METHODS, SUSPICIOUS_PATTERNS
 
 # The characters a Python string treats as white space.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-BLANK_LINE = f"^[{SPACE}]*$"
-EDGE_SPACE = f"^[{SPACE}]+|[{SPACE}]+$"
+SPACE_CHARACTERS = "".join(
+    chr(c)
+    for low, high in (
+        (0x09, 0x0D),
+        (0x1C, 0x20),
+        (0x85, 0x85),
+        (0xA0, 0xA0),
+        (0x1680, 0x1680),
+        (0x2000, 0x200A),
+        (0x2028, 0x2029),
+        (0x202F, 0x202F),
+        (0x205F, 0x205F),
+        (0x3000, 0x3000),
+    )
+    for c in range(low, high + 1)
+)
 
 _INTEGER = r"^[+-]?\d+(_\d+)*$"
 _OCTET = r"(?:\+?0*(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)|-0+)"
@@ -24,11 +38,11 @@ _ISO_TIME = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}[{SPACE}]+\d{{1,2}}:\d{{1,2}}:\d{{1,2
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(BLANK_LINE)
+    return strip(F.coalesce(text, F.lit(""))) == ""
 
 
 def to_int(text: Column) -> Column:

@@ -14,7 +14,7 @@ def _moments(features: DataFrame, names: list[str]) -> DataFrame:
         stats.append(
             F.struct(
                 F.avg(F.col(c).cast("double")).alias("mean"),
-                F.when(F.min(c) == F.max(c), F.lit(1.0)).otherwise(deviation).alias("scale"),
+                F.when(deviation == 0.0, F.lit(1.0)).otherwise(deviation).alias("scale"),
             ).alias(c)
         )
     return features.agg(*stats)

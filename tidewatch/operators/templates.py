@@ -23,9 +23,8 @@ def with_signature(df: DataFrame, line: str = "raw") -> DataFrame:
 def signatures(df: DataFrame, line: str = "raw") -> DataFrame:
     """Distinct signatures with their row count and first line; copies collapse before the shuffle."""
     return (
-        with_signature(df, line)
-        .filter("signature IS NOT NULL")
-        .groupBy("signature")
+        df.filter(~S.is_blank(F.col(line)))
+        .groupBy(S.mask_line(S.strip(F.col(line))).alias("signature"))
         .agg(F.count("*").alias("n"), F.min("line_no").alias("first_line_no"))
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LINE = """
 case
@@ -28,8 +29,16 @@ end
 
 def access_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_no, ingest_ts, line) from ``events.parquet``."""
-    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return from_events(spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core when a scan has fewer splits than the session has cores; else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def from_events(events: DataFrame) -> DataFrame:
-    return events.selectExpr("event_id as line_no", "ts as ingest_ts", f"{_LINE} as line")
+    # generated, so that the text is built once per row however often later steps refer to it
+    line = F.inline(F.array(F.struct(F.expr(_LINE).alias("line"))))
+    return events.select(F.col("event_id").alias("line_no"), F.col("ts").alias("ingest_ts"), line)
