@@ -39,10 +39,12 @@ def ip_statistics(
 
     ``hash`` sends each address to one task: one shuffle. ``chunked`` holds for any skew: the rows
     are range-ordered, cut into chunks of ``chunk_rows`` and given a look-back margin, so one
-    address can fill many tasks. ``auto`` counts requests per address first and takes ``chunked``
-    when the busiest one exceeds ``max_group_rows``.
+    address can fill many tasks. ``auto`` stores the rows once, counts requests per address from
+    the stored ``ip`` column alone, and takes ``chunked`` when the busiest one exceeds
+    ``max_group_rows``.
     """
     if strategy == "auto":
+        df = freeze(df, "requests")
         busiest = df.groupBy("ip").count().agg(F.max("count")).first()[0] or 0
         strategy = "chunked" if busiest > max_group_rows else "hash"
     if strategy == "hash":

@@ -76,11 +76,8 @@ def mine_templates(
         ),
         "merged",
     )
-    named = freeze(
-        lookup(shapes, merged, ["bucket", "shape"]).select(
-            "signature", "n", "first_line_no", "template"
-        ),
-        "named",
+    named = lookup(shapes, merged, ["bucket", "shape"]).select(
+        "signature", "n", "first_line_no", "template"
     )
     totals = named.groupBy("template").agg(
         F.sum("n").alias("n"), F.min("first_line_no").alias("first_line_no")

@@ -25,7 +25,7 @@ from tidewatch.operators.templates import (
 )
 from tidewatch.plans.detector import Detector, DetectorModel, alerts, record_fields
 from tidewatch.schema import FEATURE_GROUPS, feature_names
-from tidewatch.session import configure, freeze, scratch_path
+from tidewatch.session import configure, freeze, scratch_path, spread
 from tidewatch.sources.access_logs import access_logs, from_events
 from tidewatch.sources.text import lines_of, scan_lines, write_lines
 from tidewatch.streaming import jobs
@@ -75,7 +75,8 @@ def parse_output(parsed: DataFrame) -> DataFrame:
 
 
 def document_lines(spark, sf_dir) -> DataFrame:
-    lines = lines_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    lines = lines_of(documents, "doc_id", "text")
     return lines.select((F.col("doc_id") * 1000000 + F.col("place")).alias("line_no"), "line")
 
 

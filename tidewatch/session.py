@@ -31,6 +31,7 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.files.openCostInBytes", "262144")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -64,3 +65,9 @@ def freeze(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core when a scan has fewer splits than the session has cores; else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import spread
+
 _LINE = """
 case
  when event_id % 100 = 13 then ''
@@ -32,12 +34,6 @@ def access_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core when a scan has fewer splits than the session has cores; else unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def from_events(events: DataFrame) -> DataFrame:
     # generated, so that the text is built once per row however often later steps refer to it
     line = F.inline(F.array(F.struct(F.expr(_LINE).alias("line"))))
