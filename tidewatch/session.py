@@ -31,7 +31,6 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.files.openCostInBytes", "262144")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
