@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -47,6 +47,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, body: Callable) -> Column:
+    """``body`` of a value that is computed once for a row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def worker_cache(name: str, make: Callable):
     """Value kept by the Python worker process between tasks; a lost worker only rebuilds it."""
     holder = sys.modules.setdefault("_tidewatch_worker", types.ModuleType("_tidewatch_worker"))
