@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import json
 import re
+import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
@@ -24,10 +27,22 @@ from tidewatch.llm.common import map_text, worker_cache
 
 _SHIFT = 20  # labels are below 2**20
 _NEVER = 1 << 40
-_CACHE = 1_000_000  # chunks a worker remembers before it starts anew
+_CACHE = 200_000  # words of a generation that a worker remembers
 
-# The pre-split of the vocabulary file, for ASCII text.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# The pre-split of the vocabulary file. White space is spelled out, as the file's
+# pattern takes the Unicode property and Python's also takes U+001C to U+001F.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+# Texts with other characters go through the library's own normalizer and pre-split, so that
+# neither the version of Unicode nor rules of lower-casing can differ.
+_BEYOND = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+
+
+def byte_chars() -> dict[str, int]:
+    """The visible character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 class MergeAutomaton:
@@ -57,13 +72,29 @@ class MergeAutomaton:
         spelled = {t: (t,) for t in base}
         for uv, (u, v) in made.items():  # in order of rank, so the parts are spelled already
             spelled[uv] = spelled[u] + spelled[v]
-        # trie of the labels over base symbols; a node is {symbol: (label or -1, following node)}
+        # trie of the labels over base symbols; an entry is [label or -1, following node or None]
         self.root: dict = {}
+        self.length = [0] * (max(spelled) + 1)
         for label, path in spelled.items():
+            self.length[label] = len(path)
             node = self.root
             for symbol in path[:-1]:
-                node = node.setdefault(symbol, [-1, {}])[1]
-            node.setdefault(path[-1], [-1, {}])[0] = label
+                entry = node.get(symbol)
+                if entry is None:
+                    entry = node[symbol] = [-1, {}]
+                elif entry[1] is None:
+                    entry[1] = {}
+                node = entry[1]
+            node.setdefault(path[-1], [-1, None])[0] = label
+        # the longest label that is a proper prefix of a label, or -1
+        self.shorter = [-1] * len(self.length)
+        for label, path in spelled.items():
+            node = self.root
+            for symbol in path[:-1]:
+                entry = node[symbol]
+                if entry[0] >= 0:
+                    self.shorter[label] = entry[0]
+                node = entry[1]
         self.known: dict[int, bool] = {}
 
     def has_arc(self, state: int, label: int, below: int = _NEVER) -> bool:
@@ -78,49 +109,50 @@ class MergeAutomaton:
             # the arc came with its gadget, wherever its left part could be read then
             label, below = self.left[label], min(below, rank + 1)
 
-    def _onward(self, symbols: list[int], place: int) -> list[tuple[int, int]]:
-        """Labels spelled from ``place`` with the places they lead to, shortest first."""
-        found, node = [], self.root
-        for k in range(place, len(symbols)):
-            entry = node.get(symbols[k])
+    def _longest(self, symbols: list[int], place: int, n: int) -> int:
+        node, found = self.root, -1
+        while place < n and node:
+            entry = node.get(symbols[place])
             if entry is None:
                 break
             if entry[0] >= 0:
-                found.append((entry[0], k + 1))
+                found = entry[0]
             node = entry[1]
+            place += 1
         return found
 
     def encode(self, symbols: list[int]) -> list[int]:
         """Labels on the only path through the word; each place is given up at most once."""
-        n, known, path = len(symbols), self.known, []
-        if not n:
-            return path
-        given_up = bytearray(n + 1)
-        open_ = [self._onward(symbols, 0)]
-        places = [0]
-        while True:
-            if not open_[-1]:
-                given_up[places.pop()] = 1
-                open_.pop()
-                path.pop()
-                continue
-            label, place = open_[-1].pop()
-            if given_up[place]:
-                continue
-            if path:
-                arc = path[-1] << _SHIFT | label
-                allowed = known.get(arc)
-                if allowed is None:
-                    if len(known) > 2_000_000:
-                        known.clear()
-                    allowed = known[arc] = self.has_arc(path[-1], label)
-                if not allowed:
-                    continue
-            path.append(label)
-            if place == n:
-                return path
-            places.append(place)
-            open_.append(self._onward(symbols, place))
+        n, known, length, shorter = len(symbols), self.known, self.length, self.shorter
+        path: list[int] = []
+        given_up = None
+        place, label = 0, self._longest(symbols, 0, n)
+        while place < n:
+            while label >= 0:
+                if given_up is None or not given_up[place + length[label]]:
+                    if not path:
+                        break
+                    arc = path[-1] << _SHIFT | label
+                    allowed = known.get(arc)
+                    if allowed is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        allowed = known[arc] = self.has_arc(path[-1], label)
+                    if allowed:
+                        break
+                label = shorter[label]
+            if label >= 0:
+                path.append(label)
+                place += length[label]
+                label = self._longest(symbols, place, n)
+            else:
+                if given_up is None:
+                    given_up = bytearray(n + 1)
+                given_up[place] = 1
+                label = path.pop()
+                place -= length[label]
+                label = shorter[label]
+        return path
 
 
 class Codec:
@@ -144,45 +176,50 @@ class Codec:
         self.labels = [names.get(i, "") for i in range(max(names) + 1)]
         self.joint = "" if spec["decoder"] else " "
         symbols = self.automaton.symbols
-        self.inner = {s: i for s, i in symbols.items() if len(s) == 1}
-        self.final = {s: symbols[s + suffix] for s in self.inner if s + suffix in symbols}
-        self.words: dict[bytes, bytes] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        inner = self.inner
-        return self.automaton.encode([*(inner[c] for c in piece[:-1]), self.final[piece[-1]]])
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        """Ids of one run without ASCII white space, as little-endian 32-bit integers."""
-        text, ids = chunk.decode("utf-8", "replace"), []
-        for part in self.cut.split(text) if self.cut and b"<|" in chunk else (text,):
-            if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                if part.isascii() and part.isprintable():
-                    pieces = _ASCII_PIECES.findall(part.lower())
-                else:
-                    pieces = [
-                        p for p, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part))
-                    ]
-                for p in pieces:
-                    ids += self._piece(p)
-        return np.array(ids, "<i4").tobytes()
+        inner, final = [0] * 256, [0] * 256
+        for char, byte in byte_chars().items():
+            inner[byte], final[byte] = symbols[char], symbols[char + suffix]
+        self.inner, self.final = inner, final
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a pre-split word; words met lately are remembered in two generations."""
+        found = self.old.get(piece)
+        if found is None:
+            raw = piece.encode()
+            symbols = list(map(self.inner.__getitem__, raw))
+            symbols[-1] = self.final[raw[-1]]
+            ids = self.automaton.encode(symbols)
+            found = struct.pack(f"<{len(ids)}i", *ids)
+        if len(self.young) > _CACHE:
+            self.old, self.young = self.young, {}
+        self.young[piece] = found
+        return found
+
+    def pieces(self, text: str) -> list[str]:
+        """Words of a text as the vocabulary's normalizer and pre-split give them."""
+        if _BEYOND.search(text):
+            shown = self.pre.pre_tokenize_str(self.normalizer.normalize_str(text))
+            to_byte = byte_chars()
+            return [bytes(to_byte[c] for c in p).decode() for p, _ in shown]
+        return _PIECES.findall(unicodedata.normalize("NFC", text).lower())
 
     def encode(self, text: bytes) -> bytes:
-        """Ids of a text. White space ends a piece, so runs between it are encoded on their own."""
-        chunks = text.split()
-        words = self.words
-        try:
-            return b"".join([words[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(words) > _CACHE:
-            words.clear()
-        for c in chunks:
-            if c not in words:
-                words[c] = self._chunk(c)
-        return b"".join([words[c] for c in chunks])
+        """Ids of a text, as little-endian 32-bit integers."""
+        whole, out = text.decode("utf-8", "replace"), []
+        for part in self.cut.split(whole) if self.cut and "<|" in whole else (whole,):
+            if part in self.special:
+                out.append(struct.pack("<i", self.special[part]))
+                continue
+            get, piece = self.young.get, self._piece
+            for p in self.pieces(part):
+                found = get(p)
+                if found is None:
+                    found = piece(p)
+                    get = self.young.get
+                out.append(found)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         labels = self.labels
