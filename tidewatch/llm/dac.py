@@ -32,7 +32,7 @@ from tidewatch.llm.common import sliced, utf8, worker_cache
 MAGIC = b"DAC1"
 SEGMENT_IDS = 1 << 18
 _BLOCK = 512
-_CACHE = 600_000
+_CACHE = 1_000_000
 END_ID = 2
 
 
@@ -163,7 +163,8 @@ class LibraryIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
+        # without special tokens and other letters, case is dropped before the split of words
+        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
         runs = self.runs
         if len(runs) > _CACHE:
             runs.clear()
@@ -191,20 +192,24 @@ def write(
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    schema = "part int, place bigint, first_id bigint, n_docs bigint, n_ids bigint, doc_ids binary, no_id binary, codes binary"
+    schema = (
+        "part int, place bigint, before bigint, n_docs bigint, n_ids bigint, doc_ids binary,"
+        " no_id binary, codes binary"
+    )
 
     def run(batches):
         from pyspark import TaskContext
 
         own = worker_cache(f"ids:{vocabulary}", lambda: LibraryIds(vocabulary))
-        part, place = TaskContext.get().partitionId(), 0
+        part, place, before = TaskContext.get().partitionId(), 0, 0
         ids, docs, held = [], [], 0
 
         def segment():
             named = np.array([i or 0 for i in ids], "<i8")
             missing = np.array([i is None for i in ids], np.uint8)
             built = Segment.build(docs)
-            row = [part, place, ids[0], len(ids), built.n, named.tobytes(), missing.tobytes(), built.to_bytes()]
+            row = [part, place, before, len(ids), built.n, named.tobytes(), missing.tobytes()]
+            row.append(built.to_bytes())
             names = [c.split()[0] for c in schema.split(", ")]
             kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 3]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
@@ -217,6 +222,7 @@ def write(
                 held += len(docs[-1])
                 if held >= SEGMENT_IDS:
                     yield segment()
+                    before += held
                     ids, docs, held, place = [], [], 0, place + 1
         if ids:
             yield segment()
@@ -224,20 +230,11 @@ def write(
     ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
 
 
-def starts(spark: SparkSession, path: str) -> DataFrame:
-    """Ids before each segment: sums within a partition, then over the totals of partitions."""
-    manifest = spark.read.parquet(path).select("part", "place", "n_ids")
-    totals = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # one row for each written partition, so a single task orders a few thousand rows at most
-    before = totals.select(
-        "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")
-    )
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("place")) - F.col("n_ids")
-    return (
-        manifest.withColumn("inside", inside)
-        .join(F.broadcast(before), "part")
-        .select("part", "place", (F.col("before") + F.col("inside")).alias("start"))
-    )
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """Ids before each written partition: one row a partition, so few even for a huge table."""
+    sums = spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    return sums.select("part", before.alias("base"))
 
 
 def read(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
@@ -246,7 +243,8 @@ def read(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     parsed = _parse_datatype_string(schema)
-    segments = spark.read.parquet(path).join(starts(spark, path), ["part", "place"])
+    segments = spark.read.parquet(path).join(F.broadcast(totals(spark, path)), "part")
+    start = F.col("base") + F.col("before")
 
     def run(batches):
         out = to_arrow_schema(parsed)
@@ -262,7 +260,7 @@ def read(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
                     [pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out
                 )
 
-    return segments.select("doc_ids", "no_id", "codes", "start").mapInArrow(run, parsed)
+    return segments.select("doc_ids", "no_id", "codes", start.alias("start")).mapInArrow(run, parsed)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
