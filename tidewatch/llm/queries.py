@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, dac, decontaminate, licenses, pii, quality, toxicity, urls
+from tidewatch.llm import bpe, dac, decontaminate, licenses, minhash, pii, quality, toxicity, urls
 from tidewatch.llm.common import table
 from tidewatch.session import scratch_path
 
@@ -102,6 +102,11 @@ def op6_fm_index(spark, sf_dir):
     )
 
 
+@query
+def op7_minhash(spark, sf_dir):
+    return minhash.cluster(documents(spark, sf_dir))
+
+
 @query
 def op9_toxicity(spark, sf_dir):
     rows = documents(spark, sf_dir)
