@@ -11,14 +11,16 @@ executor costs its own slices and nothing else.
 
 from __future__ import annotations
 
-import hashlib
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidewatch.llm.common import Stash, alnum_words, fresh, map_text
+from tidewatch.llm.common import Stash, alnum_words, fresh, map_text, sliced, utf8
 
 WINDOW = 10
 SAMPLE = 8
@@ -259,8 +261,6 @@ def find(
     """
 
     def search(rows: DataFrame, block: list) -> DataFrame:
-        from pyspark.sql.types import StringType
-
         named = [(str(i), t) for i, t in block if i is not None]
         shipped = rows.sparkSession.sparkContext.broadcast(named)
         fields = [
@@ -331,8 +331,6 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """``text`` without the words of ``spans`` and what stands between the words of one span."""
     if not spans:
         return text
-    import re
-
     places = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text)]
     out, at = [], 0
     for start, end in spans:
@@ -341,5 +339,27 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``df`` with the hit words cut out of its texts.
+
+    Texts without a hit stay as they are, null ones too. A text that has no word left was benchmark
+    text as a whole; its row goes. ``df`` must not have columns n_words, spans or items.
+    """
+    found = find(df, benchmark, text, **options)
+    schema = df.schema
+    at, spans_at = df.columns.index(text), len(df.columns) + 1
+
+    def run(batches):
+        for batch in sliced(batches, text):
+            texts, out, keep = utf8(batch.column(at)), [], []
+            for raw, spans in zip(texts, batch.column(spans_at).to_pylist()):
+                left = remove(raw, [(s["start"], s["end"]) for s in spans])
+                keep.append(not spans or bool(alnum_words(left)))
+                out.append(left)
+            new = pa.array(out, pa.binary()).cast(pa.string())
+            valid = batch.column(at).is_valid()
+            columns = list(batch.columns[: len(schema)])
+            columns[at] = pc.if_else(valid, new, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=df.columns).filter(pa.array(keep, pa.bool_()))
+
+    return found.select(*df.columns, "n_words", "spans").mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, dac, decontaminate, licenses, minhash, pii, quality, toxicity, urls
+from tidewatch.llm import bpe, dac, decontaminate, licenses, minhash, pii, quality, repeats, toxicity, urls
 from tidewatch.llm.common import table
 from tidewatch.session import scratch_path
 
@@ -107,6 +107,19 @@ def op7_minhash(spark, sf_dir):
     return minhash.cluster(documents(spark, sf_dir))
 
 
+@query
+def op8_run_index(spark, sf_dir):
+    found = repeats.remove(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op9_toxicity(spark, sf_dir):
     rows = documents(spark, sf_dir)
