@@ -346,8 +346,8 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) ->
     text as a whole; its row goes. ``df`` must not have columns n_words, spans or items.
     """
     found = find(df, benchmark, text, **options)
-    schema = df.schema
-    at, spans_at = df.columns.index(text), len(df.columns) + 1
+    schema, names = df.schema, df.columns
+    at, spans_at = names.index(text), len(names) + 1
 
     def run(batches):
         for batch in sliced(batches, text):
@@ -358,8 +358,8 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) ->
                 out.append(left)
             new = pa.array(out, pa.binary()).cast(pa.string())
             valid = batch.column(at).is_valid()
-            columns = list(batch.columns[: len(schema)])
+            columns = list(batch.columns[: len(names)])
             columns[at] = pc.if_else(valid, new, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=df.columns).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     return found.select(*df.columns, "n_words", "spans").mapInArrow(run, schema)
