@@ -1,0 +1,195 @@
+"""Personal data, URL filters and quality rules beside plain Python."""
+
+import collections
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from tidewatch.llm import pii, quality, urls
+from tidewatch.llm.queries import QUERIES
+
+KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(n if i % 2 == 0 else 2 * n - 9 * (n > 4) for i, n in enumerate(map(int, digits[::-1]))) % 10 == 0
+
+
+def personal(text):
+    out = []
+    for kind, pattern in KINDS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            good = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m.group().split(".")),
+                "card": lambda: 13 <= len(digits) <= 19 and luhn(digits),
+                "phone": lambda: 9 <= len(digits) <= 15,
+            }[kind]
+            if good():
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+CASES = [
+    "x@y@z.com a.b@c.de_f@g.h.i a@b a@b. .@-.-",
+    "1.2.3.4.5.6.7.8 256.1.1.1 01.002.0003.4 1.2.3 999.1.2.3.4",
+    "4111 1111 1111 1111 4111-1111-1111-1112 0 1 2 3 4 5 6 7 8 9 0 1 2 3 12345678901234567890",
+    "+1 (555) 123-4567 +12345678 ++1 234 567 890 +1 ((((",
+    "é🎉a@b.cd日本 1.2.3.4 🎉" * 3,
+    "a" * 5000 + "@" + "b." * 3000,
+    "1 " * 4000,
+]
+
+
+def test_patterns_equal_plain_search(spark, hard, nothing):
+    rows = [(i, t) for i, t in enumerate(CASES)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for table in (df, hard.select("doc_id", "text")):
+        found = pii.attach(table, pii.find(table), "doc_id", "text").collect()
+        assert len(found) == table.count()
+        for r in found:
+            assert [tuple(s[k] for k in ("kind", "start", "end")) for s in r.spans] == personal(r.text)
+    assert pii.find(nothing).count() == 0
+
+
+def test_terms_that_give_an_entity_away(spark):
+    rows = [(i, f"note {i} agent zorblax wrote from z@x.org about item{i} the plan") for i in range(8)]
+    rows += [(100 + i, f"the plan of day {i} is about nothing and note {i}") for i in range(60)]
+    rows += [(200 + i, f"the about mail u{i}@x.org note") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r for r in pii.attach(df, pii.find(df), "doc_id", "text").collect()}
+    for i in range(8):
+        terms = {out[i].text[s["start"] : s["end"]] for s in out[i].spans if s["kind"] == "term"}
+        assert {"zorblax", "agent", "wrote"} <= terms and not terms & {"the", "about", "note", f"item{i}"}
+    assert all(s["kind"] == "email" for i in range(8) for s in out[200 + i].spans)
+    copies = spark.createDataFrame([(i, rows[0][1]) for i in range(50)] + rows[8:], df.schema)
+    # fifty copies of one text are one witness
+    assert all(s["kind"] != "term" for r in pii.attach(copies, pii.find(copies), "doc_id", "text").collect() for s in r.spans)
+
+
+def test_redaction_masks_spans(spark):
+    kinds = "array<struct<kind:string,start:bigint,end:bigint>>"
+    rows = [
+        ("mail a@b.cd 🎉 now", [("email", 5, 11)]),
+        ("abcdef", [("card", 1, 4), ("phone", 2, 6)]),
+        ("x", []),
+        (None, []),
+    ]
+    df = spark.createDataFrame(rows, f"text string, spans {kinds}")
+    got = [r[0] for r in df.select(pii.redact(F.col("text"), F.col("spans"))).collect()]
+    assert got == ["mail [EMAIL] 🎉 now", "a[CARD]", "x", None]
+
+
+def test_personal_data_query(spark, sf_dir):
+    documents = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op1_disclosure"](spark, sf_dir).collect()
+    assert {r.doc_id for r in rows} == set(documents)
+    for r in rows:
+        own = personal(documents[r.doc_id])
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in own)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert r.spans == joined or r.spans.startswith(joined)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in own) for k in KINDS]
+
+
+def test_hosts_paths_and_rules(spark):
+    cases = {
+        None: ("", "", None, None),
+        "": ("", "", None, None),
+        "example.com/en/": ("", "", None, None),
+        "http://EXAMPLE.com/en/x?q=/en/#f": ("example.com", "/en/x", "example.com/en/", "block"),
+        "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "http://a.www.example.com/en/a": ("a.www.example.com", "/en/a", "www.example.com/en/", "allow"),
+        "https://x.com/": ("x.com", "/", "com/", "allow"),
+        "https://x.com": ("x.com", "", None, None),
+        "https://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
+        "a://b://c.net/es/1": ("b:", "//c.net/es/1", None, None),
+        "://net/fr/": ("net", "/fr/", "net/fr/", "block"),
+        "http://h.net#/es/": ("h.net", "", None, None),
+    }
+    df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(cases)], "page_id int, url string, rule string")
+    model = urls.fit(df, "url")
+    rows = urls.judge(df, model).collect()
+    assert len(rows) == len(cases)
+    for r in rows:
+        host, path, rule, verdict = cases[r.url]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+    empty = df.limit(0)
+    assert urls.judge(empty, urls.fit(empty)).count() == 0
+
+
+def test_url_trees_beat_the_majority_on_held_out_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rule, verdict = urls.ruled()
+    known = urls.parts(pages).withColumn("truth", verdict).filter("truth is not null")
+    held = known.filter(F.crc32("url") % 4 == 0).select("page_id", "url", "truth")
+    model = urls.fit(known.filter(F.crc32("url") % 4 != 0).select("page_id", "url"))
+    # without rules, so that the trees decide
+    rows = urls.judge(held, model, rules=()).collect()
+    right = sum(r.verdict == r.truth for r in rows) / len(rows)
+    most = max(collections.Counter(r.truth for r in rows).values()) / len(rows)
+    assert right > 0.95 and right > most
+
+
+def repeated(words):
+    seen = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    return len({j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)})
+
+
+def counts(text):
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    seen, same = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            same += line in seen
+            seen.add(line)
+    joined = "".join(words)
+    hit = repeated(words)
+    failed = len(words) < 20 or 100 * hit > 30 * len(words)
+    return len(words), len(joined), sum(c in "#*$%&|<>" for c in joined), same, hit, failed
+
+
+def test_measures_equal_plain_counts(spark, hard):
+    rows = [
+        (1, "a b c d e f g h " * 3),
+        (2, "a b c d e f g h i a b c d e f g h"),
+        (3, " x \n x \n\n\t\n x \n|#|<>"),
+        (4, "\u00a0 \u2003x\x1c y 🎉"),
+        (5, "a  b\tc\nd e f g h\ra b c d e f g h i j"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for table in (df, hard.select("doc_id", "text")):
+        for r in quality.measures(table).collect():
+            got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+            assert got == counts(r.text)[:5]
+
+
+def test_quality_query(spark, sf_dir):
+    documents = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op5_host_rules"](spark, sf_dir).collect()
+    assert len(rows) == len(documents)
+    for r in rows:
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+        assert got == counts(documents[r.doc_id])
+        assert not (r.kept and r.base_failed)
+
+
+def test_hosts_are_shrunk_to_the_prior_and_judged(spark, nothing):
+    good = " ".join(f"word{i}" for i in range(40))
+    bad = good + " " + "#### " * 30
+    rows = [(i, good, "clean") for i in range(200)] + [(1000 + i, bad, "junk") for i in range(200)]
+    rows += [(2000 + i, good, "junk") for i in range(3)] + [(3000, bad, "tiny"), (3001, good, None), (3002, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert all(out[i].kept for i in range(200)) and out[3001].kept and not out[3002].kept
+    assert not any(out[1000 + i].kept for i in range(200)) and not out[2000].kept
+    assert out[2000].host_rate > 0.9 and out[0].host_rate < 0.1 and 0.1 < out[3000].host_rate < 0.95
+    assert quality.judge(nothing.withColumn("source", F.lit("a"))).count() == 0

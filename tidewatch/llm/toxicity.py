@@ -31,6 +31,8 @@ GRAMS = 1 << 14
 ROWS = 2500
 WINDOWS = 10
 ROUNDS = 10
+BATCH = 64
+LEAST_STEPS = 30
 CUTOFF = 0.7
 _CACHE = 150_000
 
@@ -279,9 +281,10 @@ def train(sample: list[tuple[list[bytes], int]], rounds: int = ROUNDS, seed: int
             scorer = Scorer(network)
             scores, _ = scorer.windows([b" ".join(t) for t in flat])
             chosen = np.array([f + int(np.argmax(scores[f : f + c])) for f, c in zip(first, counts)])
-        order = rng.permutation(len(sample))
-        for start in range(0, len(order), 64):
-            at = order[start : start + 64]
+        # a small sample is gone through more than once
+        order = np.resize(rng.permutation(len(sample)), max(len(sample), LEAST_STEPS * BATCH))
+        for start in range(0, len(order), BATCH):
+            at = order[start : start + BATCH]
             g = network.step([flat[chosen[i]] for i in at], label[at])
             norm = float(np.sqrt(sum(float((v**2).sum()) for v in g.values())))
             steps += 1
