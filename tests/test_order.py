@@ -150,7 +150,7 @@ def test_quantiles_beyond_one_task(spark, shape):
     }[shape]
     df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(4)
     asked = [0.0, 0.05, 0.25, 0.5, 0.733, 0.95, 1.0]
-    found = quantiles.quantiles(df, "x", asked, in_one_task=60).first()[0]
+    found = quantiles.quantiles(df, "x", asked, gather=60).first()[0]
     assert found == pytest.approx(list(np.percentile(values, [100 * p for p in asked])), rel=1e-12)
     assert quantiles.quantiles(df, "x", asked).first()[0] == pytest.approx(found, rel=1e-9)
 
@@ -167,7 +167,7 @@ def test_thresholds(spark):
     }
     for method, value in wanted.items():
         for limit in (100, 10**6):
-            assert quantiles.threshold(df, method, in_one_task=limit).first()[0] == pytest.approx(value)
+            assert quantiles.threshold(df, method, gather=limit).first()[0] == pytest.approx(value)
     assert quantiles.threshold(df, "static", value=4.0).first()[0] == 4.0
     with pytest.raises(ValueError):
         quantiles.threshold(df, "static")

@@ -19,7 +19,8 @@ _SLOT_MASK = (1 << _SLOT_BITS) - 1
 # Bounds under which a dictionary may be sent to every executor.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+# Rows of one key group that the driver looks at to find a cut.
+CUT_ROWS = 1000
 
 
 def _dense(stored: DataFrame, name: str, slot: str = "_slot") -> DataFrame:
@@ -95,34 +96,37 @@ def keep_lowest(
 ) -> DataFrame:
     """Mark exactly the ``quota(total)`` rows with the smallest hex keys.
 
-    A histogram over the first four hex digits (65,536 counts at most) finds the digit group the
-    cut falls into. Rows of other groups are decided where they stand; only that one group,
-    about 1/65,536 of the rows, is ranked.
+    A histogram over four hex digits (65,536 counts at most) finds the group the cut falls into;
+    inside a group that is still large the next four digits are counted. A small group gives the
+    cut itself, so every row is then decided where it stands, by one comparison. ``row_id`` must be
+    unique, as the keys are made of it.
     """
-    keyed = df.withColumn("_key", key).withColumn("_group", F.substring("_key", 1, 4))
-    counts = keyed.groupBy("_group").agg(F.count("*").alias("_n"))
+    keyed = df.withColumn("_key", key)
+    cut, prefix, want = "", "", None
     running = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = counts.select(
-        "_group",
-        (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
-        quota(F.sum("_n").over(Window.partitionBy())).cast("bigint").alias("_quota"),
-    ).filter(F.col("_before") < F.col("_quota"))
-    # one row: the group of the cut and how many of its rows are still wanted
-    cut = reached.agg(
-        F.struct(
-            F.coalesce(F.max("_group"), F.lit("")).alias("at"),
-            F.coalesce(F.max("_quota") - F.max("_before"), F.lit(0)).alias("want"),
-        ).alias("cut")
-    )
-    tagged = keyed.withColumn("_cut", cut.scalar())
-    elsewhere = tagged.filter(F.col("_group") != F.col("_cut.at")).withColumn(
-        name, F.col("_group") < F.col("_cut.at")
-    )
-    rank = F.row_number().over(Window.partitionBy("_group").orderBy("_key", row_id))
-    at_cut = tagged.filter(F.col("_group") == F.col("_cut.at")).withColumn(
-        name, rank <= F.col("_cut.want")
-    )
-    return elsewhere.unionByName(at_cut).drop("_key", "_group", "_cut")
+    while True:
+        inside = keyed.filter(F.col("_key").startswith(prefix)) if prefix else keyed
+        counts = inside.groupBy(F.substring("_key", len(prefix) + 1, 4).alias("_group")).agg(
+            F.count("*").alias("_n")
+        )
+        wanted = quota(F.sum("_n").over(Window.partitionBy())) if want is None else F.lit(want)
+        at = (
+            counts.select(
+                "_group", "_n", (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
+                wanted.cast("bigint").alias("_quota"),
+            )
+            .filter(F.col("_before") < F.col("_quota"))
+            .orderBy(F.desc("_group"))
+            .first()
+        )
+        if at is None:
+            break  # nothing is wanted, or there is no row
+        prefix, want = prefix + at["_group"], min(at["_quota"] - at["_before"], at["_n"])
+        if at["_n"] <= CUT_ROWS or len(prefix) >= 32:
+            rows = keyed.filter(F.col("_key").startswith(prefix)).select("_key").orderBy("_key")
+            cut = rows.limit(want).collect()[-1]["_key"]
+            break
+    return keyed.withColumn(name, F.col("_key") <= cut).drop("_key")
 
 
 def fits_broadcast(df: DataFrame, text_columns: list[str]) -> bool:
@@ -130,26 +134,19 @@ def fits_broadcast(df: DataFrame, text_columns: list[str]) -> bool:
     size = F.lit(0)
     for c in text_columns:
         size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-    found = (
-        df.select(size.cast("bigint").alias("_bytes"))
-        .limit(BROADCAST_ROWS + 1)
-        .agg(F.count("*").alias("n"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("b"))
-        .first()
-    )
+    found = df.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("b")
+    ).first()
     return found["n"] <= BROADCAST_ROWS and found["b"] <= BROADCAST_BYTES
 
 
 def lookup(rows: DataFrame, dictionary: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join a dictionary with unique keys to rows.
 
-    A dictionary of checked small size is broadcast. A larger one is joined on (key, salt): each
-    row draws a salt from its other columns and the dictionary is repeated per salt, so a key
-    that fills a third of the rows is spread over many tasks.
+    A dictionary of checked small size is broadcast. For a larger one each key meets its rows by a
+    shuffle; a key that fills a large share of the rows is split by the adaptive skew-join rule,
+    and the dictionary is sent once.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(dictionary, dictionary.columns):
-        return rows.join(F.broadcast(dictionary), on, how)
-    others = [c for c in rows.columns if c not in on]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    repeated = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    small = fits_broadcast(dictionary, dictionary.columns)
+    return rows.join(F.broadcast(dictionary) if small else dictionary, on, how)

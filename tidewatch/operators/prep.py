@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +61,7 @@ def prepare_training_data(
 
 def require_samples(df: DataFrame, min_samples: int = 1000) -> DataFrame:
     """Return ``df``, or raise when it has fewer than ``min_samples`` rows."""
-    found = df.limit(min_samples).count()
+    found = df.count()
     if found < min_samples:
         raise ValueError(f"need at least {min_samples} lines, got {found}")
     return df
@@ -78,7 +76,3 @@ def assign_batches(df: DataFrame, batch_size: int = 100, order: str = "line_no")
     """Add ``batch_id``: consecutive runs of ``batch_size`` rows in the order of ``order``."""
     numbered = number_rows(df, [order], "_pos")
     return numbered.withColumn("batch_id", F.floor(F.col("_pos") / batch_size)).drop("_pos")
-
-
-def batch_count(total: int, batch_size: int) -> int:
-    return math.ceil(total / batch_size)

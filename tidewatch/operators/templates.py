@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
@@ -40,146 +38,151 @@ def template_signatures(df: DataFrame, line: str = "raw") -> DataFrame:
     )
 
 
+def _bucketed(found: DataFrame) -> DataFrame:
+    """Add ``tokens``, ``lead`` (the first token, the wildcard if it holds a digit) and ``length``."""
+    first = F.get("tokens", F.lit(0))
+    return found.withColumn("tokens", F.split("signature", f"[{S.SPACE}]+")).withColumns(
+        {
+            "length": F.size("tokens"),
+            "lead": F.when(first.rlike(r"\d"), F.lit(WILDCARD)).otherwise(first),
+        }
+    )
+
+
+def _bucket(lead) -> Column:
+    return F.concat_ws("\x01", F.col("length").cast("string"), lead)
+
+
+def _shape(tokens: str, open_places: str) -> Column:
+    return F.array_join(
+        F.transform(
+            tokens,
+            lambda t, i: F.when(F.array_contains(F.col(open_places), i), F.lit(WILDCARD)).otherwise(t),
+        ),
+        " ",
+    )
+
+
 def mine_templates(
     df: DataFrame,
     line: str = "raw",
     similarity: float = 0.5,
     depth: int = 4,
     max_children: int = 100,
-    bucket_limit: int = 2000,
 ) -> tuple[DataFrame, DataFrame]:
     """Templates of a log table: ``(templates, members)``.
 
-    ``templates``: template_id, template, n, first_line_no. ``members``: signature, template_id,
-    template. Signatures share a bucket when they have the same number of tokens and the same
-    ``depth - 3`` leading tokens; tokens with digits, and all but the first ``max_children - 1``
-    at a place, count as the wildcard. Inside a bucket a signature joins the most similar earlier
-    template if at least ``similarity`` of its tokens agree, and positions that differ become
-    wildcards. A bucket with more than ``bucket_limit`` signatures is generalised first: its most
-    varied position becomes a wildcard until the distinct signatures fit, so nothing is dropped
-    or left unmerged and no task receives an unbounded bucket.
+    ``templates``: template_id, template, n, first_line_no. ``members``: bucket, open, whole,
+    template_id, template, what ``match_templates`` needs.
+
+    One rule holds for every bucket, whatever its size. Signatures share a bucket when they have the
+    same number of tokens and, unless that length has more than ``max_children`` of them or ``depth``
+    is under four, the same leading token (tokens with digits count as the wildcard). If a share of
+    ``similarity`` of a bucket's places holds one token only, all its other places are wildcards and
+    it is one template; else places with more than ``max_children`` tokens are wildcards. So a
+    template depends on the tokens of its own bucket and not on how many lines hold them. Tokens are
+    counted by aggregates with partial sums; no bucket is gathered in one task.
     """
-    found = freeze(
-        signatures(df, line).withColumn("tokens", F.split("signature", f"[{S.SPACE}]+")), "signatures"
-    )
-    bucketed = freeze(_bucket(found, max(depth - 3, 0), max_children), "buckets")
-    shapes = bucketed.withColumn("shape", F.col("tokens"))
-    while True:
-        crowded = _most_varied(shapes, bucket_limit)
-        if crowded.isEmpty():
-            break
-        shapes = freeze(_generalise(shapes, crowded), "shapes")
-    distinct = shapes.groupBy("bucket", "shape").agg(F.min("first_line_no").alias("first_line_no"))
-    merged = freeze(
-        distinct.groupBy("bucket").applyInPandas(
-            _merger(similarity), "bucket string, shape array<string>, template string"
+    found = freeze(_bucketed(signatures(df, line)), "signatures")
+    leads = found.groupBy("length", "lead").agg(F.lit(1).alias("one"))
+    wide = leads.groupBy("length").agg(
+        ((F.count("*") > max_children) | F.lit(depth < 4)).alias("wide")
+    )
+    named = lookup(found, wide, "length").withColumn(
+        "bucket", _bucket(F.when(F.col("wide"), F.lit(WILDCARD)).otherwise(F.col("lead")))
+    )
+    named = freeze(named.select("signature", "tokens", "n", "first_line_no", "bucket"), "buckets")
+    tokens = named.select("bucket", F.posexplode("tokens").alias("place", "token"))
+    kinds = (
+        tokens.groupBy("bucket", "place", "token")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("bucket", "place")
+        .agg(F.count("*").alias("kinds"), F.min("token").alias("token"))
+    )
+    fixed = F.count_if((F.col("kinds") == 1) & (F.col("token") != WILDCARD))
+    many = F.collect_list(F.when(F.col("kinds") > max_children, F.col("place")))
+    varied = F.collect_list(F.when(F.col("kinds") > 1, F.col("place")))
+    rules = kinds.groupBy("bucket").agg(
+        (fixed >= similarity * F.count("*")).alias("whole"), many.alias("many"), varied.alias("varied")
+    )
+    rules = freeze(
+        rules.select(
+            "bucket",
+            "whole",
+            F.array_sort(F.when(F.col("whole"), F.col("varied")).otherwise(F.col("many"))).alias("open"),
         ),
-        "merged",
+        "rules",
     )
-    named = lookup(shapes, merged, ["bucket", "shape"]).select(
-        "signature", "n", "first_line_no", "template"
+    shaped = freeze(
+        lookup(named, rules, "bucket").select(
+            "bucket", "open", "whole", "n", "first_line_no", _shape("tokens", "open").alias("template")
+        ),
+        "shapes",
     )
-    totals = named.groupBy("template").agg(
+    totals = shaped.groupBy("template").agg(
         F.sum("n").alias("n"), F.min("first_line_no").alias("first_line_no")
     )
     templates = number_rows(totals, ["first_line_no", "template"], "_pos").select(
         (F.col("_pos") + 1).alias("template_id"), "template", "n", "first_line_no"
     )
-    members = lookup(
-        named.select("signature", "template"), templates.select("template", "template_id"), "template"
-    )
-    return templates, freeze(members.select("signature", "template_id", "template"), "members")
-
-
-def _bucket(found: DataFrame, leading: int, max_children: int) -> DataFrame:
-    bucketed = found.withColumn("bucket", F.size("tokens").cast("string"))
-    for i in range(leading):
-        token = F.get("tokens", F.lit(i))
-        lead = F.when(token.rlike(r"\d") | token.isNull(), F.lit(WILDCARD)).otherwise(token)
-        bucketed = bucketed.withColumn("_lead", lead)
-        # only the first few tokens of a place are ranked; the group limit is applied before the shuffle
-        order = Window.partitionBy("bucket").orderBy("_first", "_lead")
-        own = (
-            bucketed.filter(F.col("_lead") != WILDCARD)
-            .groupBy("bucket", "_lead")
-            .agg(F.min("first_line_no").alias("_first"))
-            .withColumn("_rank", F.row_number().over(order))
-            .filter(F.col("_rank") <= max_children - 1)
-        )
-        branch = F.concat_ws("\x01", "bucket", "_lead")
-        known = freeze(own.select(branch.alias("_branch"), F.lit(True).alias("_known")), "children")
-        bucketed = (
-            lookup(bucketed.withColumn("_branch", branch), known, "_branch")
-            .withColumn(
-                "bucket",
-                F.concat_ws(
-                    "\x01", "bucket", F.when(F.col("_known"), F.col("_lead")).otherwise(WILDCARD)
-                ),
-            )
-            .drop("_lead", "_branch", "_known")
-        )
-    return bucketed
-
-
-def _most_varied(shapes: DataFrame, bucket_limit: int) -> DataFrame:
-    """Position to generalise, for each bucket that still has too many shapes."""
-    distinct = shapes.select("bucket", "shape").distinct()
-    crowded = distinct.groupBy("bucket").count().filter(F.col("count") > bucket_limit)
-    tokens = distinct.join(crowded, "bucket", "left_semi").select(
-        "bucket", F.posexplode("shape").alias("place", "token")
-    )
-    variety = tokens.groupBy("bucket", "place").agg(F.count_distinct("token").alias("kinds"))
-    return variety.groupBy("bucket").agg(F.max_by("place", F.struct("kinds", -F.col("place"))).alias("place"))
-
-
-def _generalise(shapes: DataFrame, crowded: DataFrame) -> DataFrame:
-    open_place = F.transform(
-        "shape", lambda t, i: F.when(i == F.col("place"), F.lit(WILDCARD)).otherwise(t)
-    )
-    placed = lookup(shapes, freeze(crowded, "crowded"), "bucket")
-    return placed.withColumn(
-        "shape", F.when(F.col("place").isNull(), F.col("shape")).otherwise(open_place)
-    ).drop("place")
-
-
-def _merger(similarity: float):
-    def merge(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("first_line_no", kind="stable")
-        tokens = np.array([list(s) for s in bucket["shape"]], dtype=object)
-        codes = np.unique(tokens, return_inverse=True)[1].reshape(tokens.shape) + 1
-        codes[tokens == WILDCARD] = 0  # a wildcard never counts as agreement
-        leaders = np.zeros_like(codes)
-        count, owner = 0, np.empty(len(codes), dtype=np.int64)
-        for row, code in enumerate(codes):
-            same = ((leaders[:count] == code) & (code != 0)).mean(axis=1)
-            open_places = (leaders[:count] == 0).sum(axis=1)
-            if count and same.max() >= similarity:
-                closest = np.flatnonzero(same == same.max())
-                owner[row] = best = closest[np.argmax(open_places[closest])]
-                leaders[best][leaders[best] != code] = 0
-            else:
-                leaders[count], owner[row] = code, count
-                count += 1
-        first = np.full(count, -1)
-        for row in range(len(codes) - 1, -1, -1):
-            first[owner[row]] = row
-        names = [
-            " ".join(token if code else WILDCARD for token, code in zip(tokens[f], leaders[k]))
-            for k, f in enumerate(first)
-        ]
-        return pd.DataFrame(
-            {
-                "bucket": bucket["bucket"],
-                "shape": bucket["shape"],
-                "template": [names[k] for k in owner],
-            }
-        )
+    kept = shaped.select("bucket", "open", "whole", "template").distinct()
+    members = lookup(kept, templates.select("template", "template_id"), "template")
+    return templates, freeze(members.select("bucket", "open", "whole", "template_id", "template"), "members")
 
-    return merge
+
+def match_templates(
+    df: DataFrame, members: DataFrame, line: str = "raw", similarity: float = 0.5
+) -> DataFrame:
+    """Add ``template_id`` and ``template`` of the mined template a line belongs to.
+
+    A line takes the places of its bucket that are wildcards and looks its shape up. In a bucket of
+    one template, agreement in a share of ``similarity`` of its tokens is enough. Lines that
+    match nothing and blank lines get -1 and ''.
+    """
+    buckets = members.groupBy("bucket").agg(
+        F.min("open").alias("open"),
+        F.max(F.when(F.col("whole"), F.col("template"))).alias("one"),
+        F.max(F.when(F.col("whole"), F.col("template_id"))).alias("one_id"),
+    )
+    signed = _bucketed(with_signature(df, line))
+    own = lookup(
+        signed.withColumns({"_own": _bucket(F.col("lead")), "_any": _bucket(F.lit(WILDCARD))}),
+        buckets.toDF("_own", "_open1", "_one1", "_id1"),
+        "_own",
+    )
+    own = lookup(own, buckets.toDF("_any", "_open2", "_one2", "_id2"), "_any")
+    first = F.col("_open1").isNotNull()
+    own = own.withColumns(
+        {
+            "_bucket": F.when(first, F.col("_own")).otherwise(F.col("_any")),
+            "_open": F.coalesce("_open1", "_open2"),
+            "_one": F.when(first, F.col("_one1")).otherwise(F.col("_one2")),
+            "_id": F.when(first, F.col("_id1")).otherwise(F.col("_id2")),
+        }
+    ).withColumn("_shape", _shape("tokens", "_open"))
+    exact = members.filter(~F.col("whole")).select(
+        F.col("bucket").alias("_bucket"),
+        F.col("template").alias("_shape"),
+        F.col("template_id").alias("_exact_id"),
+    )
+    own = lookup(own, exact, ["_bucket", "_shape"])
+    agreeing = F.size(
+        F.filter(
+            F.zip_with("tokens", F.split("_one", " "), lambda a, b: (a == b) & (a != WILDCARD)), lambda x: x
+        )
+    )
+    near = F.col("_one").isNotNull() & (agreeing >= similarity * F.col("length"))
+    return own.select(
+        *df.columns,
+        F.coalesce(F.when(near, F.col("_id")), "_exact_id", F.lit(-1)).cast("bigint").alias("template_id"),
+        F.coalesce(
+            F.when(near, F.col("_one")), F.when(F.col("_exact_id").isNotNull(), F.col("_shape")), F.lit("")
+        ).alias("template"),
+    )
 
 
 def assign_templates(df: DataFrame, members: DataFrame, line: str = "raw") -> DataFrame:
-    """Add ``template_id`` and ``template``; unseen signatures and blank lines get -1 and ''."""
+    """Add the entry of a dictionary of whole signatures; unseen and blank lines get -1 and ''."""
     signed = with_signature(df, line)
     named = lookup(signed, members.select("signature", "template_id", "template"), "signature")
     return named.select(

@@ -9,12 +9,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.functions import scalars as S
 from tidewatch.operators import prep, stats
 from tidewatch.operators.explain import explain
-from tidewatch.operators.features import extract_features, row_features
+from tidewatch.operators.features import extract_features
 from tidewatch.operators.iforest import IsolationForestModel, fit_iforest
 from tidewatch.operators.parse import STRICT_FORMATS, parse_logs
 from tidewatch.operators.reconstruction import (
@@ -26,7 +25,7 @@ from tidewatch.operators.reconstruction import (
     restore_network,
 )
 from tidewatch.operators.scaling import fit_scaler, scaled_columns
-from tidewatch.operators.templates import assign_templates, mine_templates
+from tidewatch.operators.templates import match_templates, mine_templates
 from tidewatch.schema import DEFAULT_FEATURES, SUSPICIOUS_PATTERNS, feature_names
 from tidewatch.session import freeze
 
@@ -109,7 +108,7 @@ class Detector(Estimator):
             depth=cfg.depth,
             max_children=cfg.max_children,
         )
-        usable = assign_templates(parsed.filter("status > 0"), members)
+        usable = match_templates(parsed.filter("status > 0"), members, similarity=cfg.similarity)
         features = freeze(
             extract_features(usable, cfg.features, cfg.patterns, cfg.ip_window_minutes), "features"
         )
@@ -141,7 +140,8 @@ class Detector(Estimator):
                 cfg.seed,
             )
         model = DetectorModel(cfg, state, templates, members, scaler, fitted)
-        model.training = (parsed, len(names))
+        # the lines and the parsable ones, counted without parsing again
+        model.training = (lines, total, len(names))
         return model
 
 
@@ -162,13 +162,21 @@ class DetectorModel(Model):
         """One row: lines seen, lines parsed, feature shape, model type, status."""
         if self.training is None:
             raise ValueError("training statistics belong to the fitting session")
-        parsed, width = self.training
-        return stats.training_stats(parsed, width, self.config.model)
+        lines, usable, width = self.training
+        counted = lines.agg(F.count("*").alias("total_logs"))
+        return counted.select(
+            "total_logs",
+            F.lit(usable).cast("bigint").alias("parsed_logs"),
+            F.lit(usable).cast("bigint").alias("feature_rows"),
+            F.lit(width).alias("feature_columns"),
+            F.lit(self.config.model).alias("model_type"),
+            F.lit("trained").alias("status"),
+        )
 
     def parse(self, lines: DataFrame) -> DataFrame:
         """Parsed rows with template and the ``parsed_log`` fields of the result record."""
         parsed = parse_logs(lines, self.config.format, self.config.pattern)
-        return assign_templates(parsed, self.members)
+        return match_templates(parsed, self.members, similarity=self.config.similarity)
 
     def transform(self, lines: DataFrame, **ip_options) -> DataFrame:
         """One record per line: line_no, anomaly, score, model, reason, parsed_log."""
@@ -202,11 +210,6 @@ class DetectorModel(Model):
             "parsed_log",
         )
 
-    def stream_features(self, parsed: DataFrame) -> dict:
-        """Row features of this model by column name, for a streaming plan."""
-        names = self.config.names
-        return {c: x for c, x in row_features(self.config.patterns).items() if c in names}
-
     def save(self, path: str) -> None:
         spark = self.scaler.sparkSession
         self.scaler.write.parquet(f"{path}/scaler")
@@ -270,17 +273,5 @@ def record_fields():
     )
 
 
-RECORD_SCHEMA = T.StructType(
-    [
-        T.StructField("timestamp", T.StringType()),
-        T.StructField("ip", T.StringType()),
-        T.StructField("method", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("status", T.LongType()),
-        T.StructField("template_id", T.LongType()),
-    ]
-)
-
-
 def alerts(records: DataFrame) -> DataFrame:
     return records.filter("anomaly")

@@ -99,7 +99,7 @@ _PARSED_OUT = f"""line_no, parse_kind, event_us, ip, "user", method, path, proto
 
 DOC_LINES = f"""pieces as (select doc_id, unnest(parts) as raw_line, generate_subscripts(parts, 1) - 1 as place
   from (select doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') as parts from documents)),
- lines as (select doc_id * 1000000 + place as line_no, line from (
+ lines as (select doc_id * 4294967296 + place as line_no, line from (
   select doc_id, place, regexp_replace(replace(raw_line, chr(65533), ''), '^{_SPACES}|{_SPACES}$', '', 'g') as line
   from pieces) where line <> '')"""
 
@@ -156,15 +156,33 @@ def _features(source: str, rate: str = "cast(ip_request_rate as float)") -> dict
     return {c: f"cast({out[c]} as double)" for c in feature_names()}
 
 
-_NUMERIC = [c for c in feature_names() if c != "template_id"]
+_NUMERIC = feature_names()
 
 
 def _numeric_features() -> str:
-    cols = ", ".join(f"{x} as {c}" for c, x in _features("").items() if c != "template_id")
-    return f"""{parsed()}, pos as (select * from p where status > 0), {_stats('pos')},
+    cols = ", ".join(f"{x} as {c}" for c, x in _features("").items())
+    return f"""{parsed()}, {_SIGNATURES}, pos as (select p.*, template_id from p join signed using (line_no)
+  left join dictionary using (signature) where status > 0), {_stats('pos')},
  f as (select line_no, {cols} from s)"""
 
 
+def _templates(source: str) -> str:
+    """Mined templates of rows (line_no, line)."""
+    return f"""{source}, marked as (select line_no, {_MASKED} as signature from rows_ where trim(line) <> ''),
+ d as (select signature, count(*) as n, min(line_no) as first_line_no, string_split_regex(signature, '{_SPACES}') as toks
+  from marked group by signature),
+ t as (select *, len(toks) as size, case when regexp_matches(toks[1], '\\d') then '<*>' else toks[1] end as lead from d),
+ wide as (select size, count(distinct lead) > 100 as open from t group by size),
+ b as (select t.*, concat(cast(size as varchar), ' ', case when open then '<*>' else lead end) as bucket from t join wide using (size)),
+ pos as (select bucket, signature, unnest(toks) as token, generate_subscripts(toks, 1) as place from b),
+ kinds as (select bucket, place, count(distinct token) as k, min(token) as one from pos group by bucket, place),
+ rules as (select bucket, count(*) filter (where k = 1 and one <> '<*>') >= 0.5 * count(*) as whole from kinds group by bucket),
+ shaped as (select bucket, signature, string_agg(case when k > case when whole then 1 else 100 end then '<*>' else token end, ' ' order by place)
+  as template from pos join kinds using (bucket, place) join rules using (bucket) group by bucket, signature),
+ totals as (select template, cast(sum(n) as bigint) as n, min(first_line_no) as first_line_no from shaped join d using (signature) group by template)
+ select row_number() over (order by first_line_no, template) as template_id, template, n, first_line_no from totals"""
+
+
 def _scaler(where: str = "") -> str:
     rows = " union all ".join(
         f"select {i} as idx, '{c}' as feature, avg({c}) as mean, "
@@ -272,6 +290,11 @@ def oracle() -> dict[str, str]:
  select split, line_no, line from d qualify split = 'validation' or
   row_number() over (partition by split order by md5(concat('42:', cast(line_no as varchar))), line_no) <= 2000""",
         "min_sample_guard": f"with {DOC_LINES} select count(*) as total, count(*) >= 1000 as enough from lines",
+        "require_samples": f"with {DOC_LINES} select line_no, line from lines",
+        "require_samples_raises": f"""with {DOC_LINES} select count(*) as total, true as raised,
+ concat('need at least ', cast(count(*) + 1 as varchar), ' lines, got ', cast(count(*) as varchar)) as message from lines""",
+        "mine_templates": "with " + _templates(f"{LOGS}, rows_ as (select line_no, line from logs)"),
+        "mine_templates_documents": "with " + _templates(f"{DOC_LINES}, rows_ as (select line_no, line from lines)"),
         "filter_parsed": f"with {parsed()} select line_no, status, path from p where status > 0",
         "assign_batches": f"""with {DOC_LINES} select line_no,
  cast((row_number() over (order by line_no) - 1) // 100 as bigint) as batch_id from lines""",
@@ -337,7 +360,8 @@ def oracle() -> dict[str, str]:
         "stream_dedup": f"with {LOGS} select distinct line from logs",
         "attack_categories": _attacks(),
         "ip_over_limit": f"with {_dense()}, {_stats('dense')} select ip, count(*) as requests from s where ip_frequency > 500 group by ip",
-        "brute_force": f"""with {parsed()} select ip, (event_us // 86400000000) * 86400 as window_start, count(*) as failures
- from p where status in (404, 500) group by 1, 2 having count(*) > 2""",
+        # failures are 404 and 500 before the view turns them into 401 and 403
+        "brute_force": f"""with {parsed()} select ip, (event_us // 3600000000) * 3600 as window_start, count(*) as failures
+ from p where status in (404, 500) group by 1, 2 having count(*) > 1""",
     }
     return {name: " ".join(text.split("\n")) for name, text in sql.items()}

@@ -77,7 +77,7 @@ def parse_output(parsed: DataFrame) -> DataFrame:
 def document_lines(spark, sf_dir) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     lines = lines_of(documents, "doc_id", "text")
-    return lines.select((F.col("doc_id") * 1000000 + F.col("place")).alias("line_no"), "line")
+    return lines.select((F.shiftleft(F.col("doc_id"), 32) + F.col("place")).alias("line_no"), "line")
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -214,6 +214,22 @@ def min_sample_guard(spark, sf_dir):
     return prep.sample_guard(document_lines(spark, sf_dir), 1000)
 
 
+@query
+def require_samples(spark, sf_dir):
+    return prep.require_samples(document_lines(spark, sf_dir), 1000)
+
+
+@query
+def require_samples_raises(spark, sf_dir):
+    lines = document_lines(spark, sf_dir)
+    total = lines.agg(F.count("*").alias("total"))
+    try:
+        prep.require_samples(lines, lines.count() + 1)
+    except ValueError as e:
+        return total.select("total", F.lit(True).alias("raised"), F.lit(str(e)).alias("message"))
+    return total.select("total", F.lit(False).alias("raised"), F.lit("").alias("message"))
+
+
 @query
 def filter_parsed(spark, sf_dir):
     return parsed_logs(spark, sf_dir).filter("status > 0").select("line_no", "status", "path")
@@ -266,12 +282,11 @@ def features_all(spark, sf_dir):
 
 
 def numeric_features(spark, sf_dir) -> DataFrame:
-    """Features that need no template dictionary, over parsable lines."""
-    groups = [g for g in FEATURE_GROUPS if g != "template_id"]
-    return extract_features(parsed_logs(spark, sf_dir).filter("status > 0"), groups)
+    """The whole feature vector over parsable lines."""
+    return extract_features(with_signature_ids(spark, sf_dir).filter("status > 0"))
 
 
-NUMERIC = [c for c in feature_names() if c != "template_id"]
+NUMERIC = feature_names()
 
 
 @query
@@ -415,6 +430,11 @@ def mine_templates_query(spark, sf_dir):
 
 
 
+@query
+def mine_templates_documents(spark, sf_dir):
+    return mine_templates(document_lines(spark, sf_dir), "line")[0]
+
+
 @query
 def template_signatures_query(spark, sf_dir):
     return template_signatures(access_logs(spark, sf_dir), "line")
@@ -524,7 +544,7 @@ def recon_train_pca(spark, sf_dir):
 @query
 def recon_train_mlp(spark, sf_dir):
     features, names = scaled_vectors(spark, sf_dir)
-    model = fit_reconstruction(features, names, "mlp", epochs=10)
+    model = fit_reconstruction(features, names, "mlp", epochs=50)
     return model.transform(features).select("line_no", "score", "anomaly")
 
 
@@ -669,5 +689,8 @@ def ip_over_limit(spark, sf_dir):
 
 @query
 def brute_force(spark, sf_dir):
-    found = stats.brute_force(parsed_logs(spark, sf_dir), 1440, 2, (404, 500))
+    # the log has no refused log-ins, so its failures are turned into them before parsing
+    logs = access_logs(spark, sf_dir)
+    line = F.regexp_replace(F.regexp_replace("line", '" 404 ', '" 401 '), '" 500 ', '" 403 ')
+    found = stats.brute_force(parse_logs(logs.withColumn("line", line)), 60, 1)
     return found.select("ip", F.unix_seconds("window_start").alias("window_start"), "failures")
