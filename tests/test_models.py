@@ -95,6 +95,13 @@ def test_average_path():
     assert average_path(256) == pytest.approx(10.2448, abs=1e-3)
 
 
+@pytest.mark.parametrize("size", [2, 10, 20])
+def test_small_samples_are_full(spark, size):
+    df = cloud(spark, 5000)
+    counts = tree_samples(df, ["a"], 200, size, 42, 5000).groupBy("tree_id").count().collect()
+    assert len(counts) == 200 and {r["count"] for r in counts} == {size}
+
+
 def test_samples_are_exact_and_distinct(spark):
     df = cloud(spark)
     picked = tree_samples(df, ["a", "b", "c"], 20, 100, 42, 3000).groupBy("tree_id").agg(
@@ -196,6 +203,15 @@ def test_pca_error_equals_numpy(spark):
     assert set(found.nlargest(5, "score")["line_no"]) == set(range(5))
 
 
+def test_mlp_does_not_depend_on_partitions(spark):
+    df, names = cloud(spark, 800), ["a", "b", "c"]
+    one, seven = (
+        fit_reconstruction(df.repartition(n), names, "mlp", latent=2, hidden=(8, 4), epochs=2, batch_size=32)
+        for n in (1, 7)
+    )
+    assert np.array_equal(one.network.vector(), seven.network.vector())
+
+
 def test_mlp_learns(spark):
     df, names, _ = correlated(spark)
     model = fit_reconstruction(df.repartition(2), names, "mlp", latent=2, hidden=(16, 8), epochs=8, batch_size=64, rate=0.01)
@@ -263,10 +279,10 @@ def test_model_survives_storage(spark, sf_dir, fitted):
         DetectorModel.load(spark, path + "-nowhere")
 
 
-@pytest.mark.parametrize("kind", ["pca", "mlp"])
+@pytest.mark.parametrize("kind", ["pca", "autoencoder"])
 def test_reconstruction_detector_survives_storage(spark, sf_dir, kind):
     logs = access_logs(spark, sf_dir)
-    model = Detector(model="autoencoder", reconstruction=kind, epochs=2).fit(logs)
+    model = Detector(model=kind, epochs=2).fit(logs)
     path = scratch_path(spark, "saved")
     model.save(path)
     again = DetectorModel.load(spark, path)

@@ -29,7 +29,7 @@ from tidewatch.operators.templates import match_templates, mine_templates
 from tidewatch.schema import DEFAULT_FEATURES, SUSPICIOUS_PATTERNS, feature_names
 from tidewatch.session import freeze
 
-MODELS = ("isolation_forest", "autoencoder")
+MODELS = ("isolation_forest", "autoencoder", "pca")
 
 RECORD_FIELDS = ("timestamp", "ip", "method", "path", "status", "template_id")
 
@@ -72,7 +72,6 @@ class DetectorConfig:
     contamination: float = 0.05
     seed: int = 42
     # reconstruction
-    reconstruction: str = "pca"
     latent: int = LATENT
     hidden: tuple[int, ...] = HIDDEN
     rate: float = 0.001
@@ -84,6 +83,11 @@ class DetectorConfig:
         if self.model not in MODELS:
             raise ValueError(f"unknown model type: {self.model}")
 
+    @property
+    def reconstruction(self) -> str:
+        """Kind of the reconstruction model: the network, or principal components under their own name."""
+        return "mlp" if self.model == "autoencoder" else "pca"
+
     @property
     def names(self) -> list[str]:
         return feature_names(self.features)

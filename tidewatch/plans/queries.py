@@ -551,7 +551,7 @@ def recon_train_mlp(spark, sf_dir):
 @query
 def recon_model_table(spark, sf_dir):
     features, names = scaled_vectors(spark, sf_dir)
-    model = fit_reconstruction(features, names, "pca")
+    model = fit_reconstruction(features, names, "mlp", epochs=50)
     path = scratch_path(spark, "layers")
     spark.createDataFrame(model.layers(), LAYER_SCHEMA).write.parquet(path)
     return spark.read.parquet(path).withColumn("threshold", F.lit(model.threshold))
@@ -563,6 +563,12 @@ def recon_score(spark, sf_dir):
     return model.transform(access_logs(spark, sf_dir)).select("line_no", "score", "anomaly")
 
 
+@query
+def recon_score_pca(spark, sf_dir):
+    model = detector(spark, sf_dir, model="pca")
+    return model.transform(access_logs(spark, sf_dir)).select("line_no", "score", "anomaly")
+
+
 @query
 def recon_threshold(spark, sf_dir):
     features, names = scaled_vectors(spark, sf_dir)
