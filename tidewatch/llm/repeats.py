@@ -24,8 +24,8 @@ from tidewatch.llm.common import Stash, sliced, utf8
 
 LENGTH = 100
 GRAM = 16
-# Different segments of one anchor that an index takes; anchors with more are aggregated.
-CROWD = 1000
+# Different segments of one anchor that an index takes (about 1 MB); anchors with more are aggregated.
+CROWD = 8000
 # Bytes of segments in one index; an anchor's segments are never split over two.
 CHUNK = 1 << 18
 # Repeated anchors that may be broadcast; beyond it the join is shuffled.
