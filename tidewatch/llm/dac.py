@@ -32,8 +32,9 @@ from tidewatch.llm.common import sliced, utf8, worker_cache
 MAGIC = b"DAC1"
 SEGMENT_IDS = 1 << 18
 _BLOCK = 512
-_CACHE = 1_000_000
+_CACHE = 700_000
 END_ID = 2
+_MARKS = ".,;:!?*#$%&|)"
 
 
 class Level:
@@ -160,24 +161,39 @@ class LibraryIds:
 
         self.library = Tokenizer.from_file(path)
         self.runs: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        # without special tokens and other letters, case is dropped before the split of words
-        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        runs = self.runs
+        split = [t.split() for t in texts]
+        runs, words = self.runs, self.words
         if len(runs) > _CACHE:
             runs.clear()
-        new = list({r for s in split for r in s if r not in runs})
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            found = self.library.encode_batch_fast(
-                [r.decode("utf-8", "replace") for r in part], add_special_tokens=False
-            )
-            for r, e in zip(part, found):
-                runs[r] = np.array(e.ids, "<u4").tobytes()
+            words.clear()
+        new = {r: self._parts(r) for s in split for r in s if r not in runs}
+        wanted = list({w for parts in new.values() for w in parts if w not in words})
+        for start in range(0, len(wanted), 4096):
+            part = wanted[start : start + 4096]
+            found = self.library.encode_batch_fast(part, add_special_tokens=False)
+            for w, e in zip(part, found):
+                words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for r, parts in new.items():
+            runs[r] = words[parts[0]] if len(parts) == 1 else words[parts[0]] + words[parts[1]]
         return [b"".join([runs[r] for r in s]) for s in split]
 
+    def _parts(self, run: bytes) -> tuple[str, ...]:
+        """The texts to encode for a run: letters and the marks behind them are always apart.
+
+        Case is dropped from ASCII runs, as the vocabulary does it; ``<`` may open a special token.
+        """
+        text = run.decode("utf-8", "replace")
+        if "<" in text:
+            return (text,)
+        if text.isascii():
+            text = text.lower()
+        stem = text.rstrip(_MARKS)
+        return (stem, text[len(stem) :]) if len(stem) < len(text) and stem.isalpha() else (text,)
+
 
 def write(
     df: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text"
