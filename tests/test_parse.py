@@ -5,6 +5,7 @@ from tidewatch.functions import scalars as S
 from tidewatch.operators.features import extract_features
 from tidewatch.operators.parse import parse_logs
 
+# Published example lines; what is expected of them was worked out by hand.
 LINES = {
     "L1": '192.168.1.1 - - [01/Jan/2024:12:00:00 +0000] "GET /api/users HTTP/1.1" 200 1234 "-" "Mozilla/5.0"',
     "L2": '192.168.1.1 - - [01/Jan/2024:12:00:00 +0000] "GET /api/users HTTP/1.1" 200 1234',
@@ -48,6 +49,28 @@ def test_auto(logs_of):
         assert found[i] == EXPECTED[name], name
 
 
+def test_classes_are_unicode(logs_of):
+    digits = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    lines = [
+        "10.0.0.8 WARN \"GÉT /a/b HTTP/1.1\" ٥٠٣ upstream",
+        LINES["L2"].translate(digits),
+        LINES["L10"].replace("200", "४०४"),
+    ]
+    found = rows(parse_logs(logs_of(lines)))
+    assert found[0] == ("simple", "10.0.0.8", "GET", "/a/b", 503, 0, INGEST, "-")
+    kind, ip, method, path, status, size, _, agent = found[1]
+    assert (kind, ip, status, size) == ("common", "192.168.1.1".translate(digits), 200, 1234)
+    assert found[2][4] == 404
+
+
+def test_custom_classes_are_unicode(logs_of):
+    pattern = r"(?P<ip>[\d.]+) (?P<user>\w+) (?P<status>\d+)\s(?P<path>[^\w\s]\S+)"
+    found = parse_logs(logs_of(["١٠.٠.٠.١ Zoë ٤٠٤\u3000/né x", "1.2.3.4 a-b 200 /x"]), "custom", pattern=pattern)
+    got = [tuple(r) for r in found.orderBy("line_no").select("user", "status", "path").collect()]
+    assert got == [("Zoë", 404, "/né"), ("-", 0, "/")]
+    assert S.unicode_pattern(r"[]\d]\\d\W") == r"[\]\p{Nd}]\\d[^\p{L}\p{N}_]"
+
+
 def test_strict_format_gives_empty_row(logs_of):
     found = rows(parse_logs(logs_of(LINES.values()), "apache_combined"))
     for i, name in enumerate(LINES):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,6 +30,11 @@ SPACE_CHARACTERS = "".join(
     for c in range(low, high + 1)
 )
 
+# What a pattern of the reference's kind takes as a digit and as a word character, beyond ASCII.
+DIGIT, WORD = r"\p{Nd}", r"\p{L}\p{N}_"
+_DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+_ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
 _INTEGER = r"^[+-]?\d+(_\d+)*$"
 _OCTET = r"(?:\+?0*(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)|-0+)"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
@@ -45,11 +52,48 @@ def is_blank(text: Column) -> Column:
     return strip(F.coalesce(text, F.lit(""))) == ""
 
 
+def plain_digits(text: Column) -> Column:
+    """Decimal digits of any script as ASCII digits."""
+    plain = F.translate(text, "".join(_DIGITS), _ASCII_DIGITS)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
+
+
+def unicode_pattern(pattern: str) -> str:
+    """A Python pattern whose classes cover Unicode, in the syntax of Spark's patterns."""
+    classes = {"d": DIGIT, "w": WORD, "s": SPACE}
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\" and at + 1 < len(pattern):
+            own = classes.get(pattern[at + 1].lower())
+            if own is None:
+                out.append(pattern[at : at + 2])
+            elif pattern[at + 1].isupper():
+                out.append(f"[^{own}]")
+            else:
+                out.append(own if inside else f"[{own}]")
+            at += 2
+            continue
+        if c == "[" and not inside:
+            inside = True
+            # a bracket right behind the opening one is an ordinary character
+            if pattern[at + 1 : at + 2] == "]":
+                out.append("[\\]")
+                at += 2
+                continue
+        elif c == "]":
+            inside = False
+        out.append(c)
+        at += 1
+    return "".join(out)
+
+
 def to_int(text: Column) -> Column:
-    """Whole number written in text (sign and digit separators allowed), else null.
+    """Whole number written in text (sign, separators and any script's digits allowed), else null.
 
     Numbers beyond 64 bits saturate, so that comparisons with small constants still hold.
     """
+    text = plain_digits(text)
     widest = F.when(text.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
     value = F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint")
     return F.when(text.rlike(_INTEGER), F.coalesce(value, widest))
@@ -57,7 +101,7 @@ def to_int(text: Column) -> Column:
 
 def is_ipv4(text: Column) -> Column:
     """Four dot-separated whole numbers, each 0..255 (sign, leading zeros, separators allowed)."""
-    return F.regexp_replace(text, r"(?<=\d)_(?=\d)", "").rlike(_IPV4)
+    return F.regexp_replace(plain_digits(text), r"(?<=\d)_(?=\d)", "").rlike(_IPV4)
 
 
 def first_method(text: Column) -> Column:

@@ -18,10 +18,11 @@ _NS = f"[^{S.SPACE}]"
 
 # One pattern serves all access-log formats: every group before the tail is delimited
 # unambiguously, so "combined, else common" equals "common with an optional tail".
+# The grammar of the access-log formats, of the path and of the status in any line.
 _ACCESS = (
-    rf"([\d.]+) - ({_NS}+) \[([^\]]+)\] "
+    rf"([{S.DIGIT}.]+) - ({_NS}+) \[([^\]]+)\] "
     rf'"({_NS}+) ({_NS}+) ({_NS}+)" '
-    rf'(\d+) ({_NS}+)( "([^"]*)" "([^"]*)")?'
+    rf'({S.DIGIT}+) ({_NS}+)( "([^"]*)" "([^"]*)")?'
 )
 _ACCESS_FIELDS = {
     "ip": 1,
@@ -68,7 +69,7 @@ def _named_groups(pattern: str) -> tuple[str, dict[str, int], int]:
     """Python-style named pattern as a positional one, with the group index of each name."""
     compiled = re.compile(pattern)
     positional = re.sub(r"\(\?P<\w+>", "(", pattern)
-    return positional, dict(compiled.groupindex), compiled.groups
+    return S.unicode_pattern(positional), dict(compiled.groupindex), compiled.groups
 
 
 def parse_logs(
@@ -119,7 +120,7 @@ def parse_logs(
 
     status = (
         F.when(kind >= COMMON, S.to_int(group("status")))
-        .when(kind == SIMPLE, F.coalesce(_found(text, _STATUS), F.lit("200")).cast("bigint"))
+        .when(kind == SIMPLE, S.to_int(F.coalesce(_found(text, _STATUS), F.lit("200"))))
     )
     # without a strict pattern only a blank line is empty, so ``raw`` alone needs no match
     empty = kind == EMPTY if format in STRICT_FORMATS else F.col("_blank")
@@ -142,7 +143,7 @@ def parse_logs(
         field("referrer", least=FULL),
         field("user_agent", least=FULL),
         F.when(empty, F.lit("")).otherwise(text).alias("raw"),
-        F.when(kind >= COMMON, group("timestamp")).alias("_time"),
+        F.when(kind >= COMMON, S.plain_digits(group("timestamp"))).alias("_time"),
     )
     return _with_times(staged).select(*kept, *PARSED_COLUMNS)
 
@@ -150,8 +151,8 @@ def parse_logs(
 EMPTY, SIMPLE, COMMON, FULL = range(4)
 
 _FIRST_WORD = f"^[{S.SPACE}]*([^{S.SPACE}]+)"
-_PATH = rf'"\w+ ({_NS}+) '
-_STATUS = r'" (\d{3}) '
+_PATH = rf'"[{S.WORD}]+ ({_NS}+) '
+_STATUS = rf'" ({S.DIGIT}{{3}}) '
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -166,7 +167,7 @@ def _kind_code(format: str, hit: Column, group) -> Column:
     if format == "apache_combined":
         return blank.when(hit & (group("tail") != ""), F.lit(FULL)).otherwise(F.lit(EMPTY))
     if format == "nginx":
-        digits = group("size").rlike(r"^\d+$")
+        digits = group("size").rlike(rf"^{S.DIGIT}+$")
         return blank.when(hit & (group("tail") != "") & digits, F.lit(FULL)).otherwise(F.lit(EMPTY))
     if format == "common":
         return blank.when(hit, F.lit(COMMON)).otherwise(F.lit(EMPTY))
