@@ -301,7 +301,9 @@ def covers(df: DataFrame, doc: str, th: str, text: str, length: int = LENGTH) ->
         .filter((F.col("doc") != F.col("e.doc")) | (F.col("s") != F.col("e.s")))
         .select("doc", "th", "s", F.lit(1).cast("bigint").alias("n"))
     )
-    return copies.unionByName(others).unionByName(marked).unionByName(alone)
+    out = stash.keep(copies.unionByName(others).unionByName(marked).unionByName(alone), "covers")
+    stash.drop(whole, later, repeated, found, kinds, mixed)
+    return out
 
 
 def merged(places: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
