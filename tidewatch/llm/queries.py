@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, dac, decontaminate, licenses, minhash, pii, quality, repeats, toxicity, urls
 from tidewatch.llm.common import table
+from tidewatch.llm.oracle import oracle  # noqa: F401
 from tidewatch.session import scratch_path
 
 QUERIES: dict[str, Callable] = {}
@@ -82,7 +83,7 @@ def op5_host_rules(spark, sf_dir):
         "n_repeat_words",
         "base_failed",
         "kept",
-        "host_rate",
+        F.round("host_rate", 9).alias("host_rate"),
     )
 
 
@@ -135,7 +136,3 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_licenses(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir)).drop("text", "matches")
-
-
-def oracle() -> dict[str, str]:
-    return {}
