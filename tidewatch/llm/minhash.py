@@ -118,7 +118,6 @@ def components(stash: Stash, edges: DataFrame) -> DataFrame:
     a join that may split a busy id, so a hub's neighbours are never gathered in one place.
     """
     stars = stash.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    was = None
     while True:
         both = stars.select("u", "v").unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -135,11 +134,13 @@ def components(stash: Stash, edges: DataFrame) -> DataFrame:
         following = stash.keep(small, "stars")
         stash.drop(stars, large)
         stars = following
-        # equal number and checksum of the stars: nothing moved in this turn
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == was or not now[0]:
+        # done when every id hangs on one centre and no centre hangs on another
+        ends = stars.select(F.col("u").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("centre")).unionByName(
+            stars.select(F.col("v").alias("id"), F.lit(0).alias("hangs"), F.lit(1).alias("centre"))
+        )
+        roles = ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("centre").alias("centre"))
+        if roles.filter("hangs > 1 or (hangs > 0 and centre > 0)").isEmpty():
             break
-        was = now
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
@@ -270,15 +271,19 @@ def cluster(
         pairs = pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
         close = stash.keep(_agreeing(pairs, sketch, percent), "close")
         links = stash.keep(_linked(close, texts, percent, size), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        found = stash.keep(components(stash, edges), "components")
+        new = not links.isEmpty()
+        if new:
+            edges = links if edges is None else edges.unionByName(links)
+            found = stash.keep(components(stash, edges), "components")
         if turn == PIVOTS:
             break
-        following = (
-            rest.select("key", "id", "n", "busy")
-            .join(found, "id", "left")
-            .select("key", "id", "n", "busy", F.coalesce("component", "id").alias("component"))
-        )
+        following = rest.select("key", "id", "n", "busy", "component")
+        if new:
+            following = (
+                following.drop("component")
+                .join(found, "id", "left")
+                .select("key", "id", "n", "busy", F.coalesce("component", "id").alias("component"))
+            )
         following = stash.keep(following, "active")
         stash.drop(active, pivots, close)
         active = following
