@@ -2,11 +2,12 @@
 
 Rows with one shingle set form a class first; its smallest doc_id stands for it, so thousands of
 exact copies are one row from then on. Representatives that share a band meet in its bucket. A
-bucket is settled by pivots, not by all its pairs: its busiest row is compared with every row of
-another component, links join components, the pivot leaves, and a bucket whose rows are all in one
-component is done. What a pivot settles is settled for good, so no link that joins components is
-lost; what is left after ``PIVOTS`` rounds is compared pair by pair. A pair is compared only if the
-sizes allow the similarity, then by signature, then on its full sets.
+bucket is settled by pivots first: its busiest row is compared with every row of another component,
+links join components, the pivot leaves, and a bucket whose rows are all in one component is done.
+What a pivot settles is settled for good, so no link that joins components is lost. After
+``PIVOTS`` rounds the rows outside the component of the bucket's pivot are joined with the bucket.
+A pair leaves a join only if its sizes and one bit of each minimum allow the similarity; it is then
+compared by signature, and at last on its full sets.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 # Agreement of signatures a pair may fall short of its similarity by: over five deviations.
 SLACK = 0.15
-PIVOTS = 5
+PIVOTS = 2
 # Ids of candidate documents that may be broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
 _WORDS = 300_000
@@ -82,28 +83,32 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 def sketches(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """One row a document: size of its set, digest of the set, band keys, short signature."""
-    schema = "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary"
+    schema = (
+        "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary,"
+        " b1 bigint, b2 bigint, b3 bigint"
+    )
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
         hashes = worker_cache("shingle_words", WordHashes)
         band = np.arange(BANDS, dtype=np.uint64)
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
-        names = ["doc_id", "n", "d1", "d2", "bands", "sig"]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()] + [pa.int64()] * 3
+        names = ["doc_id", "n", "d1", "d2", "bands", "sig", "b1", "b2", "b3"]
         for batch in sliced(batches, "text"):
             out = []
             for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 own = shingles(t, size, hashes)
                 if not len(own):
-                    out.append((i, 0, i, None, None, None))  # spread by id, and joins nothing
+                    out.append((i, 0, i, None, None, None, None, None, None))  # spread by id, and joins nothing
                     continue
                 d1, d2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<i8")
                 low = signature(own)
                 key = mix(band + np.uint64(1))
                 for column in low.reshape(BANDS, ROWS).T:
                     key = mix(key * _STEP + column)
-                short = (mix(low) & np.uint64(0xFFFF)).astype("<u2").tobytes()
-                out.append((i, len(own), int(d1), int(d2), key.view(np.int64), short))
+                short = (mix(low) & np.uint64(0xFFFF)).astype("<u2")
+                bits = np.packbits((short & 1).astype(np.uint8)).view("<i8").tolist()
+                out.append((i, len(own), int(d1), int(d2), key.view(np.int64), short.tobytes(), *bits))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names
             )
@@ -231,8 +236,10 @@ def cluster(
     crowded = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = stash.keep(banded.join(crowded, "key").distinct(), "members")
     busy = members.groupBy("id").agg(F.sum("size").alias("busy"))
+    bits = named.select(F.col("doc_id").alias("id"), "b1", "b2", "b3").dropDuplicates(["id"])
+    carried = ["key", "id", "n", "busy", "b1", "b2", "b3"]
     active = stash.keep(
-        members.join(busy, "id").select("key", "id", "n", "busy", F.col("id").alias("component")), "active"
+        members.join(busy.join(bits, "id"), "id").select(*carried, F.col("id").alias("component")), "active"
     )
     stash.drop(members)
     wanted = stash.keep(active.select("id").distinct(), "ids")
@@ -241,33 +248,43 @@ def cluster(
         rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text"),
         "texts",
     )
-    fits = F.expr(f"100 * least(n, o) >= {percent} * greatest(n, o)")
+    differing = " + ".join(f"bit_count(b{i} ^ o{i})" for i in (1, 2, 3))
+    # one bit of each minimum differs for half the hashes that disagree; six deviations of room
+    share = (1 - percent / 100) / 2
+    most = round(HASHES * share + 6 * (HASHES * share * (1 - share)) ** 0.5)
+    fits = F.expr(
+        f"component != of and 100 * least(n, o) >= {percent} * greatest(n, o) and {differing} <= {most}"
+    )
     edges = found = None
+    other = ("pivot", "o", "of", "o1", "o2", "o3")
     for turn in range(PIVOTS + 1):
         open_ = active.groupBy("key").agg(
-            F.max(F.struct("busy", "id", "n", "component")).alias("p"),
+            F.max(F.struct("busy", "id", "n", "component", "b1", "b2", "b3")).alias("p"),
             F.min("component").alias("first"),
             F.max("component").alias("last"),
         ).filter("first != last")
         pivots = stash.keep(
-            open_.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("o"), F.col("p.component").alias("of")),
+            open_.select(
+                "key",
+                *[F.col(f"p.{c}").alias(o) for c, o in zip(("id", "n", "component", "b1", "b2", "b3"), other)],
+            ),
             "pivots",
         )
         if pivots.isEmpty():
             break
         if turn < PIVOTS:
-            rest = active.join(pivots, "key").filter("id != pivot")
-            pairs = rest.filter(F.col("component") != F.col("of")).filter(fits).select("pivot", "id")
+            pairs = active.join(pivots, "key").filter(fits)
         else:
-            left = active.join(pivots.select("key"), "key", "left_semi")
-            other = left.select("key", F.col("id").alias("pivot"), F.col("n").alias("o"), F.col("component").alias("of"))
-            pairs = (
-                left.join(other, "key")
-                .filter("id < pivot")
-                .filter(F.col("component") != F.col("of"))
-                .filter(fits)
-                .select("pivot", "id")
+            # rows of the pivot's component are linked among themselves already
+            outside = (
+                active.join(pivots.select("key", F.col("of").alias("main")), "key")
+                .filter("component != main")
+                .select("key", "id", "n", "component", "b1", "b2", "b3")
             )
+            everyone = active.select("key", *[F.col(c).alias(o) for c, o in zip(
+                ("id", "n", "component", "b1", "b2", "b3"), other
+            )])
+            pairs = outside.join(everyone, "key").filter(fits)
         pairs = pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
         close = stash.keep(_agreeing(pairs, sketch, percent), "close")
         links = stash.keep(_linked(close, texts, percent, size), "links")
@@ -277,12 +294,13 @@ def cluster(
             found = stash.keep(components(stash, edges), "components")
         if turn == PIVOTS:
             break
-        following = rest.select("key", "id", "n", "busy", "component")
+        following = active.join(pivots.select("key", "pivot"), "key").filter("id != pivot")
+        following = following.select(*carried, "component")
         if new:
             following = (
                 following.drop("component")
                 .join(found, "id", "left")
-                .select("key", "id", "n", "busy", F.coalesce("component", "id").alias("component"))
+                .select(*carried, F.coalesce("component", "id").alias("component"))
             )
         following = stash.keep(following, "active")
         stash.drop(active, pivots, close)
