@@ -87,7 +87,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the text that they spell, beside the columns of the documents."""
     path = public_tokenizers.path(VOCABULARY)
     ids, decoded = fresh(docs, "ids"), fresh(docs, "decoded")
-    return bpe.decode(bpe.encode(docs, path, ids=ids), path, ids, decoded)
+    return bpe.encode(docs, path, ids=ids, decoded=decoded)
 
 
 STAGES = [

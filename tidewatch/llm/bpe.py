@@ -239,14 +239,30 @@ def id_lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the token ids of every whole text; null and empty texts give an empty list."""
+def encode(
+    df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """Add the token ids of every whole text; null and empty texts give an empty list.
+
+    With ``decoded`` named, the ids are decoded in the same pass, a slice of texts at a time.
+    """
+    fields = [StructField(ids, ArrayType(IntegerType(), False), False)]
+    if decoded:
+        fields.append(StructField(decoded, StringType(), False))
 
     def make():
         own = codec(path)
-        return lambda texts: [id_lists([own.encode(t) for t in texts])]
 
-    return map_text(df, text, [StructField(ids, ArrayType(IntegerType(), False), False)], make)
+        def work(texts):
+            parts = [own.encode(t) for t in texts]
+            if not decoded:
+                return [id_lists(parts)]
+            back = [own.decode(np.frombuffer(p, "<i4").tolist()) for p in parts]
+            return [id_lists(parts), pa.array(back, pa.string())]
+
+        return work
+
+    return map_text(df, text, fields, make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -53,11 +53,16 @@ def let(value: Column, body: Callable) -> Column:
 
 
 def worker_cache(name: str, make: Callable):
-    """Value kept by the Python worker process between tasks; a lost worker only rebuilds it."""
+    """Value kept by the Python worker process between tasks; a lost worker only rebuilds it.
+
+    A worker keeps one value at a time, so the operators of a pipeline don't add up in its memory.
+    """
     holder = sys.modules.setdefault("_tidewatch_worker", types.ModuleType("_tidewatch_worker"))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    kept = holder.__dict__.setdefault("kept", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = make()
+    return kept[name]
 
 
 def utf8(column: pa.Array) -> list[bytes]:

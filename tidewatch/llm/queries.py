@@ -62,7 +62,7 @@ def op3_url_trees(spark, sf_dir):
 @query
 def op4_bpe(spark, sf_dir):
     path = public_tokenizers.path(VOCABULARY)
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir), path).drop("text"), path)
+    coded = bpe.encode(documents(spark, sf_dir), path, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
