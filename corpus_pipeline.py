@@ -19,6 +19,8 @@ from tidewatch.llm.queries import VOCABULARY
 
 # Ids that a stage may broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
+# Jaccard similarity, in percent, from which the pipeline takes documents for near copies.
+NEAR_PERCENT = 80
 
 
 def hidden(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -51,7 +53,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without doc_id stay. Rows that share a doc_id but not the text stay if one of them does.
     """
     stash = Stash(spark, "pipeline")
-    verdict = stash.keep(minhash.cluster(docs), "verdict").filter("doc_id is not null")
+    verdict = stash.keep(minhash.cluster(docs, percent=NEAR_PERCENT), "verdict").filter("doc_id is not null")
     ids = verdict.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     ids = stash.keep(ids.filter("not kept or rows > 1").withColumnRenamed("doc_id", "_of"), "ids")
     gone, repeated = ids.filter("not kept").select("_of"), ids.filter("kept").select("_of")

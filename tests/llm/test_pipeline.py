@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from tidewatch.llm import minhash
 from test_native import personal
 from test_search import alnum, groups, hits, windows
 from test_tokens import LIBRARY, wanted
@@ -88,3 +89,19 @@ def test_empty_documents(spark, folder, tmp_path):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_near_copies_from_four_fifths_go(spark, tmp_path):
+    words = [f"w{i}" for i in range(200)]
+    # one changed word at an end of the text is one shingle, inside it five
+    changed = [w + "x" if i in (30, 70, 110, 150) else w for i, w in enumerate(words)]
+    other = [w + "y" if i in (20, 50, 80, 110, 140, 170) else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(other))]
+    # the links: 176 of 216 shingles, 0.81; 166 of 226, 0.73
+    assert {i: g for i, (_, g) in groups(rows).items()} == {1: 1, 2: 2, 3: 3}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = pipeline.one_of_each(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    for percent in (80, 85):
+        bands, height = minhash.banding(percent)
+        assert (1 - (percent / 100) ** height) ** bands <= 3e-7 and bands * height <= minhash.HASHES

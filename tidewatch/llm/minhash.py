@@ -25,8 +25,9 @@ from tidewatch.llm.common import Stash, blank_words, sliced, utf8, worker_cache
 
 SHINGLE = 5
 PERCENT = 85
-BANDS, ROWS = 32, 6
-HASHES = BANDS * ROWS
+HASHES = 192
+# Probability that two sets at the threshold share no band.
+MISS = 3e-7
 # Agreement of signatures a pair may fall short of its similarity by: over five deviations.
 SLACK = 0.15
 PIVOTS = 2
@@ -81,17 +82,26 @@ def signature(own: np.ndarray) -> np.ndarray:
     return low
 
 
-def sketches(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows a band: as many rows as let a link at the threshold be missed with ``MISS`` at most."""
+    for rows in range(HASHES, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (HASHES // rows) <= MISS:
+            return HASHES // rows, rows
+    return HASHES, 1
+
+
+def sketches(df: DataFrame, doc_id: str, text: str, size: int, percent: int = PERCENT) -> DataFrame:
     """One row a document: size of its set, digest of the set, band keys, short signature."""
     schema = (
         "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary,"
         " b1 bigint, b2 bigint, b3 bigint"
     )
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    bands, height = banding(percent)
 
     def run(batches):
         hashes = worker_cache("shingle_words", WordHashes)
-        band = np.arange(BANDS, dtype=np.uint64)
+        band = np.arange(bands, dtype=np.uint64)
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()] + [pa.int64()] * 3
         names = ["doc_id", "n", "d1", "d2", "bands", "sig", "b1", "b2", "b3"]
         for batch in sliced(batches, "text"):
@@ -104,7 +114,7 @@ def sketches(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 d1, d2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<i8")
                 low = signature(own)
                 key = mix(band + np.uint64(1))
-                for column in low.reshape(BANDS, ROWS).T:
+                for column in low[: bands * height].reshape(bands, height).T:
                     key = mix(key * _STEP + column)
                 short = (mix(low) & np.uint64(0xFFFF)).astype("<u2")
                 bits = np.packbits((short & 1).astype(np.uint8)).view("<i8").tolist()
@@ -223,7 +233,7 @@ def cluster(
     spark = df.sparkSession
     stash = Stash(spark, "minhash")
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sketch = stash.keep(sketches(rows, "doc_id", "text", size), "sketch")
+    sketch = stash.keep(sketches(rows, "doc_id", "text", size, percent), "sketch")
     named = sketch.filter("n > 0 and doc_id is not null")
     classes = stash.keep(
         named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes"
