@@ -74,6 +74,21 @@ def test_terms_that_give_an_entity_away(spark):
     assert all(s["kind"] != "term" for r in pii.attach(copies, pii.find(copies), "doc_id", "text").collect() for s in r.spans)
 
 
+def term_spans(df):
+    """Terms masked in each document."""
+    rows = pii.attach(df, pii.find(df), "doc_id", "text").collect()
+    return {r.doc_id: {r.text[s["start"] : s["end"]] for s in r.spans if s["kind"] == "term"} for r in rows}
+
+
+def test_terms_of_entities_seen_once(spark):
+    rows = [(0, "the plan that quuxly sent from q@x.org is")] + [(i, f"the plan of day {i} is") for i in range(1, 400)]
+    rows += [(1000 + i, f"the plan that zorb sent from z@x.org is {i}") for i in range(2)]
+    out = term_spans(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert "quuxly" in out[0] and "zorb" in out[1000] and "zorb" in out[1001]
+    # words of many texts give nothing away
+    assert not {"the", "plan"} & set().union(*out.values())
+
+
 def test_redaction_masks_spans(spark):
     kinds = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = [

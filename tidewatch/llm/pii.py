@@ -2,9 +2,11 @@
 
 The protected entities are the values the patterns find. How much a term t near an entity c reveals
 of it is their pointwise mutual information over the corpus as a share of the information c itself
-carries: log(n(c,t) N / (n(c) n(t))) / log(N / n(c)), with n counting different documents of all N.
-It is 1 if t occurs only where c does. Terms whose share reaches ``disclosure`` and that are seen
-with the entity in ``support`` different texts are generalised beside it.
+carries: log(p(c|t) / p(c)) / log(1 / p(c)), with p(c) = n(c) / N and n counting different documents
+of all N. p(c|t) = (n(c,t) + m p(c)) / (n(t) + m) is shrunk to p(c) by ``prior`` m documents, so the
+share is defined for a pair seen once too and nears 1 with the evidence if t occurs only where c
+does. Terms whose share reaches ``disclosure`` are generalised beside the entity. An entity that
+all documents hold carries no information, so nothing gives it away.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CONTEXT_CHARS = 160
 CONTEXT_WORDS = 5
 DISCLOSURE = 0.8
-SUPPORT = 4
+PRIOR = 2.0
 TERM = r"[\p{L}\p{N}]{3,}"
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -149,7 +151,7 @@ def disclosing(
     found: DataFrame,
     text: str,
     disclosure: float,
-    support: int,
+    prior: float,
 ) -> DataFrame:
     """Term spans next to entities that they give away: doc_id, h, start, end."""
     near = F.concat(
@@ -158,9 +160,7 @@ def disclosing(
     )
     context = found.withColumn("word", F.explode(near)).select("doc_id", "h", "kind", F.lower("value").alias("value"), "word.*")
     pairs = context.select("kind", "value", "term", "h").distinct()
-    seen = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("n_both")).filter(
-        F.col("n_both") >= support
-    )
+    seen = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("n_both"))
     holders = found.select("kind", F.lower("value").alias("value"), "h").distinct()
     of_entity = holders.groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
     words = df.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).select(
@@ -169,11 +169,11 @@ def disclosing(
     of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = df.count()
     terms = seen.join(of_entity, ["kind", "value"]).join(of_term, "term")
-    information = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    shared = F.log2(
-        F.col("n_both") * F.lit(float(max(total, 2))) / (F.col("n_entity") * F.col("n_term"))
-    )
-    revealing = terms.filter(shared >= disclosure * information).select("kind", "value", "term")
+    own = F.col("n_entity") / F.lit(float(max(total, 1)))
+    given = (F.col("n_both") + prior * own) / (F.col("n_term") + prior)
+    # the share reaches disclosure, without logarithms
+    reached = (own < 1) & (given >= F.pow(own, F.lit(1 - disclosure)))
+    revealing = terms.filter(reached).select("kind", "value", "term")
     return context.join(revealing, ["kind", "value", "term"]).select("doc_id", "h", "start", "end").distinct()
 
 
@@ -182,7 +182,7 @@ def find(
     doc_id: str = "doc_id",
     text: str = "text",
     disclosure: float = DISCLOSURE,
-    support: int = SUPPORT,
+    prior: float = PRIOR,
 ) -> DataFrame:
     """doc_id, h (hash of the text) and spans, one row for each different row with a span.
 
@@ -192,7 +192,7 @@ def find(
     """
     stash = Stash(df.sparkSession, "pii")
     found = stash.keep(entities(df, doc_id, text), "entities")
-    terms = disclosing(df, found, text, disclosure, support)
+    terms = disclosing(df, found, text, disclosure, prior)
     spans = found.select("doc_id", "h", "kind", "start", "end").unionByName(
         terms.withColumn("kind", F.lit("term")).select("doc_id", "h", "kind", "start", "end")
     )
