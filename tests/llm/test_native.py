@@ -89,6 +89,14 @@ def test_terms_of_entities_seen_once(spark):
     assert not {"the", "plan"} & set().union(*out.values())
 
 
+def test_copies_count_once_in_all_counts(spark):
+    # five different texts of an address, 40 copies each, among 60 others
+    rows = [(1000 * k + i, f"agent zorblax wrote from z@x.org on day{k}") for k in range(5) for i in range(40)]
+    rows += [(10_000 + i, f"the plan of day {i} is about nothing and note {i}") for i in range(60)]
+    out = term_spans(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert all("zorblax" in out[1000 * k + i] for k in range(5) for i in range(40))
+
+
 def test_redaction_masks_spans(spark):
     kinds = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = [

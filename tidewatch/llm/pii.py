@@ -32,6 +32,8 @@ CONTEXT_CHARS = 160
 CONTEXT_WORDS = 5
 DISCLOSURE = 0.8
 PRIOR = 2.0
+# Rows that a side of a join may have to be broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS = 500_000
 TERM = r"[\p{L}\p{N}]{3,}"
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -146,7 +148,34 @@ def entities(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def _terms(text: Column) -> Column:
+    """Different terms of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
+
+
+def _small(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def term_counts(stash: Stash, df: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """(term, n_term) over different texts, and how many texts there are.
+
+    Texts are not moved: rows of a text with c copies are counted by c, and their number is divided
+    by c, which leaves no rest.
+    """
+    rows = df.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).filter("t is not null")
+    copies = stash.keep(rows.groupBy("h").agg(F.count("*").alias("copies")), "copies")
+    again = copies.filter("copies > 1")
+    words = rows.join(_small(again), "h", "left").select(
+        F.explode(_terms(F.col("t"))).alias("term"), F.coalesce("copies", F.lit(1)).alias("copies")
+    )
+    by_copies = words.groupBy("term", "copies").agg(F.count("*").alias("rows"))
+    of_term = by_copies.groupBy("term").agg(F.sum(F.expr("rows div copies")).alias("n_term"))
+    return of_term, copies.count()
+
+
 def disclosing(
+    stash: Stash,
     df: DataFrame,
     found: DataFrame,
     text: str,
@@ -163,11 +192,7 @@ def disclosing(
     seen = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("n_both"))
     holders = found.select("kind", F.lower("value").alias("value"), "h").distinct()
     of_entity = holders.groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
-    words = df.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).select(
-        F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"))).alias("term")
-    )
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = df.count()
+    of_term, total = term_counts(stash, df, text)
     terms = seen.join(of_entity, ["kind", "value"]).join(of_term, "term")
     own = F.col("n_entity") / F.lit(float(max(total, 1)))
     given = (F.col("n_both") + prior * own) / (F.col("n_term") + prior)
@@ -192,7 +217,7 @@ def find(
     """
     stash = Stash(df.sparkSession, "pii")
     found = stash.keep(entities(df, doc_id, text), "entities")
-    terms = disclosing(df, found, text, disclosure, prior)
+    terms = disclosing(stash, df, found, text, disclosure, prior)
     spans = found.select("doc_id", "h", "kind", "start", "end").unionByName(
         terms.withColumn("kind", F.lit("term")).select("doc_id", "h", "kind", "start", "end")
     )
