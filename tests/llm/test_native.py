@@ -97,6 +97,19 @@ def test_copies_count_once_in_all_counts(spark):
     assert all("zorblax" in out[1000 * k + i] for k in range(5) for i in range(40))
 
 
+def test_terms_are_found_in_the_whole_text(spark):
+    far = "the plan of the day is about nothing " * 30
+    rows = [(i, f"Zorblax wrote from z@x.org {far} and zorblax\nwrote again of item{i} " + far) for i in range(8)]
+    rows += [(100 + i, f"{far} note {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in pii.attach(df, pii.find(df), "doc_id", "text").collect():
+        if r.doc_id < 8:
+            own = [(s["start"], s["end"]) for s in r.spans if s["kind"] == "term"]
+            assert {m.span() for m in re.finditer("(?i)zorblax|again", r.text)} <= set(own)
+            low, high = next((s["start"], s["end"]) for s in r.spans if s["kind"] == "email")
+            assert len(own) == len(set(own)) and not any(low <= s < high for s, _ in own)
+
+
 def test_redaction_masks_spans(spark):
     kinds = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = [

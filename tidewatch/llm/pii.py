@@ -1,12 +1,13 @@
 """Personal data: fixed kinds by pattern, and terms that give them away, in built-in functions only.
 
-The protected entities are the values the patterns find. How much a term t near an entity c reveals
+The protected entities are the values the patterns find. How much a term t in the documents of an entity c reveals
 of it is their pointwise mutual information over the corpus as a share of the information c itself
 carries: log(p(c|t) / p(c)) / log(1 / p(c)), with p(c) = n(c) / N and n counting different documents
 of all N. p(c|t) = (n(c,t) + m p(c)) / (n(t) + m) is shrunk to p(c) by ``prior`` m documents, so the
 share is defined for a pair seen once too and nears 1 with the evidence if t occurs only where c
-does. Terms whose share reaches ``disclosure`` are generalised beside the entity. An entity that
-all documents hold carries no information, so nothing gives it away.
+does. Terms whose share reaches ``disclosure`` are generalised wherever they stand in the documents
+that hold the entity. An entity that all documents hold carries no information, so nothing gives it
+away.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ PATTERNS = {
 }
 # A match must hold the character, which is cheaper to look for than the pattern.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-CONTEXT_CHARS = 160
-CONTEXT_WORDS = 5
 DISCLOSURE = 0.8
 PRIOR = 2.0
 # Rows that a side of a join may have to be broadcast; beyond it the join is shuffled.
@@ -65,7 +64,7 @@ def valid(kind: Column, value: Column) -> Column:
 
 
 def _pieces(text: Column, kind: str) -> Column:
-    """Matches of a kind, each with the text between it and the one before, and the text after."""
+    """Matches of a kind, each with the length of the text between it and the one before."""
     pattern = F.lit(PATTERNS[kind])
     needs = text.rlike("[0-9]") if kind == "card" else F.contains(text, F.lit(_NEEDS[kind]))
 
@@ -76,8 +75,6 @@ def _pieces(text: Column, kind: str) -> Column:
             i.alias("place"),
             F.length(gap).cast("bigint").alias("gap"),
             value.alias("value"),
-            F.right(gap, F.lit(CONTEXT_CHARS)).alias("left"),
-            F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS)).alias("right"),
         )
 
     rows = let(
@@ -90,37 +87,8 @@ def _pieces(text: Column, kind: str) -> Column:
     return F.when(needs, rows)
 
 
-def _context(text: Column, start: Column, keep_last: bool) -> Column:
-    """The words of a short text nearest to an entity, with their places in the document."""
-    split = F.regexp_extract_all(text, F.lit(rf"(.*?)({TERM})"), 0)
-    size = F.regexp_extract_all(text, F.lit(rf"(.*?)({TERM})"), 2)
-    walked = F.aggregate(
-        F.arrays_zip(split.alias("s"), size.alias("w")),
-        F.struct(
-            F.lit(0).cast("bigint").alias("at"),
-            F.array().cast("array<struct<term:string,start:bigint,end:bigint>>").alias("out"),
-        ),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["s"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        F.lower(p["w"]).alias("term"),
-                        (start + a["at"] + F.length(p["s"]) - F.length(p["w"])).alias("start"),
-                        (start + a["at"] + F.length(p["s"])).alias("end"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
-    many = F.size(walked) > CONTEXT_WORDS
-    first = -CONTEXT_WORDS if keep_last else 1
-    return F.when(many, F.slice(walked, first, CONTEXT_WORDS)).otherwise(walked)
-
-
 def entities(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row for every valid match of every different (doc_id, text): places and context.
+    """One row for every valid match of every different (doc_id, text), with its place.
 
     Offsets are code points, end exclusive. The text before a match and between matches is measured
     in the row that holds it; only the matches themselves are shuffled.
@@ -136,7 +104,7 @@ def entities(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     ).select("doc_id", "h", F.inline("all"))
     # repeated rows count once
     found = found.groupBy("doc_id", "h", "kind", "place").agg(
-        F.min(F.struct("gap", "value", "left", "right")).alias("m")
+        F.min(F.struct("gap", "value")).alias("m")
     ).select("doc_id", "h", "kind", "place", "m.*")
     order = Window.partitionBy("doc_id", "h", "kind").orderBy("place")
     end = F.sum(F.col("gap") + F.length("value")).over(order)
@@ -144,7 +112,7 @@ def entities(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         found.withColumn("end", end)
         .withColumn("start", F.col("end") - F.length("value"))
         .filter(valid(F.col("kind"), F.col("value")))
-        .select("doc_id", "h", "kind", "start", "end", "value", "left", "right")
+        .select("doc_id", "h", "kind", "start", "end", "value")
     )
 
 
@@ -157,8 +125,8 @@ def _small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def term_counts(stash: Stash, df: DataFrame, text: str) -> tuple[DataFrame, int]:
-    """(term, n_term) over different texts, and how many texts there are.
+def term_counts(stash: Stash, df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(term, n_term) over different texts, and one row for each of these.
 
     Texts are not moved: rows of a text with c copies are counted by c, and their number is divided
     by c, which leaves no rest.
@@ -171,7 +139,28 @@ def term_counts(stash: Stash, df: DataFrame, text: str) -> tuple[DataFrame, int]
     )
     by_copies = words.groupBy("term", "copies").agg(F.count("*").alias("rows"))
     of_term = by_copies.groupBy("term").agg(F.sum(F.expr("rows div copies")).alias("n_term"))
-    return of_term, copies.count()
+    return of_term, copies
+
+
+def _placed(texts: DataFrame, marks: DataFrame, found: DataFrame) -> DataFrame:
+    """h, start and end of marked terms in different texts (h, t), but for terms that start inside an entity."""
+
+    def row(both: Column) -> Column:
+        word = F.regexp_extract(both, f"({TERM})$", 1)
+        size = F.length(both).cast("bigint")
+        return F.struct(size.alias("size"), F.lower(word).alias("term"), F.length(word).alias("width"))
+
+    steps = F.regexp_extract_all("t", F.lit(rf"(?s)(.*?)({TERM})"), 0)
+    words = texts.select("h", F.posexplode(F.transform(steps, row)).alias("place", "w")).select("h", "place", "w.*")
+    end = F.sum("size").over(Window.partitionBy("h").orderBy("place"))
+    words = words.withColumn("end", end).select("h", "term", (F.col("end") - F.col("width")).alias("start"), "end")
+    marked = words.join(marks, ["h", "term"]).select("h", "start", "end", F.lit(1).alias("word"))
+    own = found.select("h", "start", "end").distinct().join(_small(marks.select("h").distinct()), "h", "left_semi")
+    both = marked.unionByName(own.withColumn("word", F.lit(0)))
+    # entities come before words that start with them
+    before = Window.partitionBy("h").orderBy("start", "word").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("word") == 0, F.col("end"))).over(before)
+    return both.withColumn("reach", reach).filter("word = 1 and coalesce(reach, 0) <= start").select("h", "start", "end")
 
 
 def disclosing(
@@ -182,24 +171,44 @@ def disclosing(
     disclosure: float,
     prior: float,
 ) -> DataFrame:
-    """Term spans next to entities that they give away: doc_id, h, start, end."""
-    near = F.concat(
-        _context(F.col("left"), F.col("start") - F.length("left"), True),
-        _context(F.col("right"), F.col("end"), False),
-    )
-    context = found.withColumn("word", F.explode(near)).select("doc_id", "h", "kind", F.lower("value").alias("value"), "word.*")
-    pairs = context.select("kind", "value", "term", "h").distinct()
-    seen = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("n_both"))
+    """Spans of terms in the whole texts of the entities that they give away: h, start, end.
+
+    Terms of a text meet its entities only if their counts let the share reach ``disclosure``, were
+    they together as often as the rarer of them is seen; no pair that reaches it is lost by that.
+    """
+    of_term, copies = term_counts(stash, df, text)
+    total = copies.count()
+    size = float(max(total, 1))
     holders = found.select("kind", F.lower("value").alias("value"), "h").distinct()
     of_entity = holders.groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
-    of_term, total = term_counts(stash, df, text)
-    terms = seen.join(of_entity, ["kind", "value"]).join(of_term, "term")
-    own = F.col("n_entity") / F.lit(float(max(total, 1)))
-    given = (F.col("n_both") + prior * own) / (F.col("n_term") + prior)
-    # the share reaches disclosure, without logarithms
-    reached = (own < 1) & (given >= F.pow(own, F.lit(1 - disclosure)))
-    revealing = terms.filter(reached).select("kind", "value", "term")
-    return context.join(revealing, ["kind", "value", "term"]).select("doc_id", "h", "start", "end").distinct()
+    held = stash.keep(holders.join(of_entity, ["kind", "value"]).filter(F.col("n_entity") < total), "held")
+    most = held.agg(F.max("n_entity")).first()[0]
+    whole = _small(found.select("h").distinct())
+    texts = df.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(whole, "h", "left_semi")
+    if most is None:
+        return held.select("h", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"))
+
+    def reached(both: Column, n_term: Column, n_entity: Column) -> Column:
+        """The share reaches disclosure, without logarithms."""
+        own = n_entity / F.lit(size)
+        return (both + prior * own) / (n_term + prior) >= F.pow(own, F.lit(1 - disclosure))
+
+    # what the most frequent entity admits, every rarer one does too; a little room for rounding
+    limit = (most + prior * most / size) / (most / size) ** (1 - disclosure) * 1.000001
+    rare = of_term.filter(F.col("n_term") <= limit)
+    words = texts.select("h", F.explode(_terms(F.col("t"))).alias("term")).distinct().join(rare, "term")
+    n_term, n_entity = F.col("n_term"), F.col("n_entity")
+    pairs = words.join(held, "h").filter(reached(F.least(n_term, n_entity), n_term, n_entity))
+    pairs = stash.keep(pairs, "pairs")
+    stash.drop(copies, held)
+    together = pairs.groupBy("kind", "value", "term").agg(
+        F.count("*").alias("n_both"), F.min("n_term").alias("n_term"), F.min("n_entity").alias("n_entity")
+    )
+    revealing = together.filter(reached(F.col("n_both"), n_term, n_entity)).select("kind", "value", "term")
+    marks = stash.keep(pairs.join(revealing, ["kind", "value", "term"]).select("h", "term").distinct(), "marks")
+    stash.drop(pairs)
+    marked = texts.join(_small(marks.select("h").distinct()), "h", "left_semi").dropDuplicates(["h"])
+    return _placed(marked, marks, found)
 
 
 def find(
@@ -218,9 +227,10 @@ def find(
     stash = Stash(df.sparkSession, "pii")
     found = stash.keep(entities(df, doc_id, text), "entities")
     terms = disclosing(stash, df, found, text, disclosure, prior)
-    spans = found.select("doc_id", "h", "kind", "start", "end").unionByName(
-        terms.withColumn("kind", F.lit("term")).select("doc_id", "h", "kind", "start", "end")
-    )
+    of_text = terms.groupBy("h").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("s"))
+    owners = found.select("doc_id", "h").distinct()
+    terms = owners.join(of_text, "h").select("doc_id", "h", F.inline("s"))
+    spans = found.select("doc_id", "h", "kind", "start", "end").unionByName(terms)
     order = F.array_position(F.array(*map(F.lit, (*KINDS, "term"))), F.col("kind"))
     ordered = F.array_sort(
         F.collect_list(F.struct(order.alias("o"), "start", "end", "kind"))
