@@ -175,6 +175,16 @@ def test_url_trees_beat_the_majority_on_held_out_urls(spark):
     assert right > 0.95 and right > most
 
 
+def test_url_statistics_cover_all_pages(spark):
+    rows = [f"http://a{i}.com/x/{i}" for i in range(30)] + [f"http://b{i}.net/es/{i}" for i in range(30)]
+    rows += [f"http://c{i % 4}.org/y/{i}" for i in range(40)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id int, url string")
+    model = urls.fit(df, sample=20)
+    got = {r["_suffix"]: (r["f_suffix_share"], r["f_suffix_rate"]) for r in model.statistics["_suffix"].collect()}
+    assert got == {"com": (0.3, 5 / 40), "net": (0.3, 35 / 40), "org": (0.4, 0.5)}
+    assert sum(r["f_suffix2_share"] == 0.1 for r in model.statistics["_suffix2"].collect()) == 4
+
+
 def repeated(words):
     seen = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     return len({j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)})

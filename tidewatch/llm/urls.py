@@ -7,6 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import Stash
+
 # Fixed values: (verdict, host, path); a rule holds for its host and all subdomains.
 RULES = (
     ("allow", "com", "/"),
@@ -16,6 +18,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 SAMPLE = 20_000
+# Rows that a table of statistics may have to be broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS = 200_000
 ROUNDS = 12
 DEPTH = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,14 +94,32 @@ def features(df: DataFrame, url: str = "url") -> DataFrame:
         "f_slash": F.endswith(path, F.lit("/")).cast("int"),
     }
     made = {k: v.cast("double") for k, v in made.items()}
-    return df.withColumns(
-        {
-            **made,
-            "_suffix": F.substring_index(host, ".", -1),
-            "_suffix2": F.substring_index(host, ".", -2),
-            "_folder": F.regexp_extract(path, r"^/([^/]*)/", 1),
-        }
-    )
+    return df.withColumns({**made, **_keys()})
+
+
+def _keys() -> dict[str, Column]:
+    """What statistics are kept of: the host's last label, its last two, the path's first folder."""
+    host, path = F.col("host"), F.col("path")
+    return {
+        "_suffix": F.substring_index(host, ".", -1),
+        "_suffix2": F.substring_index(host, ".", -2),
+        "_folder": F.regexp_extract(path, r"^/([^/]*)/", 1),
+    }
+
+
+def _statistics(pages: DataFrame) -> tuple[dict[str, DataFrame], float]:
+    """Share of all pages and shrunk rate of blocked ones among the ruled, by key; mean rate."""
+    whole = pages.agg(F.count("*").alias("n"), F.avg("label").alias("mean")).first()
+    stash = Stash(pages.sparkSession, "urls")
+    made = {}
+    for key, value in _keys().items():
+        table = pages.groupBy(value.alias(key)).agg(
+            ((F.coalesce(F.sum("label"), F.lit(0.0)) + 10 * whole.mean) / (F.count("label") + 10)).alias(f"f{key}_rate"),
+            (F.count("*") / whole.n).alias(f"f{key}_share"),
+        )
+        table = stash.keep(table, key)
+        made[key] = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    return made, whole.mean
 
 
 class UrlModel:
@@ -109,7 +131,7 @@ class UrlModel:
 
 def _with_statistics(df: DataFrame, statistics: dict[str, DataFrame], mean: float) -> DataFrame:
     for key, table in statistics.items():
-        df = df.join(F.broadcast(table), key, "left").fillna({f"f{key}_rate": mean, f"f{key}_share": 0.0})
+        df = df.join(table, key, "left").fillna({f"f{key}_rate": mean, f"f{key}_share": 0.0})
     return df
 
 
@@ -117,14 +139,12 @@ def fit(df: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE) -> U
     """Train on urls that a rule decides.
 
     At most ``sample`` distinct urls with the lowest hashes are used, so training does not grow with
-    the table, and the suffix statistics have at most that many rows, which bounds their broadcast.
-    With one class or none there are no trees and the class, or allow, is the verdict.
+    the table. The suffix statistics are those of all pages and all ruled pages. With one class or none there are no trees and the class, or allow, is the verdict.
     """
     rule, verdict = ruled(rules)
+    pages = parts(df.select(F.col(url).alias("url"))).withColumn("label", (verdict == "block").cast("double"))
     labelled = (
-        parts(df.select(F.col(url).alias("url")))
-        .withColumn("label", (verdict == "block").cast("double"))
-        .filter("label is not null")
+        pages.filter("label is not null")
         .groupBy("url", "host", "path", "label")
         .agg(F.count("*").alias("copies"))
         .orderBy(F.xxhash64("url"), "url")
@@ -136,17 +156,8 @@ def fit(df: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE) -> U
     if not found.n or found.mean in (0.0, 1.0):
         rows.unpersist()
         return UrlModel(None, {}, [], "block" if found.n and found.mean == 1.0 else "allow")
-    statistics = {
-        key: rows.groupBy(key).agg(
-            ((F.sum("label") + 10 * found.mean) / (F.count("*") + 10)).alias(f"f{key}_rate"),
-            (F.count("*") / found.n).alias(f"f{key}_share"),
-        )
-        for key in ("_suffix", "_suffix2", "_folder")
-    }
-    # bounded by the sample; literal tables, so scoring does not read the sample again
-    spark = df.sparkSession
-    statistics = {k: spark.createDataFrame(t.collect(), t.schema) for k, t in statistics.items()}
-    whole = _with_statistics(rows, statistics, found.mean)
+    statistics, mean = _statistics(pages)
+    whole = _with_statistics(rows, statistics, mean)
     names = [c for c in whole.columns if c.startswith("f_")]
     table = VectorAssembler(inputCols=names, outputCol="_features").transform(whole)
     trees = GBTClassifier(
@@ -154,7 +165,7 @@ def fit(df: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE) -> U
     ).fit(table.select("_features", "label"))
     rows.unpersist()
     model = UrlModel(trees, statistics, names, "allow")
-    model.mean = found.mean
+    model.mean = mean
     return model
 
 
