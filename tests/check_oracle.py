@@ -66,7 +66,7 @@ def differences(spark_df, relation) -> str | None:
         return f"columns {list(found.columns)} != {list(wanted.columns)}"
     if len(found) != len(wanted):
         return f"rows {len(found)} != {len(wanted)}"
-    unequal = (found != wanted).any(axis=1)
+    unequal = ((found != wanted) & ~(found.isna() & wanted.isna())).any(axis=1)
     if unequal.any():
         at = unequal.idxmax()
         return f"{int(unequal.sum())} rows differ, first:\n{found.loc[at].to_dict()}\n{wanted.loc[at].to_dict()}"

@@ -50,18 +50,17 @@ def _dense(stored: DataFrame, name: str, slot: str = "_slot") -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+def number_rows(
+    df: DataFrame, order: list[str], name: str = "position", keep: list[str] | None = None
+) -> DataFrame:
     """Dense 0-based position of every row in the order of ``order``.
 
     A range shuffle spreads equal leading keys over many tasks as long as the order columns
     together are unique. The sorted rows are stored once, so positions never change between
-    actions or after a lost executor.
+    actions or after a lost executor. ``keep`` names the columns to store, if not all.
     """
-    ordered = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    )
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = ordered.select(*(keep or ["*"]), F.monotonically_increasing_id().alias("_slot"))
     return _dense(freeze(ordered, "ordered"), name)
 
 
