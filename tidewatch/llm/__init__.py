@@ -1 +1 @@
-"""Operators for preparing training text: ten corpus operators, their queries and their SQL."""
+"""Operators for preparing training text: thirteen corpus operators, their queries and their SQL."""

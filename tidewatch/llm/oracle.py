@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, minhash, quality
+from tidewatch.llm import decontaminate, joins, minhash, quality, ranking
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -26,8 +26,8 @@ def _benchmark() -> str:
  from d left join covered using (row_id) left join found using (row_id)"""
 
 
-def _near_copies() -> str:
-    k, percent = minhash.SHINGLE, minhash.PERCENT
+def _similar(k: int, percent: int) -> str:
+    """doc_id, n_shingles and component_id of every document."""
     return f"""with recursive d as (select doc_id, {_BLANK.format(_LOWER)} as words from documents),
  s as (select distinct doc_id, array_to_string(words[i:i + {k - 1}], ' ') as shingle
   from (select doc_id, words, unnest(range(1, greatest(len(words) - {k - 1}, 1) + 1)) as i from d where len(words) > 0)),
@@ -37,8 +37,54 @@ def _near_copies() -> str:
  edges as (select a, b from links union all select b, a from links),
  reach as (select doc_id, doc_id as other from n union select r.doc_id, e.b from reach r join edges e on e.a = r.other),
  lowest as (select doc_id, min(other) as component_id from reach group by doc_id)
- select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id,
-  doc_id = coalesce(component_id, doc_id) as kept from d left join n using (doc_id) left join lowest using (doc_id)"""
+ select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id
+ from d left join n using (doc_id) left join lowest using (doc_id)"""
+
+
+def _near_copies() -> str:
+    found = _similar(minhash.SHINGLE, minhash.PERCENT)
+    return f"select *, doc_id = component_id as kept from ({found})"
+
+
+def _ranked() -> str:
+    length, gain = ranking.LENGTH_PERCENT, ranking.GAIN
+    return f"""with d as (select row_number() over () as row_id, doc_id, {_ALNUM.format(_LOWER)} as terms from documents),
+ b as (select row_number() over () as item, item_id, {_ALNUM.format(_LOWER)} as terms from benchmark),
+ n as (select row_id, doc_id, len(terms) as n from d where len(terms) > 0),
+ c as (select count(*) as docs, cast(sum(n) as bigint) as total from n),
+ q as (select distinct item, item_id, unnest(terms) as term from b),
+ p as (select row_id, term, count(*) as tf from (select row_id, unnest(terms) as term from d)
+  where term in (select term from q) group by row_id, term),
+ w as (select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1))) as bigint) as w from p cross join c group by term, docs),
+ s as (select item, item_id, row_id, doc_id,
+   cast(sum(w * (({gain} * tf) // (1000 * tf + 20 * ({100 - length} + ({length} * n * docs) // total)))) as bigint) as score
+  from q join p using (term) join w using (term) join n using (row_id) cross join c group by item, item_id, row_id, doc_id),
+ r as (select *, cast(row_number() over (partition by item order by score desc, doc_id nulls last) as integer) as rank from s where score > 0)
+ select item_id, rank, doc_id, score from r where rank <= {ranking.TOP}"""
+
+
+def _trie() -> str:
+    bit = "list_reduce([{}, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    letters = "list_transform(range(1, len(cast(conv_id as varchar)) + 1), lambda i: cast(ascii(cast(conv_id as varchar)[i]) as bigint))"
+    crc = f"xor(list_reduce(list_concat([4294967295], {letters}), lambda a, b: {bit.format('xor(a, b)')}), 4294967295)"
+    return f"""with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null),
+ c as (select conv_id, conv_id - conv_id % 5 as base, count(*) as size, {crc} % 9 as h from o group by conv_id),
+ k as (select c.conv_id, c.base, c.h, least(c.h, coalesce(b.size, 0)) as taken from c left join c b on b.conv_id = c.base),
+ r as (select k.conv_id, o.pos, role, text from k join o on o.conv_id = k.base and o.pos <= k.h
+  union all select k.conv_id, o.pos - h + taken, role, text from k join o on o.conv_id = k.conv_id and o.pos > h),
+ s as (select k.conv_id, coalesce(list(struct_pack(role := role, text := text) order by pos) filter (where pos is not null), []) as turns
+  from k left join r using (conv_id) group by k.conv_id),
+ m as (select conv_id, turns, unnest(range(0, len(turns) + 1)) as depth from s),
+ n as (select turns[1:depth] as key, depth, min(conv_id) as conv_id, count(*) as n_convs, bool_and(len(turns) = depth) as leaf,
+  string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where len(turns) = depth) as ends from m group by 1, 2),
+ v as (select *, case when depth = 0 then 0 else (n_convs - 1) * strlen(key[depth].text) end as saved from n),
+ t as (select key[1:lev] as key, lev as depth, sum(cast(leaf as bigint)) as n_leaves, sum(saved) as saved_tokens, count(*) filter (where depth = lev + 1) as n_children
+  from (select *, unnest(range(0, depth + 1)) as lev from v) group by 1, 2)
+ select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n_convs, t.n_children, cast(t.n_leaves as bigint) as n_leaves,
+  cast(t.saved_tokens as bigint) as saved_tokens, sha256(coalesce(v.ends, '')) as ends_sha256
+  from v join t on t.depth = v.depth and t.key = v.key left join n p on p.depth = v.depth - 1 and p.key = v.key[1:v.depth - 1]"""
 
 
 def _host_rules() -> str:
@@ -73,5 +119,8 @@ def oracle() -> dict[str, str]:
         "op5_host_rules": _host_rules(),
         "op6_fm_index": _benchmark(),
         "op7_minhash": _near_copies(),
+        "op11_forward_trie": _trie(),
+        "op12_mask_ranking": _ranked(),
+        "op13_group_join": _similar(joins.SHINGLE, joins.PERCENT),
     }
     return {name: " ".join(text.split("\n")) for name, text in sql.items()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, dac, decontaminate, licenses, minhash, pii, quality, repeats, toxicity, urls
+from tidewatch.llm import bpe, dac, decontaminate, joins, licenses, minhash, pii, quality, ranking, repeats, toxicity, trie, urls
 from tidewatch.llm.common import table
 from tidewatch.llm.oracle import oracle  # noqa: F401
 from tidewatch.session import scratch_path
@@ -136,3 +136,19 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_licenses(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir)).drop("text", "matches")
+
+
+@query
+def op11_forward_trie(spark, sf_dir):
+    turns, conversations = trie.rebuilt(table(spark, sf_dir, "conversations"))
+    return trie.trie(turns, conversations)
+
+
+@query
+def op12_mask_ranking(spark, sf_dir):
+    return ranking.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_group_join(spark, sf_dir):
+    return joins.join(documents(spark, sf_dir))
