@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
 from tidewatch.operators import prep, stats
+from tidewatch.operators.clusters import match_clusters, mine_clusters
 from tidewatch.operators.explain import explain
 from tidewatch.operators.features import extract_features
 from tidewatch.operators.iforest import IsolationForestModel, fit_iforest
@@ -61,7 +62,8 @@ class DetectorConfig:
     ip_window_minutes: int = 60
     min_samples: int = 0
     max_samples: int | None = None
-    # templates
+    # templates: "buckets" (one rule a bucket) or "similarity" (clusters of similar lines)
+    mining: str = "buckets"
     similarity: float = 0.5
     depth: int = 4
     max_children: int = 100
@@ -82,6 +84,13 @@ class DetectorConfig:
     def __post_init__(self):
         if self.model not in MODELS:
             raise ValueError(f"unknown model type: {self.model}")
+        if self.mining not in ("buckets", "similarity"):
+            raise ValueError(f"unknown way of mining: {self.mining}")
+
+    def match(self, parsed: DataFrame, members: DataFrame) -> DataFrame:
+        """Add ``template_id`` and ``template`` of the template that each parsed line belongs to."""
+        match = match_clusters if self.mining == "similarity" else match_templates
+        return match(parsed, members, similarity=self.similarity)
 
     @property
     def reconstruction(self) -> str:
@@ -106,13 +115,14 @@ class Detector(Estimator):
         if cfg.min_samples:
             lines = prep.require_samples(lines, cfg.min_samples)
         parsed = parse_logs(lines, cfg.format, cfg.pattern)
-        templates, members = mine_templates(
+        mine = mine_clusters if cfg.mining == "similarity" else mine_templates
+        templates, members = mine(
             *self._mined(lines, parsed),
             similarity=cfg.similarity,
             depth=cfg.depth,
             max_children=cfg.max_children,
         )
-        usable = match_templates(parsed.filter("status > 0"), members, similarity=cfg.similarity)
+        usable = cfg.match(parsed.filter("status > 0"), members)
         features = freeze(
             extract_features(usable, cfg.features, cfg.patterns, cfg.ip_window_minutes), "features"
         )
@@ -180,7 +190,7 @@ class DetectorModel(Model):
     def parse(self, lines: DataFrame) -> DataFrame:
         """Parsed rows with template and the ``parsed_log`` fields of the result record."""
         parsed = parse_logs(lines, self.config.format, self.config.pattern)
-        return match_templates(parsed, self.members, similarity=self.config.similarity)
+        return self.config.match(parsed, self.members)
 
     def transform(self, lines: DataFrame, **ip_options) -> DataFrame:
         """One record per line: line_no, anomaly, score, model, reason, parsed_log."""

@@ -183,6 +183,56 @@ def _templates(source: str) -> str:
  select row_number() over (order by first_line_no, template) as template_id, template, n, first_line_no from totals"""
 
 
+_ROUNDS = 12  # rounds of cutting; each halves the places that a group still lacks
+
+
+def _clusters(source: str) -> str:
+    """CTEs up to ``clusters`` (template_id, template, n, first_line_no) and ``members`` of rows (line_no, line)."""
+    rounds, done = "", []
+    for i in range(_ROUNDS):
+        rounds += f""",
+ k{i} as materialized (select g, place, count(distinct token) as k, min(token) as one
+  from (select g, unnest(toks) as token, generate_subscripts(toks, 1) as place from g{i}) group by g, place),
+ s{i} as materialized (select g, cast(ceil(count(*) * 0.5) as bigint) - count(*) filter (where k = 1 and one <> '<*>') as missing,
+  coalesce(list(place order by k, place) filter (where k > 1), []) as loose from k{i} group by g),
+ g{i + 1} as materialized (select concat(g, ' ', array_to_string(list_transform(loose[1:(missing + 1) // 2],
+   lambda x: concat(cast(x as varchar), ':', toks[x], chr(1))), '')) as g, bucket, signature, toks, n, first_line_no
+  from g{i} join s{i} using (g) where missing > 0 and len(loose) > 0)"""
+        done.append(f"select g{i}.* from g{i} join s{i} using (g) where missing <= 0 or len(loose) = 0")
+    return f"""{source}, marked as (select line_no, {_MASKED} as signature from rows_ where trim(line) <> ''),
+ d as (select signature, count(*) as n, min(line_no) as first_line_no, string_split_regex(signature, '{_SPACES}') as toks
+  from marked group by signature),
+ t as (select *, len(toks) as size, case when regexp_matches(toks[1], '\\d') then '<*>' else toks[1] end as lead from d),
+ wide as (select size, count(distinct lead) > 100 as open from t group by size),
+ g0 as materialized (select concat(cast(size as varchar), chr(1), case when open then '<*>' else lead end) as g, g as bucket,
+  signature, toks, n, first_line_no from t join wide using (size)){rounds},
+ groups as materialized ({" union all ".join(done)}),
+ shared as (select g, string_agg(case when k = 1 then one else '<*>' end, ' ' order by place) as template from (
+  select g, place, count(distinct token) as k, min(token) as one
+  from (select g, unnest(toks) as token, generate_subscripts(toks, 1) as place from groups) group by g, place) group by g),
+ totals as (select template, cast(sum(n) as bigint) as n, min(first_line_no) as first_line_no
+  from groups join shared using (g) group by template),
+ clusters as materialized (select row_number() over (order by first_line_no, template) as template_id, template, n, first_line_no from totals),
+ members as (select distinct bucket, template_id, template, string_split(template, ' ') as held
+  from groups join shared using (g) join clusters using (template))"""
+
+
+def _matched(source: str) -> str:
+    """The most similar cluster of rows (line_no, line) ``all_``, mined from ``rows_``."""
+    return f"""with {_clusters(source)},
+ signed as (select line_no, case when trim(line) <> '' then {_MASKED} end as signature from all_),
+ own as (select distinct signature, string_split_regex(signature, '{_SPACES}') as toks from signed where signature is not null),
+ own2 as (select *, case when regexp_matches(toks[1], '\\d') then '<*>' else toks[1] end as lead from own),
+ near as (select signature, template_id, template,
+   len(list_filter(list_zip(toks, held), lambda x: x[1] = x[2] and x[2] <> '<*>')) as agreeing,
+   cast(ceil(len(toks) * 0.5) as bigint) as needed, array_to_string(toks, ' ') = template as same
+  from own2 join members on bucket = concat(cast(len(toks) as varchar), chr(1), lead)
+   or bucket = concat(cast(len(toks) as varchar), chr(1), '<*>')),
+ best as (select signature, arg_min(template_id, (-agreeing, template_id)) as template_id from near where agreeing >= needed or same group by signature)
+ select line_no, coalesce(template_id, -1) as template_id, coalesce(template, '') as template
+  from signed left join best using (signature) left join clusters using (template_id)"""
+
+
 def _scaler(where: str = "") -> str:
     rows = " union all ".join(
         f"select {i} as idx, '{c}' as feature, avg({c}) as mean, "
@@ -298,6 +348,18 @@ def oracle() -> dict[str, str]:
         "filter_parsed": f"with {parsed()} select line_no, status, path from p where status > 0",
         "assign_batches": f"""with {DOC_LINES} select line_no,
  cast((row_number() over (order by line_no) - 1) // 100 as bigint) as batch_id from lines""",
+        "mine_clusters": "with " + _clusters(f"{LOGS}, rows_ as (select line_no, line from logs)") + " select * from clusters",
+        "mine_clusters_documents": "with " + _clusters(f"{DOC_LINES}, rows_ as (select line_no, line from lines)") + " select * from clusters",
+        "stream_clusters": "with " + _clusters(f"{LOGS}, rows_ as (select line_no, line from logs)") + " select * from clusters",
+        "stream_detect_learning": "select line_no, template_id from ("
+        + _matched(f"{LOGS}, all_ as (select line_no, line from logs), rows_ as (select line_no, line from logs where ingest_ts < '2024-01-02')")
+        + ")",
+        "match_clusters": _matched(
+            f"{LOGS}, all_ as (select line_no, line from logs), rows_ as (select line_no, line from logs where ingest_ts < '2024-01-02')"
+        ),
+        "match_clusters_documents": _matched(
+            f"{DOC_LINES}, all_ as (select line_no, line from lines), rows_ as (select line_no, line from lines where line_no // 4294967296 % 2 = 0)"
+        ),
         "feat_template": _feature_query("template_id"),
         "feat_status": _feature_query("status_2xx", "status_4xx", "status_5xx"),
         "feat_path_length": _feature_query("path_length"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
 from tidewatch.operators import prep, stats
+from tidewatch.operators.clusters import match_clusters, mine_clusters
 from tidewatch.operators.explain import explain
 from tidewatch.operators.features import extract_features
 from tidewatch.operators.iforest import fit_iforest, grow_trees
@@ -30,6 +31,7 @@ from tidewatch.sources.access_logs import access_logs, from_events
 from tidewatch.sources.text import lines_of, scan_lines, write_lines
 from tidewatch.streaming import jobs
 from tidewatch.streaming.ip_stats import stream_ip_statistics
+from tidewatch.streaming.store import TemplateStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,6 +437,32 @@ def mine_templates_documents(spark, sf_dir):
     return mine_templates(document_lines(spark, sf_dir), "line")[0]
 
 
+@query
+def mine_clusters_query(spark, sf_dir):
+    return mine_clusters(access_logs(spark, sf_dir), "line")[0]
+
+
+@query
+def mine_clusters_documents(spark, sf_dir):
+    return mine_clusters(document_lines(spark, sf_dir), "line")[0]
+
+
+@query
+def match_clusters_query(spark, sf_dir):
+    """Clusters of the first day, and the most similar one of every line."""
+    logs = access_logs(spark, sf_dir)
+    _, members = mine_clusters(logs.filter(F.col("ingest_ts") < F.lit("2024-01-02").cast("timestamp_ntz")), "line")
+    return match_clusters(logs, members, "line").select("line_no", "template_id", "template")
+
+
+@query
+def match_clusters_documents(spark, sf_dir):
+    """Clusters of the lines of every other document, and the most similar one of every line."""
+    lines = document_lines(spark, sf_dir)
+    _, members = mine_clusters(lines.filter("shiftright(line_no, 32) % 2 = 0"), "line")
+    return match_clusters(lines, members, "line").select("line_no", "template_id", "template")
+
+
 @query
 def template_signatures_query(spark, sf_dir):
     return template_signatures(access_logs(spark, sf_dir), "line")
@@ -679,6 +707,27 @@ def stream_templates(spark, sf_dir):
     return jobs.known_templates(spark, path).select("template_id", "signature", "first_line_no")
 
 
+@query
+def stream_clusters(spark, sf_dir):
+    """Clusters that a stream of the log leaves in an empty store."""
+    store = TemplateStore(spark, scratch_path(spark, "store"))
+    jobs.learn_clusters(log_stream(spark, sf_dir), store, scratch_path(spark, "store-state")).awaitTermination()
+    return store.templates()
+
+
+@query
+def stream_detect_learning(spark, sf_dir):
+    """Template of every scored line, from a store that begins with the clusters of the first day."""
+    logs = access_logs(spark, sf_dir)
+    first = logs.filter(F.col("ingest_ts") < F.lit("2024-01-02").cast("timestamp_ntz"))
+    model = Detector(mining="similarity", n_trees=20, tree_samples=256).fit(first)
+    store = TemplateStore(spark, scratch_path(spark, "store")).create(model.templates, model.members)
+    path, state = scratch_path(spark, "records"), scratch_path(spark, "records-state")
+    jobs.stream_detect_learning(model, log_stream(spark, sf_dir), store, path, state).awaitTermination()
+    records = spark.read.parquet(f"{path}/batch=*")
+    return records.select("line_no", F.col("parsed_log.template_id").alias("template_id"))
+
+
 # --- security reports --------------------------------------------------------------------------
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.features import row_features
 from tidewatch.operators.ordering import number_rows
+from tidewatch.operators.parse import parse_logs
 from tidewatch.operators.templates import signatures
 from tidewatch.plans.detector import DetectorModel, record_fields
-from tidewatch.session import scratch_path
+from tidewatch.session import freeze, scratch_path
 from tidewatch.streaming.ip_stats import stream_ip_statistics
+from tidewatch.streaming.store import TemplateStore
 
 
 def stream_detect(model: DetectorModel, lines: DataFrame) -> DataFrame:
@@ -45,6 +47,82 @@ def stream_detect(model: DetectorModel, lines: DataFrame) -> DataFrame:
 RECORD = ("timestamp", "ip", "method", "path", "status", "template_id")
 
 
+def learn_clusters(lines: DataFrame, store: TemplateStore, checkpoint: str):
+    """Start a query that adds the clusters of a stream of lines to a store. Returns the query.
+
+    Micro-batch k writes version k + 1; version 0 may hold the clusters of a fitted model.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        store.learn(freeze(batch.select("line_no", "line"), "batch"), batch_id + 1)
+
+    return (
+        lines.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stream_detect_learning(
+    model: DetectorModel, lines: DataFrame, store: TemplateStore, path: str, checkpoint: str, learn: bool = True
+):
+    """Start a query that scores a stream with the clusters of a store. Returns the query.
+
+    Records of micro-batch k go to ``path/batch=k``. With ``learn`` the batch is added to the store
+    as version k + 1 and scored with the versions before it, so a line that is new in one batch is
+    a rare template there and has its id from the next batch on. Without it another query may
+    write to the store; a batch then takes the last complete version, which is noted first, so a
+    batch that is repeated after a failure takes the same one. The model must be fitted with
+    ``mining="similarity"``.
+    """
+    cfg = model.config
+    if cfg.mining != "similarity":
+        raise ValueError('the model must be fitted with mining="similarity"')
+    spark = lines.sparkSession
+    values = {c: x for c, x in row_features(cfg.patterns).items() if c in cfg.names and c != "template_id"}
+    parsed = parse_logs(lines, cfg.format, cfg.pattern)
+    unnamed = parsed.withColumn("template_id", F.lit(-1).cast("bigint")).withColumn("parsed_log", record_fields())
+    slim = unnamed.select(
+        "line_no", "event_us", "ip", "path", "raw",
+        *[F.col(f"parsed_log.{c}").alias(f"log_{c}") for c in RECORD if c != "template_id"],
+        *[x.cast("float").alias(f"x_{c}") for c, x in values.items()],
+    )
+    if "ip_statistics" in cfg.features:
+        slim = stream_ip_statistics(slim, cfg.ip_window_minutes)
+
+    def version(batch_id: int) -> int:
+        noted = f"{path}/_versions/batch={batch_id}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{noted}/_SUCCESS")
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            spark.createDataFrame([(store.latest() + 1,)], "version bigint").coalesce(1).write.mode("overwrite").parquet(noted)
+        return spark.read.schema("version bigint").parquet(noted).first()["version"]
+
+    def finish(batch: DataFrame, batch_id: int) -> None:
+        rows = freeze(batch, "batch")
+        if learn:
+            store.learn(rows.select("line_no", F.col("raw").alias("line")), batch_id + 1)
+        members = store.members(batch_id + 1 if learn else version(batch_id))
+        named = cfg.match(rows, members)
+        features = named.select(
+            "line_no",
+            F.struct(*[(F.col("template_id") if c == "template_id" else F.col(f"log_{c}")).alias(c) for c in RECORD]).alias(
+                "parsed_log"
+            ),
+            *[
+                (F.col(f"x_{c}") if c in values else F.col(c)).cast("float").alias(c) for c in cfg.names
+            ],
+        )
+        model.score(features).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        slim.writeStream.foreachBatch(finish)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_stats(records: DataFrame, flag: str = "anomaly") -> DataFrame:
     """Running total, anomalies and rate; write with output mode ``complete``."""
     return records.groupBy().agg(
