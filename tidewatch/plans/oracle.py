@@ -394,6 +394,8 @@ def oracle() -> dict[str, str]:
         "ip_path_diversity": f"with {parsed()}, {_stats('p')} select line_no, ip_path_diversity from s",
         "ip_request_rate": f"with {parsed()}, {_stats('p')} select line_no, round(ip_request_rate, 6) + 0.0 as ip_request_rate from s",
         "ip_statistics": f"""with {_dense()}, {_stats('dense')} select line_no, ip, ip_path_diversity, ip_frequency,
+ round(ip_request_rate, 6) + 0.0 as ip_request_rate from s""",
+        "stream_ip_statistics_stored": f"""with {_dense()}, {_stats('dense')} select line_no, ip, ip_path_diversity, ip_frequency,
  round(ip_request_rate, 6) + 0.0 as ip_request_rate from s""",
         "stream_ip_statistics": f"""with {parsed()}, {_stats('p')} select line_no, ip, ip_frequency, ip_path_diversity,
  round(ip_request_rate, 6) + 0.0 as ip_request_rate from s""",

@@ -30,8 +30,8 @@ from tidewatch.session import configure, freeze, scratch_path, spread
 from tidewatch.sources.access_logs import access_logs, from_events
 from tidewatch.sources.text import lines_of, scan_lines, write_lines
 from tidewatch.streaming import jobs
-from tidewatch.streaming.ip_stats import stream_ip_statistics
-from tidewatch.streaming.store import TemplateStore
+from tidewatch.streaming.ip_stats import stream_ip_statistics, write_ip_statistics
+from tidewatch.streaming.store import AddressStore, TemplateStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -378,7 +378,11 @@ def ip_path_distinct(spark, sf_dir):
 
 def dense_requests(spark, sf_dir) -> DataFrame:
     """Three busy addresses with many equal times, from every event."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return dense_of(table(spark, sf_dir, "events"))
+
+
+def dense_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id as line_no",
         "concat('10.9.9.', cast(user_id % 3 as string)) as ip",
         "1704067200000000 + cast(floor(event_id * 0.6) as bigint) * 1000000 as event_us",
@@ -680,6 +684,17 @@ def stream_ip_statistics_query(spark, sf_dir):
 
 
 
+@query
+def stream_ip_statistics_stored(spark, sf_dir):
+    """Statistics of a stream whose addresses are split over tasks, three hot ones here."""
+    events = event_stream(spark, sf_dir)
+    path, store = scratch_path(spark, "stored"), AddressStore(spark, scratch_path(spark, "addresses"))
+    options = {"chunk_rows": 20_000, "max_group_rows": 1000}
+    write_ip_statistics(dense_of(events), store, path, scratch_path(spark, "stored-state"), **options).awaitTermination()
+    found = spark.read.parquet(f"{path}/batch=*")
+    return rounded(found.drop("path", "event_us"), "ip_request_rate")
+
+
 @query
 def stream_stats(spark, sf_dir):
     parsed = parse_logs(log_stream(spark, sf_dir))

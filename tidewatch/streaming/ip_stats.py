@@ -12,18 +12,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.operators.ip_stats import MAX_REQUESTS
+from tidewatch.session import freeze
+from tidewatch.streaming.store import AddressStore
 
 
-def stream_ip_statistics(
-    df: DataFrame, window_minutes: int = 60, max_requests: int = MAX_REQUESTS
-) -> DataFrame:
-    """The batch statistics, equal to them when time order holds across micro-batches.
+def with_debuts(df: DataFrame) -> DataFrame:
+    """Rows of a stream with ``_debut`` false, and a row with ``_debut`` true for each new (ip, path).
 
-    Which paths are new is left to the built-in deduplication, whose state is spread over
-    (ip, path). The state of an address is then bounded: a path count and the times of its last
-    ``max_requests`` requests. Rows of a micro-batch are taken in (event time, line number)
-    order. A busy address costs at most its share of one micro-batch; the source's per-trigger
-    limits bound that.
+    Which paths are new is left to the built-in deduplication, whose state is spread over them.
     """
     fill = [
         F.lit("" if isinstance(f.dataType, T.StringType) else 0).cast(f.dataType).alias(f.name)
@@ -31,7 +27,40 @@ def stream_ip_statistics(
         if f.name not in ("ip", "path")
     ]
     debuts = df.select("ip", "path").dropDuplicates(["ip", "path"]).select("ip", "path", *fill)
-    both = df.withColumn("_debut", F.lit(False)).unionByName(debuts.withColumn("_debut", F.lit(True)))
+    return df.withColumn("_debut", F.lit(False)).unionByName(debuts.withColumn("_debut", F.lit(True)))
+
+
+def write_ip_statistics(df: DataFrame, store: AddressStore, path: str, checkpoint: str, **ip_options):
+    """Start a query that writes the statistics of micro-batch k to ``path/batch=k``. Returns it.
+
+    The state lies in ``store``, and a micro-batch goes through the batch operator, so an address
+    may fill a micro-batch of any size. The results are those of ``stream_ip_statistics``.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        found = store.statistics(freeze(batch, "batch"), batch_id, **ip_options)
+        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        with_debuts(df)
+        .writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stream_ip_statistics(
+    df: DataFrame, window_minutes: int = 60, max_requests: int = MAX_REQUESTS
+) -> DataFrame:
+    """The batch statistics, equal to them when time order holds across micro-batches.
+
+    The state of an address is bounded: a path count and the times of its last ``max_requests``
+    requests. Rows of a micro-batch are taken in (event time, line number) order, so an address
+    costs a task its share of one micro-batch; where that is too much, ``write_ip_statistics``
+    splits it.
+    """
+    both = with_debuts(df)
     output = T.StructType(
         [
             *df.schema.fields,

@@ -11,8 +11,8 @@ from tidewatch.operators.parse import parse_logs
 from tidewatch.operators.templates import signatures
 from tidewatch.plans.detector import DetectorModel, record_fields
 from tidewatch.session import freeze, scratch_path
-from tidewatch.streaming.ip_stats import stream_ip_statistics
-from tidewatch.streaming.store import TemplateStore
+from tidewatch.streaming.ip_stats import stream_ip_statistics, with_debuts
+from tidewatch.streaming.store import AddressStore, TemplateStore
 
 
 def stream_detect(model: DetectorModel, lines: DataFrame) -> DataFrame:
@@ -73,8 +73,8 @@ def stream_detect_learning(
     as version k + 1 and scored with the versions before it, so a line that is new in one batch is
     a rare template there and has its id from the next batch on. Without it another query may
     write to the store; a batch then takes the last complete version, which is noted first, so a
-    batch that is repeated after a failure takes the same one. The model must be fitted with
-    ``mining="similarity"``.
+    batch that is repeated after a failure takes the same one. Address statistics keep their state
+    under ``path/_addresses``. The model must be fitted with ``mining="similarity"``.
     """
     cfg = model.config
     if cfg.mining != "similarity":
@@ -88,8 +88,9 @@ def stream_detect_learning(
         *[F.col(f"parsed_log.{c}").alias(f"log_{c}") for c in RECORD if c != "template_id"],
         *[x.cast("float").alias(f"x_{c}") for c, x in values.items()],
     )
+    addresses = None
     if "ip_statistics" in cfg.features:
-        slim = stream_ip_statistics(slim, cfg.ip_window_minutes)
+        slim, addresses = with_debuts(slim), AddressStore(spark, f"{path}/_addresses", cfg.ip_window_minutes)
 
     def version(batch_id: int) -> int:
         noted = f"{path}/_versions/batch={batch_id}"
@@ -100,6 +101,8 @@ def stream_detect_learning(
 
     def finish(batch: DataFrame, batch_id: int) -> None:
         rows = freeze(batch, "batch")
+        if addresses is not None:
+            rows = addresses.statistics(rows, batch_id)
         if learn:
             store.learn(rows.select("line_no", F.col("raw").alias("line")), batch_id + 1)
         members = store.members(batch_id + 1 if learn else version(batch_id))

@@ -1,33 +1,34 @@
-"""Versioned store of line clusters that streams share."""
+"""Versioned tables that streams keep and share: line clusters, and what addresses did last."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.clusters import MEMBER_SCHEMA, cluster_signatures, nearest_clusters
+from tidewatch.operators.ip_stats import MAX_REQUESTS, STATISTICS, ip_statistics
 from tidewatch.operators.ordering import lookup
 from tidewatch.operators.templates import signatures
 from tidewatch.session import freeze
 
 _COUNTS = "template_id bigint, n bigint, first_line_no bigint"
-# Versions after which all clusters are written together, so that a reader opens few folders.
+_TAIL = "ip string, event_us bigint, line_no bigint, version bigint"
+_PATHS = "ip string, paths bigint, version bigint"
+# Versions after which the state is written as a whole, so that a reader opens few folders.
 WHOLE = 32
 
 
-class TemplateStore:
-    """Clusters in versions under ``path``: one folder a version, written once and then only read.
+class Versions:
+    """Folders ``version=k`` under ``path``, each written once, from those before it alone.
 
-    A version holds the clusters that it adds (``members``) and the lines that it saw of every
-    cluster (``counts``, written last: its presence completes the version). Ids never change: a
-    version is computed from those before it alone, so a repeated one writes the same again.
+    The part ``counts`` is written last; its success marker completes a version, so a version that
+    a failure cut short is written again and gives the same.
     """
 
-    def __init__(self, spark: SparkSession, path: str, similarity: float = 0.5, depth: int = 4, max_children: int = 100):
+    def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.similarity, self.depth, self.max_children = similarity, depth, max_children
 
     def _complete(self, kind: str) -> list[int]:
         """Numbers of the complete folders of a kind, in order."""
@@ -36,7 +37,7 @@ class TemplateStore:
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        numbers = sorted(int(m[1]) for m in map(re.compile(f"{kind}=(\\d+)").fullmatch, names) if m)
+        numbers = sorted(int(m[1]) for m in map(re.compile(rf"{kind}=(\d+)").fullmatch, names) if m)
         done = lambda n: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}={n}/counts/_SUCCESS")
         return [n for n in numbers if fs.exists(done(n))]
 
@@ -53,6 +54,20 @@ class TemplateStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
 
+    def _write(self, folder: str, parts: dict[str, DataFrame]) -> None:
+        for part in sorted(parts, key=lambda p: p == "counts"):
+            parts[part].write.mode("overwrite").parquet(f"{self.path}/{folder}/{part}")
+
+
+class TemplateStore(Versions):
+    """Clusters in versions: those that a version adds (``members``) and the lines that it saw of
+    every cluster (``counts``). The id of a cluster never changes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, similarity: float = 0.5, depth: int = 4, max_children: int = 100):
+        super().__init__(spark, path)
+        self.similarity, self.depth, self.max_children = similarity, depth, max_children
+
     def members(self, before: int | None = None) -> DataFrame:
         """Clusters of all complete versions, or of those before ``before``."""
         return self._read("members", MEMBER_SCHEMA, before)
@@ -68,14 +83,14 @@ class TemplateStore:
     def create(self, templates: DataFrame, members: DataFrame) -> "TemplateStore":
         """Write mined clusters as version 0, unless it is there."""
         if 0 not in self._complete("version"):
-            self._write("version=0", members, templates)
+            self._write("version=0", self._parts(members, templates))
         return self
 
-    def _write(self, folder: str, members: DataFrame, counts: DataFrame) -> None:
-        wanted = [c.split()[0] for c in MEMBER_SCHEMA.split(", ")]
-        members.select(*wanted).write.mode("overwrite").parquet(f"{self.path}/{folder}/members")
-        counts = counts.select("template_id", "n", "first_line_no")
-        counts.write.mode("overwrite").parquet(f"{self.path}/{folder}/counts")
+    def _parts(self, members: DataFrame, counts: DataFrame) -> dict[str, DataFrame]:
+        return {
+            "members": members.select("bucket", "template_id", "template", "tokens"),
+            "counts": counts.select("template_id", "n", "first_line_no"),
+        }
 
     def learn(self, lines: DataFrame, version: int, line: str = "line") -> None:
         """Add version ``version`` from lines: those similar to no earlier cluster are clustered.
@@ -93,7 +108,76 @@ class TemplateStore:
         again = lookup(found, near, "signature", "inner").groupBy("template_id").agg(
             F.sum("n").alias("n"), F.min("first_line_no").alias("first_line_no")
         )
-        self._write(f"version={version}", members, templates.select("template_id", "n", "first_line_no").unionByName(again))
+        counts = templates.select("template_id", "n", "first_line_no").unionByName(again)
+        self._write(f"version={version}", self._parts(members, counts))
         if version and version % WHOLE == 0:
             totals = self.templates(version + 1)
-            self._write(f"whole={version}", self.members(version + 1), totals)
+            self._write(f"whole={version}", self._parts(self.members(version + 1), totals))
+
+
+class AddressStore(Versions):
+    """What addresses did last: the times of their last requests (``tail``) and how many paths they
+    have asked for (``counts``).
+
+    A version holds the addresses of its micro-batch; the latest version of an address counts.
+    Times that have left the look-back window are dropped when the state is written as a whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window_minutes: int = 60, max_requests: int = MAX_REQUESTS):
+        super().__init__(spark, path)
+        self.window_minutes, self.max_requests = window_minutes, max_requests
+
+    def _last(self, part: str, schema: str, before: int | None) -> DataFrame:
+        rows = self._read(part, schema, before)
+        latest = rows.groupBy("ip").agg(F.max("version").alias("version"))
+        return rows.join(latest, ["ip", "version"])
+
+    def statistics(self, both: DataFrame, version: int, **ip_options) -> DataFrame:
+        """The three statistics of the rows of a micro-batch, and the state after it as ``version``.
+
+        ``both`` has the rows (``ip``, ``path``, ``event_us``, ``line_no`` and others) with
+        ``_debut`` false, and one row with ``_debut`` true for each path that is new to an address.
+        The rows follow the address's last ones through the batch operator, which cuts a busy
+        address into chunks, so no address has to fit into a task.
+        """
+        rows = both.filter("not _debut").drop("_debut")
+        debuts = freeze(both.filter("_debut").select("ip", "path", F.lit(True).alias("_new")), "debuts")
+        met = freeze(rows.select("ip").distinct(), "met")
+        tail = lookup(self._last("tail", _TAIL, version), met, "ip", "inner").select("ip", "event_us", "line_no")
+        known = lookup(self._last("counts", _PATHS, version), met, "ip", "inner").select("ip", "paths")
+        tail, known = freeze(tail, "tail"), freeze(known, "known")
+        # paths that are not new count as one, which a row long ago brings in for known addresses
+        long_ago = known.select("ip", F.lit(-(1 << 61)).alias("event_us"), F.lit(0).cast("bigint").alias("line_no"))
+        before = tail.unionByName(long_ago).withColumn("_path", F.lit(""))
+        named = lookup(rows, debuts, ["ip", "path"]).withColumn(
+            "_path", F.when(F.col("_new"), F.concat(F.lit("/"), F.coalesce("path", F.lit("")))).otherwise(F.lit(""))
+        )
+        carried = F.struct(*[F.col(c) for c in rows.columns]).alias("_payload")
+        own = named.select("ip", "event_us", "line_no", "_path", carried)
+        merged = own.unionByName(before, allowMissingColumns=True).withColumnRenamed("_path", "path")
+        found = ip_statistics(merged, self.window_minutes, self.max_requests, **ip_options).filter("_payload is not null")
+        seen = F.coalesce("paths", F.lit(0))
+        found = lookup(found.select("ip", "_payload", *STATISTICS), known, "ip").withColumn(
+            "ip_path_diversity", F.col("ip_path_diversity") + seen - F.when(seen > 0, 1).otherwise(0)
+        )
+        found = freeze(found.select("_payload.*", *STATISTICS), "statistics")
+        if version not in self._complete("version"):
+            last = Window.partitionBy("ip").orderBy(F.desc("event_us"), F.desc("line_no"))
+            times = rows.select("ip", "event_us", "line_no").unionByName(tail)
+            times = times.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= self.max_requests).drop("_k")
+            added = debuts.groupBy("ip").agg(F.count("*").alias("added"))
+            counts = met.join(known, "ip", "left").join(added, "ip", "left").select(
+                "ip", (seen + F.coalesce("added", F.lit(0))).alias("paths")
+            )
+            stamp = F.lit(version).cast("bigint").alias("version")
+            self._write(f"version={version}", {"tail": times.select("*", stamp), "counts": counts.select("*", stamp)})
+            if version and version % WHOLE == 0:
+                self._write(f"whole={version}", self._whole(version + 1))
+        return found
+
+    def _whole(self, before: int) -> dict[str, DataFrame]:
+        tail, counts = self._last("tail", _TAIL, before), self._last("counts", _PATHS, before)
+        newest = tail.agg(F.max("event_us").alias("_newest"))  # one row
+        inside = F.col("event_us") > F.col("_newest") - self.window_minutes * 60_000_000
+        kept = tail.join(F.broadcast(newest), inside).select("ip", "event_us", "line_no", "version")
+        return {"tail": kept, "counts": counts.select("ip", "paths", "version")}
