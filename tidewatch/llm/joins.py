@@ -17,6 +17,7 @@ link is lost but those between sets that other links have joined already.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from tidewatch.operators.ordering import lookup
 SHINGLE = 3
 PERCENT = 90
 # Counters of the sketch that orders shingles; 4 bytes each in every worker, whatever the input.
-COUNTERS = 1 << 22
+COUNTERS = 1 << 20
 # The sketch travels in pieces of this many counters.
 PIECE = 1 << 14
 PIVOTS = 2
@@ -61,7 +62,12 @@ def sketch(df: DataFrame, size: int, counters: int) -> np.ndarray:
     mask = np.uint64(counters - 1)
 
     def pieces(k: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+        packed = zlib.compress(total.astype(np.min_scalar_type(int(total.max()))).tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([packed], pa.binary())], names=["k", "v"])
+
+    def unpacked(v: bytes) -> np.ndarray:
+        raw = zlib.decompress(v)
+        return np.frombuffer(raw, f"<u{len(raw) // piece}").astype(np.int64)
 
     def count(batches, sets):
         total = np.zeros(counters, np.int64)
@@ -80,7 +86,7 @@ def sketch(df: DataFrame, size: int, counters: int) -> np.ndarray:
                     if at is not None:
                         yield pieces(at, total)
                     at, total = k, np.zeros(piece, np.int64)
-                total += np.frombuffer(v, np.int64)
+                total += unpacked(v)
         if at is not None:
             yield pieces(at, total)
 
@@ -88,7 +94,7 @@ def sketch(df: DataFrame, size: int, counters: int) -> np.ndarray:
     summed = sent.repartition("k").sortWithinPartitions("k").mapInArrow(add, "k bigint, v binary")
     total = np.zeros((counters // piece, piece), np.int64)
     for row in summed.toLocalIterator():
-        total[row["k"]] = np.frombuffer(row["v"], np.int64)
+        total[row["k"]] = unpacked(bytes(row["v"]))
     return np.minimum(total.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
@@ -127,18 +133,16 @@ def sketches(df: DataFrame, size: int, percent: int, counts: np.ndarray) -> Data
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(d, text) to (d, own), the sorted hashes of the set, for texts whose set has the digest ``d``."""
+    """(c, d, text) to (c, own), the sorted hashes of the set, for texts whose set has the digest ``d``."""
 
     def run(batches, sets):
         for batch in batches:
-            found = [(d, own) for d, own in zip(batch.column(0).to_pylist(), map(sets, utf8(batch.column(1)))) if _digest(own) == d]
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(sets, utf8(batch.column(2))))
+            found = [(c, own.tobytes()) for c, d, own in rows if _digest(own) == d]
             if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for d, _ in found], pa.binary()), pa.array([o.tobytes() for _, o in found], pa.binary())],
-                    names=["d", "own"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["c", "own"])
 
-    return _mapped(texts.select("d", "text"), size, run, "d binary, own binary").dropDuplicates(["d"])
+    return _mapped(texts.select("c", "d", "text"), size, run, "c bigint, own binary").dropDuplicates(["c"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,7 +153,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     ahead = dealt.select("a", "part").distinct().join(sets.toDF("a", "own"), "a")
-    ahead = ahead.select("a", "part", F.lit(None).cast("binary").alias("b"), "own")
+    ahead = ahead.select("a", "part", F.lit(None).cast("bigint").alias("b"), "own")
     partners = dealt.join(sets.toDF("b", "own"), "b").select("a", "part", "b", "own")
     both = ahead.unionByName(partners).repartition("a", "part")
     both = both.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -167,9 +171,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * common >= percent * (len(mine) + len(values) - common):
                     out.append((one, two))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def _overlap(percent: int, total: str) -> str:
@@ -191,7 +195,7 @@ def _early(percent: int) -> str:
 
 def _other(df: DataFrame) -> DataFrame:
     """Columns of a row under the names of those of its partner; ``token`` stays."""
-    names = {"u": "v", "d": "b", "n": "o", "i": "j", "component": "of", "early": "soon", "many": "much", **{b: f"o{b[1]}" for b in BITS}}
+    names = {"u": "v", "c": "b", "n": "o", "i": "j", "component": "of", "early": "soon", **{b: f"o{b[1]}" for b in BITS}}
     return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
 
 
@@ -206,8 +210,8 @@ class _Links:
         """Compare pairs (a, b) of classes on their full sets; links change the components."""
         pairs = self.stash.keep(pairs.distinct(), "pairs")
         if not pairs.isEmpty():
-            ids = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-            named = self.stash.keep(self.classes.select("d", "doc_id").join(ids, "d"), "wanted")
+            ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+            named = self.stash.keep(self.classes.select("c", "d", "doc_id").join(ids, "c"), "wanted")
             few = named.count() <= BROADCAST_IDS
             texts = self.rows.join(F.broadcast(named) if few else named, "doc_id")
             sets = self.stash.keep(_sets(texts, self.size), "sets")
@@ -230,21 +234,20 @@ class _Links:
 def _units(stash: Stash, classes: DataFrame, links: _Links, percent: int) -> DataFrame:
     """Classes with the unit ``u`` that stands for them in the join.
 
-    The classes of a group that are linked with its smallest class are one unit with it; every
-    other class of the group is a unit of its own. All classes of a unit are in one component.
+    The classes of a group that are linked with its first class are one unit with it; every other
+    class of the group is a unit of its own. All classes of a unit are in one component.
     """
-    heads = classes.groupBy("g").agg(F.min("d").alias("head"), F.count("*").alias("size"))
+    heads = classes.groupBy("g").agg(F.min("c").alias("head"), F.count("*").alias("size"))
     heads = stash.keep(heads.filter("size > 1").select("g", "head"), "heads")
     if heads.isEmpty():
-        return classes.withColumns({"u": F.col("d"), "many": F.lit(False)})
+        return classes.withColumn("u", F.col("c"))
     grouped = stash.keep(classes.join(heads, "g"), "grouped")
-    first = _other(grouped.filter("d = head").select("g", "d", "n", *BITS))
-    near = grouped.filter("d != head").join(first, "g").filter(_alike(percent))
-    links.verify(near.select(F.col("head").alias("a"), F.col("d").alias("b")))
-    marked = links.mark(links.mark(classes.join(heads, "g", "left"), "head").withColumnRenamed("component", "main"), "d")
+    first = _other(grouped.filter("c = head").select("g", "c", "n", *BITS))
+    near = grouped.filter("c != head").join(first, "g").filter(_alike(percent))
+    links.verify(near.select(F.col("head").alias("a"), F.col("c").alias("b")))
+    marked = links.mark(links.mark(classes.join(heads, "g", "left"), "head").withColumnRenamed("component", "main"), "c")
     inside = F.col("head").isNotNull() & (F.col("component") == F.col("main"))
-    found = marked.withColumn("u", F.when(inside, F.col("head")).otherwise(F.col("d")))
-    return found.withColumn("many", F.col("head").isNotNull()).drop("head", "main", "component")
+    return marked.withColumn("u", F.when(inside, F.col("head")).otherwise(F.col("c"))).drop("head", "main", "component")
 
 
 def join(
@@ -269,39 +272,39 @@ def join(
     drawn = stash.keep(sketches(rows, size, percent, sketch(rows, size, counters)), "sketch")
     named = drawn.filter("n > 0 and doc_id is not null")
     classes = named.groupBy("d", "g", "n", *BITS).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
-    classes = stash.keep(classes, "classes")
+    # stored with its number, so that the number stays
+    classes = stash.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     links = _Links(stash, rows, classes, percent, size)
-    # texts under one doc_id are linked by it
-    shared_ids = named.groupBy("doc_id").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a != b")
-    links.add(stash.keep(named.join(shared_ids.drop("b"), "doc_id").select("a", F.col("d").alias("b")).filter("a != b").distinct(), "same-id"))
+    links.add(stash.keep(_same_id(named, classes), "same-id"))
     units = stash.keep(_units(stash, classes, links, percent), "units")
 
-    # the prefix of a group, from any one of its rows
-    prefixes = named.join(classes.groupBy("g").agg(F.min(F.struct("d", "doc_id")).alias("one")).select("g", "one.*"), ["g", "d", "doc_id"])
-    tokens = prefixes.dropDuplicates(["g"]).select("g", "n", F.posexplode("prefix").alias("i", "token"))
+    # the prefix of a group, from any one of its rows; a group goes by 8 bytes here, and should two
+    # groups have the same, they only meet more others
+    group = F.xxhash64("g").alias("k")
+    tokens = named.select("g", "n", "prefix").dropDuplicates(["g"]).select(group, "n", F.posexplode("prefix").alias("i", "token"))
     # the smaller set of a pair has the token at one of its early places
-    tokens = stash.keep(tokens.withColumn("early", F.expr(f"n - i >= {_overlap(percent, 'n + n')}")), "tokens")
-    heads = units.filter("u = d").select("g", "u", "many", *BITS)
-    placed = tokens.join(heads, "g").drop("g")
-    met = placed.groupBy("token").agg(F.count("*").alias("size"), F.max("early").alias("soon")).filter("size > 1 and soon")
-    active = stash.keep(placed.join(met.select("token"), "token"), "active")
+    early = F.expr(f"n - i >= {_overlap(percent, 'n + n')}").alias("early")
+    tokens = stash.keep(tokens.select("token", "k", F.col("n").cast("int").alias("n"), "i", early), "tokens")
+    met = tokens.groupBy("token").agg(F.count("*").alias("size"), F.max("early").alias("soon")).filter("size > 1 and soon")
+    shared = tokens.join(stash.keep(met.select("token"), "met"), "token")
+    heads = units.filter("u = c").select(group, "u")
+    active = stash.keep(shared.join(heads, "k").select("token", "u", "n", "i", "early"), "active")
     stash.drop(tokens)
 
-    # parities speak of one class, so units of several are filtered when they are expanded
-    fits = F.expr(f"component != of and {_early(percent)} and (many or much or {_alike(percent)})")
+    fits = F.expr(f"component != of and {_early(percent)}")
 
     def verify(pairs: DataFrame) -> None:
         """Pairs of units (u, v) to pairs of their classes, which are compared."""
         pairs = stash.keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "unit-pairs")
-        sides = units.select("u", "d", "n", *BITS)
+        sides = units.select("u", "c", "n", *BITS)
         both = pairs.join(sides, "u").join(_other(sides), "v").filter(_alike(percent))
-        links.verify(both.select(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b")))
+        links.verify(both.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")))
 
     for turn in range(PIVOTS + 1):
         placed = stash.keep(links.mark(active, "u"), "placed")
         stash.drop(active)
         open_ = placed.groupBy("token").agg(
-            F.max(F.struct("early", "u", "n", "i", "many", "component", *BITS)).alias("p"),
+            F.max(F.struct("early", "u", "n", "i", "component")).alias("p"),
             F.min("component").alias("low"),
             F.max("component").alias("high"),
         )
@@ -317,12 +320,22 @@ def join(
             main = placed.join(pivots.select("token", F.col("component").alias("main")), "token")
             outside = main.filter("component != main").drop("main")
             verify(outside.join(_other(main.drop("main")), "token").filter(F.expr("early or soon") & fits))
+        stash.drop(placed)
     return _named(stash, drawn, classes, links)
 
 
+def _same_id(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share a doc_id."""
+    several = named.groupBy("doc_id").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first != last")
+    rows = named.select("doc_id", "d").join(several.select("doc_id", "first"), "doc_id").select("first", "d").distinct()
+    number = classes.select("d", "c")
+    one = rows.filter("first != d").join(number.toDF("first", "a"), "first")
+    return one.join(number.withColumnRenamed("c", "b"), "d").select("a", "b")
+
+
 def _named(stash: Stash, drawn: DataFrame, classes: DataFrame, links: _Links) -> DataFrame:
     """Every row of ``drawn`` with the smallest doc_id of its component."""
-    smallest = links.mark(classes, "d")
+    smallest = links.mark(classes, "c")
     least = smallest.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("size"))
     several = least.filter("size > 1").select("component", "component_id")
     of_class = stash.keep(lookup(smallest.select("d", "component"), several, "component", "inner").select("d", "component_id"), "of-class")
