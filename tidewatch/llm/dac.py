@@ -19,6 +19,7 @@ that Spark reads and the loss of executors are covered.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
@@ -34,7 +35,14 @@ SEGMENT_IDS = 1 << 18
 _BLOCK = 512
 _CACHE = 700_000
 END_ID = 2
-_MARKS = ".,;:!?*#$%&|)"
+# Printable ASCII but for "<", which may open a special token, and the letters of Latin-1: characters
+# that are composed already and have one lower-case character each.
+_PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
+# How the vocabulary splits a text, for lower-case plain characters.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# The character by which the vocabulary writes a byte: itself if it can be shown, else one from U+0100 on.
+_BYTES = [chr(b) if b in _SHOWN else chr(256 + sum(x not in _SHOWN for x in range(b))) for b in range(256)]
 
 
 class Level:
@@ -148,51 +156,47 @@ class Segment:
         return self.ids(start, int(self.ends[k]))
 
 
-class LibraryIds:
-    """Ids by the tokenizers library, with the runs between ASCII white space remembered.
+class LibraryIds(dict):
+    """Ids by the tokenizers library of the runs between ASCII white space, remembered.
 
     The vocabulary drops white space before it splits a text, so no piece and no special token
-    reaches over such a run's ends and a text's ids are those of its runs in order.
+    reaches over such a run's ends and a text's ids are those of its runs in order. Runs of plain
+    characters, which normalization leaves as they are but for their case, are split here and only
+    their distinct pieces go to the library's model; all other runs go through the whole library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.model, self.words = self.library.model, {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        runs, words = self.runs, self.words
-        if len(runs) > _CACHE:
-            runs.clear()
-            words.clear()
-        new = {r: self._parts(r) for s in split for r in s if r not in runs}
-        wanted = list({w for parts in new.values() for w in parts if w not in words})
-        for start in range(0, len(wanted), 4096):
-            part = wanted[start : start + 4096]
-            found = self.library.encode_batch_fast(part, add_special_tokens=False)
-            for w, e in zip(part, found):
-                words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for r, parts in new.items():
-            runs[r] = words[parts[0]] if len(parts) == 1 else words[parts[0]] + words[parts[1]]
-        return [b"".join([runs[r] for r in s]) for s in split]
-
-    def _parts(self, run: bytes) -> tuple[str, ...]:
-        """The texts to encode for a run: letters and the marks behind them are always apart.
-
-        Case is dropped from ASCII runs, as the vocabulary does it; ``<`` may open a special token.
-        """
+        if len(self) > _CACHE:
+            self.clear()
+            self.words.clear()
+        return [b"".join(map(self.__getitem__, t.split())) for t in texts]
+
+    def __missing__(self, run: bytes) -> bytes:
         text = run.decode("utf-8", "replace")
-        if "<" in text:
-            return (text,)
-        if text.isascii():
-            text = text.lower()
-        stem = text.rstrip(_MARKS)
-        return (stem, text[len(stem) :]) if len(stem) < len(text) and stem.isalpha() else (text,)
+        if _PLAIN.fullmatch(text):
+            words = self.words
+            ids = b"".join([words.get(w) or self._word(w) for w in _PIECES.findall(text.lower())])
+        else:
+            found = self.library.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[run] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a piece of plain characters, by the library's model alone."""
+        letters = word if word.isascii() else "".join([_BYTES[b] for b in word.encode()])
+        found = self.model.tokenize(letters)
+        ids = self.words[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return ids
 
 
 def write(
