@@ -38,15 +38,18 @@ def ip_statistics(
     """Add the three statistics to rows with ``ip``, ``path``, ``event_us`` and ``line_no``.
 
     ``hash`` sends each address to one task: one shuffle. ``chunked`` holds for any skew: the rows
-    are range-ordered, cut into chunks of ``chunk_rows`` and given a look-back margin, so one
-    address can fill many tasks. ``auto`` stores the rows once, counts requests per address from
-    the stored ``ip`` column alone, and takes ``chunked`` when the busiest one exceeds
-    ``max_group_rows``.
+    are stored in range order, cut into chunks of ``chunk_rows`` and given a look-back margin, so
+    one address can fill many tasks. ``auto`` routes in one plan and runs nothing before an action:
+    addresses of more than ``max_group_rows`` rows are cut by time, all others go the ``hash`` way.
     """
     if strategy == "auto":
-        df = freeze(df, "requests")
-        busiest = df.groupBy("ip").count().agg(F.max("count")).first()[0] or 0
-        strategy = "chunked" if busiest > max_group_rows else "hash"
+        # at most one row for each max_group_rows rows of the table
+        busy = df.groupBy("ip").count().filter(F.col("count") > max_group_rows).select("ip", F.lit(True).alias("_busy"))
+        named = df.join(F.broadcast(busy), "ip", "left")
+        quiet = named.filter("_busy is null").select(*df.columns)
+        crowded = df.join(F.broadcast(busy.select("ip")), "ip").select(*df.columns)
+        cut = _cut_by_time(crowded, window_minutes, max_requests, chunk_rows)
+        return ip_statistics(quiet, window_minutes, max_requests, "hash").unionByName(cut)
     if strategy == "hash":
         keys = ["ip"]
         # placed by address once; every window below accepts that placement
@@ -115,25 +118,11 @@ def _chunked(df: DataFrame, window_minutes: int, max_requests: int, chunk_rows:
         .select("ip"),
         "crossing",
     )
-    paths = (
-        lookup(numbered.select("_pos", "ip", "path", "_home"), crossing, "ip", "left_semi")
-        .groupBy("ip", "path", "_home")
-        .agg(F.lit(1).alias("_one"))
-        .withColumn("_debut", F.min("_home").over(Window.partitionBy("ip", "path")))
-    )
-    # path already counted in an earlier chunk of the address
-    repeated = paths.filter("_home > _debut").select("ip", "path", F.col("_home").alias("_chunk"))
-    # distinct paths of the address before the chunk
-    before = Window.partitionBy("ip").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        paths.groupBy("ip", F.col("_home").alias("_chunk"))
-        .agg(F.sum((F.col("_home") == F.col("_debut")).cast("bigint")).alias("_debuts"))
-        .select("ip", "_chunk", F.coalesce(F.sum("_debuts").over(before), F.lit(0)).alias("_seen"))
-    )
+    marked = _path_marks(lookup(numbered.select("ip", "path", "_home"), crossing, "ip", "left_semi"))
     rows = in_chunks(numbered.drop("_home"), "_pos", chunk_rows, max_requests - 1).withColumn(
         "_seen", F.lit(0).cast("bigint")
     )
-    marks = repeated.unionByName(carried, allowMissingColumns=True).withColumn("_pos", F.lit(-1).cast("bigint"))
+    marks = marked.withColumn("_pos", F.lit(-1).cast("bigint"))
     merged = rows.unionByName(marks, allowMissingColumns=True).repartition("_chunk", "ip")
     # A mark sorts ahead of the rows with its path, so it takes the "first" place; both windows
     # share one exchange on (_chunk, ip).
@@ -148,6 +137,61 @@ def _chunked(df: DataFrame, window_minutes: int, max_requests: int, chunk_rows:
     return result.filter(~F.col("_margin")).drop("_pos", "_chunk", "_margin")
 
 
+def _cut_by_time(df: DataFrame, window_minutes: int, max_requests: int, chunk_rows: int) -> DataFrame:
+    """Statistics of busy addresses, cut into chunks of about ``chunk_rows`` rows, lazily.
+
+    Requests are counted by second. The running count gives the chunk of a second, and the later
+    chunks whose look-back of ``max_requests`` - 1 rows reaches into it get a copy of its rows. So
+    a chunk is a range of seconds and an address fills as many tasks as it has chunks.
+    """
+    timed = df.withColumn("_second", F.floor(F.col("event_us") / 1_000_000))
+    in_order = Window.partitionBy("ip").orderBy("_second")
+    seconds = timed.groupBy("ip", "_second").agg(F.count("*").alias("_rows"))
+    seconds = seconds.withColumn("_upto", F.sum("_rows").over(in_order))
+    seconds = seconds.withColumn("_before", F.col("_upto") - F.col("_rows"))
+    seconds = seconds.withColumn(
+        "_home", F.dense_rank().over(Window.partitionBy("ip").orderBy(F.floor(F.col("_before") / chunk_rows)))
+    )
+    # a chunk that starts after b rows looks back into seconds that end after b - max_requests + 1 rows
+    starts = seconds.groupBy("ip", "_home").agg(F.min("_before").alias("_start")).select(
+        "ip", (F.col("_start") - max_requests + 2).alias("_upto"), F.col("_home").alias("_reach")
+    )
+    reached = seconds.unionByName(starts, allowMissingColumns=True)
+    by_count = Window.partitionBy("ip").orderBy("_upto").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = reached.withColumn("_last", F.greatest("_home", F.max("_reach").over(by_count))).filter("_second is not null")
+    placed = timed.join(reached.select("ip", "_second", "_home", "_last"), ["ip", "_second"]).drop("_second")
+    marks = _path_marks(placed.select("ip", "path", "_home")).withColumn("_mark", F.lit(0))
+    rows = placed.withColumn("_chunk", F.explode(F.sequence("_home", "_last"))).withColumns(
+        {"_margin": F.col("_chunk") != F.col("_home"), "_mark": F.lit(1), "_seen": F.lit(0).cast("bigint")}
+    )
+    merged = rows.drop("_home", "_last").unionByName(marks, allowMissingColumns=True).repartition("_chunk", "ip")
+    by_path = Window.partitionBy("_chunk", "ip", "path").orderBy("_mark", *_order())
+    new = (F.row_number().over(by_path) == 1) & ~F.col("_margin")
+    flagged = (
+        merged.withColumns({"_new": new.cast("bigint"), "_seen": F.max("_seen").over(Window.partitionBy("_chunk", "ip"))})
+        .filter("_mark = 1")
+        .drop("_mark")
+    )
+    result = _windowed(flagged, ["_chunk", "ip"], window_minutes, max_requests)
+    return result.filter(~F.col("_margin")).select(*df.columns, *STATISTICS)
+
+
+def _path_marks(rows: DataFrame) -> DataFrame:
+    """Rows (ip, path, _chunk) of paths that an earlier chunk has, and (ip, _chunk, _seen), the
+    paths of the address before the chunk, from rows with their chunk ``_home``."""
+    paths = rows.groupBy("ip", "path", "_home").agg(F.lit(1).alias("_one")).withColumn(
+        "_debut", F.min("_home").over(Window.partitionBy("ip", "path"))
+    )
+    repeated = paths.filter("_home > _debut").select("ip", "path", F.col("_home").alias("_chunk"))
+    before = Window.partitionBy("ip").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        paths.groupBy("ip", F.col("_home").alias("_chunk"))
+        .agg(F.sum((F.col("_home") == F.col("_debut")).cast("bigint")).alias("_debuts"))
+        .select("ip", "_chunk", F.coalesce(F.sum("_debuts").over(before), F.lit(0)).alias("_seen"))
+    )
+    return repeated.unionByName(carried, allowMissingColumns=True)
+
+
 def moving_average(
     df: DataFrame,
     value: str,
