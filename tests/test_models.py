@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import reconstruction
 from tidewatch.operators import templates as tp
 from tidewatch.operators.iforest import Forest, IsolationForestModel, average_path, fit_iforest, grow_trees, tree_samples
 from tidewatch.operators.ip_stats import ip_statistics
@@ -212,6 +213,29 @@ def test_mlp_does_not_depend_on_partitions(spark):
     assert np.array_equal(one.network.vector(), seven.network.vector())
 
 
+def test_many_shards_are_summed_by_a_tree(spark, monkeypatch):
+    df, names = cloud(spark, 3000), ["a", "b", "c"]
+    train = lambda n: reconstruction.fit_mlp(
+        df.repartition(n), names, latent=2, hidden=(8, 4), epochs=2, batch_size=16, shards=40
+    )
+    flat = train(1)[0].vector()  # up to BRANCH results are summed by the driver alone
+    monkeypatch.setattr(reconstruction, "BRANCH", 4)
+    one, seven = train(1), train(7)
+    assert np.array_equal(one[0].vector(), seven[0].vector()) and one[1] == seven[1]
+    assert one[0].vector() == pytest.approx(flat, rel=1e-9, abs=1e-12)
+
+
+def test_shards_follow_from_the_rows(spark, monkeypatch):
+    df, names = cloud(spark, 900), ["a", "b", "c"]
+    monkeypatch.setattr(reconstruction, "SHARD_ROWS", 60)
+    options = dict(latent=2, hidden=(8, 4), epochs=1, batch_size=16)
+    fifteen = reconstruction.fit_mlp(df, names, **options)[0].vector()
+    assert np.array_equal(fifteen, reconstruction.fit_mlp(df, names, shards=15, **options)[0].vector())
+    monkeypatch.setattr(reconstruction, "SHARDS", (8, 10))
+    ten = reconstruction.fit_mlp(df, names, **options)[0].vector()
+    assert np.array_equal(ten, reconstruction.fit_mlp(df, names, shards=10, **options)[0].vector())
+
+
 def test_mlp_learns(spark):
     df, names, _ = correlated(spark)
     model = fit_reconstruction(df.repartition(2), names, "mlp", latent=2, hidden=(16, 8), epochs=8, batch_size=64, rate=0.01)
