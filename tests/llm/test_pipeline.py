@@ -35,7 +35,7 @@ def test_stages(spark, folder):
     one = stages["minhash"](spark, kept, folder).cache()
     assert one.columns == docs.columns
     rows = [(r.doc_id, r.text) for r in kept.collect()]
-    want = {i for i, (_, g) in groups(rows).items() if i == g}
+    want = {i for i, (_, g) in groups(rows, pipeline.NEAR_PERCENT).items() if i == g}
     got = collections.Counter(r.doc_id for r in one.collect())
     assert set(got) - {None} == want and all(n == 1 for i, n in got.items() if i is not None)
     assert got[None] == sum(i is None for i, _ in rows)

@@ -114,7 +114,7 @@ def test_decontamination_query(spark, sf_dir):
 # --- near copies -------------------------------------------------------------------------------
 
 
-def groups(rows):
+def groups(rows, percent=85):
     sets = {}
     for i, text in rows:
         words = blank(text)
@@ -131,7 +131,7 @@ def groups(rows):
     for x, i in enumerate(ids):
         for j in ids[x + 1 :]:
             common = len(sets[i] & sets[j])
-            if common and 100 * common >= 85 * len(sets[i] | sets[j]):
+            if common and 100 * common >= percent * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i)) for i in ids}
