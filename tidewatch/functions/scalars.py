@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.patterns import MANY, count_patterns, first_pattern
 from tidewatch.schema import METHODS, SUSPICIOUS_PATTERNS
 
 # The characters a Python string treats as white space.
@@ -158,7 +159,12 @@ def timestamp_text(wall: Column, zone: Column) -> Column:
 
 
 def count_tokens(path: Column, raw: Column, patterns=SUSPICIOUS_PATTERNS) -> Column:
-    """How many patterns occur in the path or the raw line, ignoring case."""
+    """How many patterns occur in the path or the raw line, ignoring case.
+
+    A short list is searched pattern by pattern, a long one by one automaton.
+    """
+    if len(patterns) > MANY:
+        return count_patterns(path, raw, patterns)
     hits = [(has_token(path, p) | has_token(raw, p)).cast("int") for p in patterns]
     return reduce(lambda a, b: a + b, hits, F.lit(0))
 
@@ -169,6 +175,8 @@ def has_token(text: Column, pattern: str) -> Column:
 
 def first_token(text: Column, patterns=SUSPICIOUS_PATTERNS) -> Column:
     """First pattern in list order that occurs in the text, else null."""
+    if len(patterns) > MANY:
+        return first_pattern(text, patterns)
     return F.coalesce(*[F.when(has_token(text, p), F.lit(p)) for p in patterns], F.lit(None).cast("string"))
 
 

@@ -200,3 +200,24 @@ def _with_times(df: DataFrame) -> DataFrame:
 def parse_timestamps(df: DataFrame, text: str = "timestamp", ingest: str = "ingest_ts") -> DataFrame:
     """Add ``event_us``, ``event_ts``, ``wall_ts`` and ``zone`` from a column of time texts."""
     return _with_times(df.withColumns({"_time": F.col(text), "_arrival": F.col(ingest)}))
+
+
+def parse_error() -> Column:
+    """Why a parsed row is not a request, null if it is one: the line is blank, does not fit the
+    format that was asked for, or its status is none of HTTP's."""
+    return (
+        F.when(S.is_blank(F.col("line")), F.lit("blank line"))
+        .when(F.col("parse_kind") == "empty", F.lit("format does not fit"))
+        .when(~F.col("status").between(100, 599), F.lit("status out of range"))
+    )
+
+
+def with_parse_error(parsed: DataFrame) -> DataFrame:
+    """Add ``parse_error``; rows that are skipped are those where it is not null."""
+    return parsed.withColumn("parse_error", parse_error())
+
+
+def error_report(parsed: DataFrame) -> DataFrame:
+    """parse_error, rows and the first line of every reason."""
+    failed = with_parse_error(parsed).filter("parse_error is not null")
+    return failed.groupBy("parse_error").agg(F.count("*").alias("rows"), F.min("line_no").alias("first_line_no"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tidewatch.functions import scalars as S
 from tidewatch.schema import ATTACK_CATEGORIES
@@ -32,6 +33,44 @@ def detection_stats(df: DataFrame, flag: str = "anomaly") -> DataFrame:
     )
 
 
+def observed(df: DataFrame, counters: Observation | str, flag: str = "anomaly") -> DataFrame:
+    """``df`` with counters of its rows that fill while whatever is done with it runs.
+
+    In batch ``counters`` is an ``Observation`` whose ``get`` waits for the action; in a stream it
+    is a name, and ``LiveCounters`` of that name adds the micro-batches up. No second job runs.
+    """
+    return df.observe(
+        counters, F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(F.col(flag), F.lit(False))).alias("anomalies")
+    )
+
+
+class LiveCounters(StreamingQueryListener):
+    """Totals of the streams that are observed under ``name``; register with ``spark.streams``.
+
+    A micro-batch counts once, also when it is run again after a failure.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.batches = name, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = (row["total"], row["anomalies"])
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def counts(self) -> dict:
+        """total, anomalies and anomaly_rate so far."""
+        total = sum(t for t, _ in self.batches.values())
+        anomalies = sum(a for _, a in self.batches.values())
+        return {"total": total, "anomalies": anomalies, "anomaly_rate": anomalies / total if total else 0.0}
+
+
 def training_stats(parsed: DataFrame, n_features: int, model: str) -> DataFrame:
     return parsed.agg(
         F.count("*").alias("total_logs"), F.count_if(F.col("status") > 0).alias("parsed_logs")

@@ -233,6 +233,15 @@ def _matched(source: str) -> str:
   from signed left join best using (signature) left join clusters using (template_id)"""
 
 
+def _many() -> str:
+    from tidewatch.plans.queries import MANY_PATTERNS
+
+    listed = ", ".join(f"({i}, '{p.lower()}')" for i, p in enumerate(MANY_PATTERNS))
+    return f"""with {parsed()}, pats as (select * from (values {listed}) v(k, pat))
+ select line_no, cast(count(k) as integer) as patterns from p left join pats on contains(lower(path), pat) or contains(lower(raw), pat)
+ group by line_no"""
+
+
 def _scaler(where: str = "") -> str:
     rows = " union all ".join(
         f"select {i} as idx, '{c}' as feature, avg({c}) as mean, "
@@ -421,6 +430,16 @@ def oracle() -> dict[str, str]:
  coalesce(template_id, -1) as template_id from p join signed using (line_no) left join dictionary using (signature)""",
         "stream_ip_window": f"""with {parsed()}, starts as (select ip, event_us // 1000000 as sec, unnest(range(12)) as back from p)
  select cast((sec // 300 - back) * 300 as bigint) as window_start, ip, count(*) as requests from starts group by 1, 2""",
+        "stream_ip_window_append": f"""with {parsed()}, starts as (select ip, event_us // 1000000 as sec, unnest(range(12)) as back from p),
+ closed as (select (max(event_us) // 1000) * 1000 - 7200000000 as mark from p),
+ w as (select cast((sec // 300 - back) * 300 as bigint) as window_start, ip, count(*) as requests from starts group by 1, 2)
+ select w.* from w cross join closed where (window_start + 3600) * 1000000 <= mark""",
+        "observed_stats": f"select total, anomalies from ({counters})",
+        "stream_observed_stats": f"select total, anomalies from ({counters})",
+        "parse_error_report": f"""with {parsed("nginx")}, e as (select line_no, case when trim(line) = '' then 'blank line'
+  when parse_kind = 'empty' then 'format does not fit' when status not between 100 and 599 then 'status out of range' end as parse_error from p)
+ select parse_error, count(*) as rows, min(line_no) as first_line_no from e where parse_error is not null group by parse_error""",
+        "many_patterns": _many(),
         "stream_dedup": f"with {LOGS} select distinct line from logs",
         "attack_categories": _attacks(),
         "ip_over_limit": f"with {_dense()}, {_stats('dense')} select ip, count(*) as requests from s where ip_frequency > 500 group by ip",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
@@ -14,7 +14,7 @@ from tidewatch.operators.explain import explain
 from tidewatch.operators.features import extract_features
 from tidewatch.operators.iforest import fit_iforest, grow_trees
 from tidewatch.operators.ip_stats import ip_statistics, moving_average
-from tidewatch.operators.parse import parse_logs, parse_timestamps
+from tidewatch.operators.parse import error_report, parse_logs, parse_timestamps
 from tidewatch.operators.quantiles import threshold
 from tidewatch.operators.reconstruction import LAYER_SCHEMA, fit_reconstruction
 from tidewatch.operators.scaling import fit_scaler, scale
@@ -35,6 +35,14 @@ from tidewatch.streaming.store import AddressStore, TemplateStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# A list as long as those of signature feeds, made by rule: addresses, paths and agents of the log.
+MANY_PATTERNS = (
+    *[f"10.0.{i}." for i in range(40)],
+    *[f"/{kind}/{i} " for kind in ("click", "VIEW", "purchase", "error", "signup") for i in range(40)],
+    *[f"agent/{i}" for i in range(9)],
+    *[f'" {i} {j}' for i in (200, 404, 500) for j in range(800)],
+    "UNION", "../", "/..", "etc/passwd", "",
+)
 
 CUSTOM_PATTERN = r'(?P<ip>[\d\.]+) .* "(?P<method>\S+) (?P<path>\S+).*" (?P<status>\d+)'
 PARSED = (
@@ -702,6 +710,51 @@ def stream_stats(spark, sf_dir):
     return rounded(jobs.run_available(jobs.stream_stats(flagged), "stats", "complete"), "anomaly_rate")
 
 
+@query
+def observed_stats(spark, sf_dir):
+    """Counters that fill while the flagged rows are written."""
+    flagged = parsed_logs(spark, sf_dir).select("line_no", (F.col("status") >= 500).alias("anomaly"))
+    counters = Observation("records")
+    stats.observed(flagged, counters).write.parquet(scratch_path(spark, "observed"))
+    found = counters.get
+    return spark.createDataFrame([(found["total"], found["anomalies"])], "total bigint, anomalies bigint")
+
+
+@query
+def stream_observed_stats(spark, sf_dir):
+    """The same counters of a stream, added up by a listener."""
+    flagged = parse_logs(log_stream(spark, sf_dir)).select("line_no", (F.col("status") >= 500).alias("anomaly"))
+    counters = stats.LiveCounters("records")
+    spark.streams.addListener(counters)
+    try:
+        jobs.run_available(stats.observed(flagged, "records"), "observed")
+        found = jobs.settled(counters)
+    finally:
+        spark.streams.removeListener(counters)
+    return spark.createDataFrame([(found["total"], found["anomalies"])], "total bigint, anomalies bigint")
+
+
+@query
+def parse_error_report(spark, sf_dir):
+    """Why lines are no requests of the stricter format."""
+    return error_report(parse_logs(access_logs(spark, sf_dir), format="nginx"))
+
+
+@query
+def many_patterns(spark, sf_dir):
+    """How many of some thousand patterns every line shows."""
+    rows = parsed_logs(spark, sf_dir)
+    return rows.select("line_no", S.count_tokens(F.col("path"), F.col("raw"), MANY_PATTERNS).alias("patterns"))
+
+
+@query
+def stream_ip_window_append(spark, sf_dir):
+    """Windows that the watermark has closed, each written once."""
+    parsed = parse_logs(log_stream(spark, sf_dir)).select("event_ts", "ip")
+    found = jobs.run_available(jobs.stream_ip_window(parsed, lateness="2 hours"), "closed-windows")
+    return found.select(F.unix_seconds("window_start").alias("window_start"), "ip", "requests")
+
+
 @query
 def stream_ip_window(spark, sf_dir):
     parsed = parse_logs(log_stream(spark, sf_dir)).select("event_ts", "ip")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,6 +195,20 @@ def known_templates(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path)
 
 
+def settled(counters, seconds: float = 30.0) -> dict:
+    """Counts of ``LiveCounters`` once the progress of a finished query has arrived: when they have
+    not moved for a second, after ``seconds`` at most."""
+    end, last, since = time.monotonic() + seconds, None, time.monotonic()
+    while time.monotonic() < end:
+        now = counters.counts()
+        if now != last:
+            last, since = now, time.monotonic()
+        elif counters.batches and time.monotonic() - since > 1.0:
+            break
+        time.sleep(0.1)
+    return counters.counts()
+
+
 def run_available(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a streaming plan over what is available and return its output as a batch table.
 
