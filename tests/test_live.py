@@ -134,3 +134,27 @@ def test_copies_are_recognised_within_the_delay(spark, delay, kept):
     stream = spark.readStream.schema("line string, event_ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
     found = jobs.run_available(jobs.stream_dedup(stream, delay=delay), "dedup")
     assert sorted(r.line for r in found.collect()) == kept
+
+
+# --- running cutoff ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [64, 4096])
+def test_running_cutoff_stays_inside_its_bound_after_every_batch(spark, size):
+    rng = random.Random(size)
+    batches = [[rng.gauss(k, 1 + k) for _ in range(4000)] for k in range(4)]
+    path, found, state = (scratch_path(spark, x) for x in ("scores", "cutoffs", "state"))
+    for values in batches:
+        odd = [None, float("nan")]
+        spark.createDataFrame([(v,) for v in values + odd], "score double").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("score double").option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.write_cutoffs(stream, 95.0, found, state, size=size).awaitTermination()
+    cutoffs = {r.batch: r for r in spark.read.parquet(found).collect()}
+    seen = []
+    for k, values in enumerate(batches):
+        seen += values
+        below = sum(v <= cutoffs[k].cutoff for v in seen) / len(seen)
+        assert cutoffs[k].n == len(seen) and abs(below - 0.95) <= 2 * jobs.rank_error(size)
+    # the state that goes on from batch to batch is the sketch alone
+    jobs.write_cutoffs(stream, 95.0, found, state, size=size).awaitTermination()
+    assert spark.read.parquet(found).count() == len(batches)

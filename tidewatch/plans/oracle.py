@@ -440,6 +440,7 @@ def oracle() -> dict[str, str]:
   when parse_kind = 'empty' then 'format does not fit' when status not between 100 and 599 then 'status out of range' end as parse_error from p)
  select parse_error, count(*) as rows, min(line_no) as first_line_no from e where parse_error is not null group by parse_error""",
         "many_patterns": _many(),
+        "stream_cutoff": "select count(*) as n, true as inside from events",
         "stream_dedup": f"with {LOGS} select distinct line from logs",
         "attack_categories": _attacks(),
         "ip_over_limit": f"with {_dense()}, {_stats('dense')} select ip, count(*) as requests from s where ip_frequency > 500 group by ip",

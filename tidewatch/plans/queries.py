@@ -734,6 +734,18 @@ def stream_observed_stats(spark, sf_dir):
     return spark.createDataFrame([(found["total"], found["anomalies"])], "total bigint, anomalies bigint")
 
 
+@query
+def stream_cutoff(spark, sf_dir):
+    """Running cutoff of a stream of values, held against the exact shares of values around it."""
+    values = event_stream(spark, sf_dir).select(F.col("value").alias("score"))
+    found = jobs.run_available(jobs.stream_cutoff(values, 95.0), "cutoff", "complete").first()
+    near, rows = jobs.rank_error(), table(spark, sf_dir, "events").select("value")
+    below = F.count_if(F.col("value") < found["cutoff"]) / F.count("*")
+    upto = F.count_if(F.col("value") <= found["cutoff"]) / F.count("*")
+    inside = (below <= 0.95 + near) & (upto >= 0.95 - near)
+    return rows.agg(F.count("*").alias("n"), (inside & (F.count("*") == found["n"])).alias("inside"))
+
+
 @query
 def parse_error_report(spark, sf_dir):
     """Why lines are no requests of the stricter format."""

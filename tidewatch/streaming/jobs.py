@@ -139,6 +139,45 @@ def stream_stats(records: DataFrame, flag: str = "anomaly") -> DataFrame:
     )
 
 
+# Size of the quantile sketch; its rank error follows from it.
+SKETCH = 4096
+
+
+def rank_error(size: int = SKETCH) -> float:
+    """Rank error of a sketch of ``size`` as a share of the rows, held with 99 % confidence."""
+    return 2.296 / size**0.9021
+
+
+def stream_cutoff(scores: DataFrame, percentile: float, score: str = "score", size: int = SKETCH) -> DataFrame:
+    """Running cutoff of all scores so far: n and cutoff; write with output mode ``complete``.
+
+    The state is one mergeable quantile sketch of bounded size, partial sketches being merged before
+    the shuffle. The share of scores up to the cutoff differs from ``percentile`` by
+    ``rank_error(size)`` at most, with 99 % confidence. Null scores and NaN count nowhere.
+    """
+    value = F.col(score).cast("double")
+    held = scores.filter(value.isNotNull() & ~F.isnan(value))
+    sketch = F.kll_sketch_agg_double(value, F.lit(size))
+    found = held.groupBy().agg(F.count("*").alias("n"), sketch.alias("s"))
+    return found.select("n", F.kll_sketch_get_quantile_double("s", F.lit(percentile / 100.0)).alias("cutoff"))
+
+
+def write_cutoffs(scores: DataFrame, percentile: float, path: str, checkpoint: str, score: str = "score", size: int = SKETCH):
+    """Start a query that writes the running cutoff after micro-batch k to ``path/batch=k``."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        stream_cutoff(scores, percentile, score, size)
+        .writeStream.foreachBatch(add)
+        .outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_ip_window(
     parsed: DataFrame, minutes: int = 60, slide: int = 5, lateness: str = "1 day"
 ) -> DataFrame:
