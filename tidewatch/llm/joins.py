@@ -132,17 +132,29 @@ def sketches(df: DataFrame, size: int, percent: int, counts: np.ndarray) -> Data
     return _mapped(df.select("doc_id", "text"), size, run, schema)
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(c, d, text) to (c, own), the sorted hashes of the set, for texts whose set has the digest ``d``."""
+def _sets(stash: Stash, texts: DataFrame, size: int) -> DataFrame:
+    """(c, own), the sorted hashes of the set of each class, from (c, d, rows, text).
+
+    A text counts if its set has the digest ``d``, as other texts may have the same doc_id. Only
+    classes of several rows can come up more than once, and a task gives each of them once.
+    """
 
     def run(batches, sets):
+        done = set()
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(sets, utf8(batch.column(2))))
-            found = [(c, own.tobytes()) for c, d, own in rows if _digest(own) == d]
+            found = []
+            for c, d, rows, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), utf8(batch.column(3))):
+                if c not in done and _digest(own := sets(raw)) == d:
+                    found.append((c, rows > 1, own.tobytes()))
+                    if rows > 1:
+                        done.add(c)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["c", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["c", "several", "own"])
 
-    return _mapped(texts.select("c", "d", "text"), size, run, "c bigint, own binary").dropDuplicates(["c"])
+    every = _mapped(texts.select("c", "d", "rows", "text"), size, run, "c bigint, several boolean, own binary")
+    every = stash.keep(every, "sets")
+    again = every.filter("several").select("c", "own").dropDuplicates(["c"])
+    return every.filter("not several").select("c", "own").unionByName(again)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,12 +223,11 @@ class _Links:
         pairs = self.stash.keep(pairs.distinct(), "pairs")
         if not pairs.isEmpty():
             ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-            named = self.stash.keep(self.classes.select("c", "d", "doc_id").join(ids, "c"), "wanted")
+            named = self.stash.keep(self.classes.select("c", "d", "doc_id", "rows").join(ids, "c"), "wanted")
             few = named.count() <= BROADCAST_IDS
             texts = self.rows.join(F.broadcast(named) if few else named, "doc_id")
-            sets = self.stash.keep(_sets(texts, self.size), "sets")
+            sets = _sets(self.stash, texts, self.size)
             self.add(self.stash.keep(_linked(pairs, sets, self.percent), "links"))
-            self.stash.drop(sets)
 
     def add(self, links: DataFrame) -> None:
         if not links.isEmpty():
@@ -318,8 +329,13 @@ def join(
         else:
             # the pivot's component is linked among itself already
             main = placed.join(pivots.select("token", F.col("component").alias("main")), "token")
+            # parities speak of one class; units of several are left to the comparison of classes
+            alone = units.groupBy("u").agg(F.count("*").alias("classes"), *[F.min(b).alias(b) for b in BITS])
+            main = main.join(alone.filter("classes = 1").drop("classes"), "u", "left")
+            main = stash.keep(main, "left")
             outside = main.filter("component != main").drop("main")
-            verify(outside.join(_other(main.drop("main")), "token").filter(F.expr("early or soon") & fits))
+            near = F.expr(f"(early or soon) and (b1 is null or o1 is null or ({_alike(percent)}))")
+            verify(outside.join(_other(main.drop("main")), "token").filter(near & fits))
         stash.drop(placed)
     return _named(stash, drawn, classes, links)
 
