@@ -93,7 +93,7 @@ def test_join_of_hard_rows(spark, hard, nothing):
 def test_needed_overlap_loses_no_pair(spark):
     rows = [(n, o, c) for n in range(1, 40) for o in range(1, n + 1) for c in range(o + 1)]
     df = spark.createDataFrame(rows, "n bigint, o bigint, c bigint")
-    least = joins._overlap(90, "n + o")
+    least = joins.overlap(90, "n + o")
     assert df.filter(f"(100 * c >= 90 * (n + o - c)) != (c >= {least})").isEmpty()
 
 

@@ -16,120 +16,23 @@ link is lost but those between sets that other links have joined already.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Stash, sliced, utf8, worker_cache
-from tidewatch.llm.minhash import WordHashes, components, shingles
+from tidewatch.llm.common import Stash, utf8
+from tidewatch.llm.minhash import components
+from tidewatch.llm.shingling import BITS, COUNTERS, alike, digest, early_places, map_sets, overlap, prefixes, shingle_counts
 from tidewatch.operators.ordering import lookup
 
 SHINGLE = 3
 PERCENT = 90
-# Counters of the sketch that orders shingles; 4 bytes each in every worker, whatever the input.
-COUNTERS = 1 << 20
-# The sketch travels in pieces of this many counters.
-PIECE = 1 << 14
 PIVOTS = 2
 # Parts that the partners of one set are dealt to.
 SALTS = 64
 # Ids of sets that may be broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 300_000
-BITS = ("b1", "b2", "b3", "b4")
-
-
-def _mapped(df: DataFrame, size: int, work, schema: str) -> DataFrame:
-    """``work(batches, sets)`` over slices of text; ``sets`` gives the shingles of a text."""
-
-    def run(batches):
-        hashes = worker_cache("ngram_words", WordHashes)
-        yield from work(sliced(batches, "text"), lambda raw: shingles(raw, size, hashes))
-
-    return df.mapInArrow(run, schema)
-
-
-def sketch(df: DataFrame, size: int, counters: int) -> np.ndarray:
-    """Counts of the shingles of all rows, by the low bits of their hash.
-
-    Every task sends its counters in pieces, which are added one after the other, so a task holds
-    one piece; the driver gets the sums alone, ``counters`` of them.
-    """
-    piece = min(PIECE, counters)
-    mask = np.uint64(counters - 1)
-
-    def pieces(k: int, total: np.ndarray) -> pa.RecordBatch:
-        packed = zlib.compress(total.astype(np.min_scalar_type(int(total.max()))).tobytes(), 1)
-        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([packed], pa.binary())], names=["k", "v"])
-
-    def unpacked(v: bytes) -> np.ndarray:
-        raw = zlib.decompress(v)
-        return np.frombuffer(raw, f"<u{len(raw) // piece}").astype(np.int64)
-
-    def count(batches, sets):
-        total = np.zeros(counters, np.int64)
-        for batch in batches:
-            own = np.concatenate([np.zeros(0, np.uint64), *map(sets, utf8(batch.column(0)))])
-            total += np.bincount((own & mask).astype(np.int64), minlength=counters)
-        parts = total.reshape(-1, piece)
-        for k in np.flatnonzero(parts.any(axis=1)).tolist():
-            yield pieces(k, parts[k])
-
-    def add(batches):
-        at, total = None, None
-        for batch in batches:
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if k != at:
-                    if at is not None:
-                        yield pieces(at, total)
-                    at, total = k, np.zeros(piece, np.int64)
-                total += unpacked(v)
-        if at is not None:
-            yield pieces(at, total)
-
-    sent = _mapped(df.select("text"), size, count, "k bigint, v binary")
-    summed = sent.repartition("k").sortWithinPartitions("k").mapInArrow(add, "k bigint, v binary")
-    total = np.zeros((counters // piece, piece), np.int64)
-    for row in summed.toLocalIterator():
-        total[row["k"]] = unpacked(bytes(row["v"]))
-    return np.minimum(total.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
-
-
-def _digest(own: np.ndarray) -> bytes:
-    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-
-
-def sketches(df: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """One row a document: size of its set, digests of the set and of its prefix, prefix, parities."""
-    shipped = df.sparkSession.sparkContext.broadcast(counts)
-    mask = np.uint64(len(counts) - 1)
-    schema = "doc_id bigint, n bigint, d binary, g binary, prefix array<bigint>, b1 bigint, b2 bigint, b3 bigint, b4 bigint"
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * 4]
-    names = ["doc_id", "n", "d", "g", "prefix", *BITS]
-
-    def run(batches, sets):
-        counted = shipped.value
-        for batch in batches:
-            out = []
-            for i, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                own = sets(raw)
-                n = len(own)
-                if not n:
-                    out.append((i, 0, None, None, None, None, None, None, None))
-                    continue
-                often = counted[(own & mask).astype(np.int64)]
-                reach = n - -(-percent * n // 100) + 1
-                prefix = own[np.lexsort((own, often))[:reach]]
-                parity = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-                bits = np.packbits(parity.astype(np.uint8)).view("<i8").tolist()
-                group = _digest(np.append(prefix, np.uint64(n)))
-                out.append((i, n, _digest(own), group, prefix.view(np.int64), *bits))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-
-    return _mapped(df.select("doc_id", "text"), size, run, schema)
 
 
 def _sets(stash: Stash, texts: DataFrame, size: int) -> DataFrame:
@@ -144,14 +47,14 @@ def _sets(stash: Stash, texts: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             found = []
             for c, d, rows, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), utf8(batch.column(3))):
-                if c not in done and _digest(own := sets(raw)) == d:
+                if c not in done and digest(own := sets(raw)) == d:
                     found.append((c, rows > 1, own.tobytes()))
                     if rows > 1:
                         done.add(c)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["c", "several", "own"])
 
-    every = _mapped(texts.select("c", "d", "rows", "text"), size, run, "c bigint, several boolean, own binary")
+    every = map_sets(texts.select("c", "d", "rows", "text"), size, run, "c bigint, several boolean, own binary")
     every = stash.keep(every, "sets")
     again = every.filter("several").select("c", "own").dropDuplicates(["c"])
     return every.filter("not several").select("c", "own").unionByName(again)
@@ -188,23 +91,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _overlap(percent: int, total: str) -> str:
-    """Smallest overlap of linked sets whose sizes add up to ``total``."""
-    return f"(({percent} * ({total}) + {99 + percent}) div {100 + percent})"
-
-
-def _alike(percent: int) -> str:
-    """Sizes and parities that every linked pair of sets has: n, b1.. and o, o1.."""
-    apart = " + ".join(f"bit_count({b} ^ o{b[1]})" for b in BITS)
-    return f"100 * least(n, o) >= {percent} * greatest(n, o) and {apart} <= n + o - 2 * {_overlap(percent, 'n + o')}"
-
-
-def _early(percent: int) -> str:
-    """Places at which the first common token of linked sets can stand."""
-    overlap = _overlap(percent, "n + o")
-    return f"100 * least(n, o) >= {percent} * greatest(n, o) and n - i >= {overlap} and o - j >= {overlap}"
-
-
 def _other(df: DataFrame) -> DataFrame:
     """Columns of a row under the names of those of its partner; ``token`` stays."""
     names = {"u": "v", "c": "b", "n": "o", "i": "j", "component": "of", "early": "soon", **{b: f"o{b[1]}" for b in BITS}}
@@ -254,7 +140,7 @@ def _units(stash: Stash, classes: DataFrame, links: _Links, percent: int) -> Dat
         return classes.withColumn("u", F.col("c"))
     grouped = stash.keep(classes.join(heads, "g"), "grouped")
     first = _other(grouped.filter("c = head").select("g", "c", "n", *BITS))
-    near = grouped.filter("c != head").join(first, "g").filter(_alike(percent))
+    near = grouped.filter("c != head").join(first, "g").filter(alike(percent))
     links.verify(near.select(F.col("head").alias("a"), F.col("c").alias("b")))
     marked = links.mark(links.mark(classes.join(heads, "g", "left"), "head").withColumnRenamed("component", "main"), "c")
     inside = F.col("head").isNotNull() & (F.col("component") == F.col("main"))
@@ -280,7 +166,7 @@ def join(
     """
     stash = Stash(df.sparkSession, "joins")
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    drawn = stash.keep(sketches(rows, size, percent, sketch(rows, size, counters)), "sketch")
+    drawn = stash.keep(prefixes(rows, size, percent, shingle_counts(rows, size, counters)), "sketch")
     named = drawn.filter("n > 0 and doc_id is not null")
     classes = named.groupBy("d", "g", "n", *BITS).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
     # stored with its number, so that the number stays
@@ -294,7 +180,7 @@ def join(
     group = F.xxhash64("g").alias("k")
     tokens = named.select("g", "n", "prefix").dropDuplicates(["g"]).select(group, "n", F.posexplode("prefix").alias("i", "token"))
     # the smaller set of a pair has the token at one of its early places
-    early = F.expr(f"n - i >= {_overlap(percent, 'n + n')}").alias("early")
+    early = F.expr(f"n - i >= {overlap(percent, 'n + n')}").alias("early")
     tokens = stash.keep(tokens.select("token", "k", F.col("n").cast("int").alias("n"), "i", early), "tokens")
     met = tokens.groupBy("token").agg(F.count("*").alias("size"), F.max("early").alias("soon")).filter("size > 1 and soon")
     shared = tokens.join(stash.keep(met.select("token"), "met"), "token")
@@ -302,13 +188,13 @@ def join(
     active = stash.keep(shared.join(heads, "k").select("token", "u", "n", "i", "early"), "active")
     stash.drop(tokens)
 
-    fits = F.expr(f"component != of and {_early(percent)}")
+    fits = F.expr(f"component != of and {early_places(percent)}")
 
     def verify(pairs: DataFrame) -> None:
         """Pairs of units (u, v) to pairs of their classes, which are compared."""
         pairs = stash.keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "unit-pairs")
         sides = units.select("u", "c", "n", *BITS)
-        both = pairs.join(sides, "u").join(_other(sides), "v").filter(_alike(percent))
+        both = pairs.join(sides, "u").join(_other(sides), "v").filter(alike(percent))
         links.verify(both.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")))
 
     for turn in range(PIVOTS + 1):
@@ -334,7 +220,7 @@ def join(
             main = main.join(alone.filter("classes = 1").drop("classes"), "u", "left")
             main = stash.keep(main, "left")
             outside = main.filter("component != main").drop("main")
-            near = F.expr(f"(early or soon) and (b1 is null or o1 is null or ({_alike(percent)}))")
+            near = F.expr(f"(early or soon) and (b1 is null or o1 is null or ({alike(percent)}))")
             verify(outside.join(_other(main.drop("main")), "token").filter(near & fits))
         stash.drop(placed)
     return _named(stash, drawn, classes, links)

@@ -5,9 +5,11 @@ exact copies are one row from then on. Representatives that share a band meet in
 bucket is settled by pivots first: its busiest row is compared with every row of another component,
 links join components, the pivot leaves, and a bucket whose rows are all in one component is done.
 What a pivot settles is settled for good, so no link that joins components is lost. After
-``PIVOTS`` rounds the rows outside the component of the bucket's pivot are joined with the bucket.
-A pair leaves a join only if its sizes and one bit of each minimum allow the similarity; it is then
-compared by signature, and at last on its full sets.
+``PIVOTS`` rounds the rows of the buckets that are still open meet once more, where they share a
+shingle that stands early enough in both sets, rare shingles first: every link has such a shingle,
+while sets that differ by edits of their own begin with shingles nobody else has. A pair leaves a
+join only if its sizes and its bits allow the similarity; it is then compared by signature, and at
+last on its full sets.
 """
 
 from __future__ import annotations
@@ -17,11 +19,23 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Stash, blank_words, sliced, utf8, worker_cache
+from tidewatch.llm.common import Stash, sliced, utf8, worker_cache
+from tidewatch.llm.shingling import (
+    BITS,
+    COUNTERS,
+    STEP,
+    WordHashes,
+    alike,
+    early_places,
+    mix,
+    overlap,
+    prefixes,
+    shingle_counts,
+    shingles,
+)
 
 SHINGLE = 5
 PERCENT = 85
@@ -33,43 +47,10 @@ SLACK = 0.15
 PIVOTS = 2
 # Ids of candidate documents that may be broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
-_WORDS = 300_000
 
 _rng = np.random.default_rng(20240917)
 _A = _rng.integers(1 << 63, dtype=np.uint64, size=HASHES) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1 << 63, dtype=np.uint64, size=HASHES)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finalizer that spreads every input bit over the 64-bit result."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the word runs of ``size``; of the whole text if it has fewer."""
-    words = blank_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(codes))
-    runs = len(codes) - width + 1
-    total = np.full(runs, width, np.uint64)
-    for k in range(width):
-        total = total * _STEP + codes[k : k + runs]
-    return np.unique(mix(total))
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -115,7 +96,7 @@ def sketches(df: DataFrame, doc_id: str, text: str, size: int, percent: int = PE
                 low = signature(own)
                 key = mix(band + np.uint64(1))
                 for column in low[: bands * height].reshape(bands, height).T:
-                    key = mix(key * _STEP + column)
+                    key = mix(key * STEP + column)
                 short = (mix(low) & np.uint64(0xFFFF)).astype("<u2")
                 bits = np.packbits((short & 1).astype(np.uint8)).view("<i8").tolist()
                 out.append((i, len(own), int(d1), int(d2), key.view(np.int64), short.tobytes(), *bits))
@@ -215,6 +196,29 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _meeting(stash: Stash, ids: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs (id, pivot) of ``ids`` (id, component) that share a shingle early enough in both sets.
+
+    Exact: two sets that need ``o`` shingles in common have the first one of them, in any order, at
+    a place with at least ``o`` places left in each. The order is that of a count sketch of these
+    texts. Components join nothing inside themselves.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    own = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"))
+    own = stash.keep(own.select("doc_id", "text"), "meeting")
+    drawn = stash.keep(prefixes(own, size, percent, shingle_counts(own, size, COUNTERS)), "prefixes")
+    tokens = drawn.select(F.col("doc_id").alias("id"), "n", "d", F.posexplode("prefix").alias("i", "token"))
+    # a doc_id may have several texts; each has its own places
+    tokens = tokens.withColumn("early", F.expr(f"n - i >= {overlap(percent, 'n + n')}")).distinct()
+    shared = tokens.groupBy("token").agg(F.count("*").alias("size"), F.max("early").alias("soon")).filter("size > 1 and soon")
+    bits = drawn.select(F.col("doc_id").alias("id"), "d", *BITS).distinct().join(ids, "id")
+    rows = stash.keep(tokens.join(shared.select("token"), "token").join(bits, ["id", "d"]).drop("d"), "tokens")
+    names = {"id": "pivot", "n": "o", "i": "j", "component": "of", "early": "soon", **{b: f"o{b[1]}" for b in BITS}}
+    other = rows.filter("early").select(*[F.col(c).alias(names.get(c, c)) for c in rows.columns])
+    fits = f"component != of and {early_places(percent)} and {alike(percent)} and (not early or id < pivot)"
+    return rows.join(other, "token").filter(F.expr(fits)).select("id", "pivot")
+
+
 def cluster(
     df: DataFrame,
     doc_id: str = "doc_id",
@@ -285,16 +289,8 @@ def cluster(
         if turn < PIVOTS:
             pairs = active.join(pivots, "key").filter(fits)
         else:
-            # rows of the pivot's component are linked among themselves already
-            outside = (
-                active.join(pivots.select("key", F.col("of").alias("main")), "key")
-                .filter("component != main")
-                .select("key", "id", "n", "component", "b1", "b2", "b3")
-            )
-            everyone = active.select("key", *[F.col(c).alias(o) for c, o in zip(
-                ("id", "n", "component", "b1", "b2", "b3"), other
-            )])
-            pairs = outside.join(everyone, "key").filter(fits)
+            still = active.join(pivots.select("key"), "key").select("id", "component").distinct()
+            pairs = _meeting(stash, stash.keep(still, "still"), texts, percent, size)
         pairs = pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
         close = stash.keep(_agreeing(pairs, sketch, percent), "close")
         links = stash.keep(_linked(close, texts, percent, size), "links")
