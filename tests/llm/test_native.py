@@ -162,6 +162,40 @@ def test_hosts_paths_and_rules(spark):
     assert urls.judge(empty, urls.fit(empty)).count() == 0
 
 
+def plain_parts(url):
+    """Host and path by hand."""
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+    host = rest[:end].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    path = rest[end:]
+    return host, path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+
+
+def plain_rule(host, path):
+    listed = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+    fits = []
+    for rule in listed:
+        of, _, start = rule.partition("/")
+        if (host == of or host.endswith("." + of)) and path.startswith("/" + start):
+            fits.append(rule)
+    best = max(fits, key=len, default=None)
+    return best, listed.get(best)
+
+
+def test_url_query_equals_plain_parsing_of_all_pages(spark):
+    folder = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    rows = QUERIES["op3_url_trees"](spark, folder).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        host, path = plain_parts(pages[r.page_id])
+        rule, verdict = plain_rule(host, path)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if rule else r.verdict in ("allow", "block")
+
+
 def test_url_trees_beat_the_majority_on_held_out_urls(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
     rule, verdict = urls.ruled()
@@ -228,6 +262,15 @@ def test_quality_query(spark, sf_dir):
         assert not (r.kept and r.base_failed)
 
 
+def test_columns_named_like_helpers_pass_through(spark):
+    names = ["_of", "_host", "_plain", "_letters", "_lines", "_text", "c0", "_f_id", "_f_h", "_f_spans", "_found_spans", "spans2"]
+    rows = [(i, "see a@b.cd " * 9, "s") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({c: F.lit(c) for c in names})
+    for found in (quality.judge(df), pii.attach(df, pii.find(df), "doc_id", "text")):
+        assert found.count() == 4
+        assert all(r[c] == c for r in found.collect() for c in names)
+
+
 def test_hosts_are_shrunk_to_the_prior_and_judged(spark, nothing):
     good = " ".join(f"word{i}" for i in range(40))
     bad = good + " " + "#### " * 30

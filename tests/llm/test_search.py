@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -380,3 +381,28 @@ def test_held_out_labels_are_not_read(spark, sf_dir, monkeypatch):
     known = {r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
     text = {r.doc_id: r.text for r in documents.collect()}
     assert len(seen) == len({(i, tuple(toxicity.spaced(text[i].encode(), 10))) for i in known if text.get(i)})
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"  # fewer labels teach too little
+    documents = [r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = QUERIES["op9_toxicity"](spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(documents)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    held = [r for r in rows if r.held_out and r.doc_id in toxic]
+    hit = sum(r.predicted and toxic[r.doc_id] for r in held)
+    recall, precision = hit / sum(toxic[r.doc_id] for r in held), hit / sum(r.predicted for r in held)
+    assert recall >= 0.8 and precision >= 0.8, (recall, precision)
+
+
+def test_toxicity_takes_one_text_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda sample, rounds: seen.append(sample))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, toxic int")
+    rows = [(i, f"text {k} of {i}") for i in range(12) for k in range(30)] + [(None, "x"), (3, None)]
+    toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), labels, rows=3)
+    (sample,) = seen
+    assert len(sample) == 6 and sorted(y for _, y in sample) == [0, 0, 0, 1, 1, 1]

@@ -241,20 +241,17 @@ def find(
 def attach(df: DataFrame, found: DataFrame, doc_id: str, text: str, name: str = "spans") -> DataFrame:
     """Add the spans to every row of ``df``; an empty array where there are none."""
     made = [c for c in df.columns if c != name]
+    # names that no column of the rows has
+    own, of, its, their, given = (fresh(df, c) for c in ("_id", "_text_hash", "_found_id", "_found_hash", "_found_spans"))
     keyed = df.select(
-        *[F.col(f"`{c}`") for c in made],
-        F.col(doc_id).alias(fresh(df, "_id")),
-        F.xxhash64(F.col(text)).alias(fresh(df, "_text_hash")),
-    )
-    own, of = fresh(df, "_id"), fresh(df, "_text_hash")
-    right = found.select(
-        F.col("doc_id").alias("_f_id"), F.col("h").alias("_f_h"), F.col("spans").alias("_f_spans")
+        *[F.col(f"`{c}`") for c in made], F.col(doc_id).alias(own), F.xxhash64(F.col(text)).alias(of)
     )
+    right = found.select(F.col("doc_id").alias(its), F.col("h").alias(their), F.col("spans").alias(given))
     none = F.array().cast(found.schema["spans"].dataType)
     return (
-        keyed.join(right, (F.col(of) == F.col("_f_h")) & F.col(own).eqNullSafe(F.col("_f_id")), "left")
-        .withColumn(name, F.coalesce("_f_spans", none))
-        .drop("_f_id", "_f_h", "_f_spans", own, of)
+        keyed.join(right, (F.col(of) == F.col(their)) & F.col(own).eqNullSafe(F.col(its)), "left")
+        .withColumn(name, F.coalesce(given, none))
+        .drop(own, of, its, their, given)
     )
 
 

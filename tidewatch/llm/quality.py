@@ -119,14 +119,17 @@ def judge(
     stash = Stash(df.sparkSession, "quality")
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     made += ["n_failed", "base_failed", "host_rate", "kept"]
-    rest = [c for c in df.columns if c not in {*made, text, host, "_host"}]
-    named = df.select(*[f"`{c}`" for c in rest], F.col(text).alias(text), F.col(host).alias("_host"))
+    # neutral names, so that no column of the rows can clash with a helper
+    rest = {c: f"c{i}" for i, c in enumerate(df.columns) if c not in {*made, text, host}}
+    named = df.select(
+        *[F.col(f"`{c}`").alias(short) for c, short in rest.items()], F.col(text).alias("_text"), F.col(host).alias("_host")
+    )
     own = rules()
     failed = sum((F.coalesce(r, F.lit(False)).cast("int") for r in own.values()), F.lit(0))
     measured = stash.keep(
-        measures(named, text)
+        measures(named, "_text")
         .withColumns({"n_failed": failed, "base_failed": own["few_words"] | own["repeated_words"]})
-        .drop(text),
+        .drop("_text"),
         "measured",
     )
     hosts = stash.keep(
@@ -144,12 +147,10 @@ def judge(
         | ((F.col("n_failed") >= 1) & (F.col("host_rate") > suspect * mean))
         | (F.col("host_rate") > block)
     )
-    return (
-        measured.join(rates.withColumnRenamed("_host", "_of"), F.col("_host").eqNullSafe(F.col("_of")))
-        .withColumn("kept", ~bad)
-        .withColumnRenamed("_host", host)
-        .drop("_of")
-    )
+    judged = measured.join(rates.withColumnRenamed("_host", "_of"), F.col("_host").eqNullSafe(F.col("_of")))
+    back = {"_host": host, **{short: c for c, short in rest.items()}}
+    judged = judged.withColumn("kept", ~bad).drop("_of")
+    return judged.select(*[F.col(c).alias(back.get(c, c)) for c in judged.columns])
 
 
 def prior(hosts: DataFrame) -> tuple[float, float]:

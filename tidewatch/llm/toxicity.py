@@ -327,6 +327,8 @@ def fit(
     The ids of each class with the lowest hashes are chosen from the labels alone and sent to the
     documents, which are scanned without a shuffle. A doc_id labelled more than once counts as
     toxic if one of its labels says so; null labels and ids are left out; null texts give no window.
+    Of several texts under one chosen id the one with the lowest hash is taken, so at most
+    ``2 * rows`` texts reach the driver.
     """
     known = (
         labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col("toxic").cast("int").alias("y"))
@@ -343,6 +345,8 @@ def fit(
     found = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t")).join(
         F.broadcast(ids), "id"
     )
+    one = found.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("one"))
+    found = one.select("id", F.col("one.t").alias("t"), "y")
 
     def cut(batches):
         for batch in sliced(batches, "t"):
@@ -354,7 +358,7 @@ def fit(
 
     cut_rows = found.mapInArrow(cut, "id bigint, y int, own array<binary>").collect()
     sample = sorted({(r.id, r.y, tuple(bytes(w) for w in r.own)) for r in cut_rows if r.own})
-    return train([(list(own), y) for _, y, own in sample[: 4 * rows]], rounds)
+    return train([(list(own), y) for _, y, own in sample], rounds)
 
 
 def score(df: DataFrame, network: Network | None, text: str = "text", name: str = "score") -> DataFrame:
