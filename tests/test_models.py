@@ -204,6 +204,17 @@ def test_pca_error_equals_numpy(spark):
     assert set(found.nlargest(5, "score")["line_no"]) == set(range(5))
 
 
+@pytest.mark.parametrize("kind", ["pca", "mlp"])
+def test_reconstruction_model_survives_storage(spark, kind):
+    df, names = cloud(spark, 300), ["a", "b", "c"]
+    model = fit_reconstruction(df, names, kind, latent=2, hidden=(8, 4), epochs=2, batch_size=32)
+    path = scratch_path(spark, "reconstruction")
+    model.save(spark, path)
+    again = ReconstructionModel.load(spark, path)
+    one, two = (sorted(map(tuple, m.transform(df).collect())) for m in (model, again))
+    assert one == two and again.layers() == model.layers() and again.threshold == model.threshold
+
+
 def test_mlp_does_not_depend_on_partitions(spark):
     df, names = cloud(spark, 800), ["a", "b", "c"]
     one, seven = (

@@ -385,6 +385,7 @@ def oracle() -> dict[str, str]:
  round(case when l_discount = 0 then -1.0 else l_extendedprice / l_discount end, 4) + 0.0 as quotient from lineitem""",
         "scaler_fit": scaler,
         "scaler_table": scaler,
+        "saved_scaler": f"select * from ({scaler}) where feature <> 'template_id'",
         "threshold_percentile": "select round(quantile_cont(value, 0.95), 6) + 0.0 as threshold from events",
         "threshold_mad": mad,
         "threshold_iqr": """select round(quantile_cont(l_extendedprice, 0.75) + 1.5 * (quantile_cont(l_extendedprice, 0.75)

@@ -16,7 +16,7 @@ from tidewatch.operators.iforest import fit_iforest, grow_trees
 from tidewatch.operators.ip_stats import ip_statistics, moving_average
 from tidewatch.operators.parse import error_report, parse_logs, parse_timestamps
 from tidewatch.operators.quantiles import threshold
-from tidewatch.operators.reconstruction import LAYER_SCHEMA, fit_reconstruction
+from tidewatch.operators.reconstruction import LAYER_SCHEMA, ReconstructionModel, fit_reconstruction
 from tidewatch.operators.scaling import fit_scaler, scale
 from tidewatch.operators.templates import (
     assign_templates,
@@ -588,13 +588,24 @@ def recon_train_mlp(spark, sf_dir):
     return model.transform(features).select("line_no", "score", "anomaly")
 
 
+@query
+def saved_scaler(spark, sf_dir):
+    """Scaler of a fitted detector that was written and read back, but for the mined templates' ids."""
+    model, path = detector(spark, sf_dir), scratch_path(spark, "model")
+    model.save(path)
+    scaler = DetectorModel.load(spark, path).scaler.filter("feature != 'template_id'")
+    return rounded(scaler, "mean", "scale", digits=5)
+
+
 @query
 def recon_model_table(spark, sf_dir):
     features, names = scaled_vectors(spark, sf_dir)
     model = fit_reconstruction(features, names, "mlp", epochs=50)
-    path = scratch_path(spark, "layers")
-    spark.createDataFrame(model.layers(), LAYER_SCHEMA).write.parquet(path)
-    return spark.read.parquet(path).withColumn("threshold", F.lit(model.threshold))
+    path = scratch_path(spark, "reconstruction")
+    model.save(spark, path)
+    # the rows of the model that was read back
+    again = ReconstructionModel.load(spark, path)
+    return spark.createDataFrame(again.layers(), LAYER_SCHEMA).withColumn("threshold", F.lit(again.threshold))
 
 
 @query
