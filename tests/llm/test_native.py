@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -110,6 +111,56 @@ def test_terms_are_found_in_the_whole_text(spark):
             assert len(own) == len(set(own)) and not any(low <= s < high for s, _ in own)
 
 
+def plain_terms(rows, disclosure=0.8, prior=2.0):
+    """(doc_id, start, end) of revealing terms, by counting every pair of a term and an entity."""
+    texts = sorted({t for _, t in rows if t is not None})
+    words = {t: {w.lower() for w in re.findall(r"[^\W_]{3,}", t)} for t in texts}
+    own = {t: {(k, t[s:e].lower()) for k, s, e in personal(t)} for t in texts}
+    n_term = collections.Counter(w for t in texts for w in words[t])
+    n_entity = collections.Counter(x for t in texts for x in own[t])
+    both = collections.Counter((x, w) for t in texts for x in own[t] for w in words[t])
+    total, told = len(texts), set()
+    for (x, w), n in both.items():
+        share = n_entity[x] / total
+        if share < 1 and (n + prior * share) / (n_term[w] + prior) >= share ** (1 - disclosure):
+            told.add((x, w))
+    out = set()
+    for i, t in rows:
+        for m in re.finditer(r"[^\W_]{3,}", t or ""):
+            inside = any(s <= m.start() < e for _, s, e in personal(t))
+            if not inside and any((x, m[0].lower()) in told for x in own[t]):
+                out.add((i, m.start(), m.end()))
+    return out
+
+
+def test_terms_equal_counting_every_pair(spark, monkeypatch):
+    rng = random.Random(11)
+    names = [f"name{k}" for k in range(25)]
+    rows = []
+    for i in range(300):
+        own = rng.sample(range(25), rng.choice([0, 0, 1, 2]))
+        told = [w for k in own for w in (f"{names[k]}@mail{k % 4}.org", names[k], f"team{k % 6}")]
+        told += rng.choices([f"word{j}" for j in range(60)], k=12)
+        rng.shuffle(told)
+        rows.append((i, " ".join(told)))
+    # a list of addresses, and a copy of it with another word
+    listed = " ".join(f"p{j}@list.net" for j in range(400))
+    rows += [(900, f"alpha members {listed}"), (901, f"beta members {listed}"), (902, None), (903, rows[5][1])]
+    sizes, keep = {}, pii.Stash.keep
+
+    def counted(self, df, label="t"):
+        table = keep(self, df, label)
+        sizes[label] = table.count()
+        return table
+
+    monkeypatch.setattr(pii.Stash, "keep", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = pii.attach(df, pii.find(df), "doc_id", "text").collect()
+    assert {(r.doc_id, s.start, s.end) for r in found for s in r.spans if s.kind == "term"} == plain_terms(rows)
+    # 400 addresses and 400 words of one text make no square of rows
+    assert sizes["held"] < 800 and sizes["pairs"] < 20_000
+
+
 def test_redaction_masks_spans(spark):
     kinds = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = [

@@ -180,8 +180,12 @@ def disclosing(
     total = copies.count()
     size = float(max(total, 1))
     holders = found.select("kind", F.lower("value").alias("value"), "h").distinct()
-    of_entity = holders.groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
-    held = stash.keep(holders.join(of_entity, ["kind", "value"]).filter(F.col("n_entity") < total), "held")
+    # entities of the same texts have the same counts with every term, so they go as one: a list of
+    # addresses meets each word of its text once
+    same = {c: F.bit_xor(F.xxhash64("h", F.lit(c))) for c in ("x", "y")}
+    of_entity = holders.groupBy("kind", "value").agg(F.count("*").alias("n_entity"), *[v.alias(c) for c, v in same.items()])
+    held = holders.join(of_entity, ["kind", "value"]).filter(F.col("n_entity") < total)
+    held = stash.keep(held.select("h", "x", "y", "n_entity").distinct(), "held")
     most = held.agg(F.max("n_entity")).first()[0]
     whole = _small(found.select("h").distinct())
     texts = df.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(whole, "h", "left_semi")
@@ -201,11 +205,11 @@ def disclosing(
     pairs = words.join(held, "h").filter(reached(F.least(n_term, n_entity), n_term, n_entity))
     pairs = stash.keep(pairs, "pairs")
     stash.drop(copies, held)
-    together = pairs.groupBy("kind", "value", "term").agg(
+    together = pairs.groupBy("x", "y", "term").agg(
         F.count("*").alias("n_both"), F.min("n_term").alias("n_term"), F.min("n_entity").alias("n_entity")
     )
-    revealing = together.filter(reached(F.col("n_both"), n_term, n_entity)).select("kind", "value", "term")
-    marks = stash.keep(pairs.join(revealing, ["kind", "value", "term"]).select("h", "term").distinct(), "marks")
+    revealing = together.filter(reached(F.col("n_both"), n_term, n_entity)).select("x", "y", "term")
+    marks = stash.keep(pairs.join(revealing, ["x", "y", "term"]).select("h", "term").distinct(), "marks")
     stash.drop(pairs)
     marked = texts.join(_small(marks.select("h").distinct()), "h", "left_semi").dropDuplicates(["h"])
     return _placed(marked, marks, found)
