@@ -68,18 +68,34 @@ def test_join_equals_brute_force(spark, sf_dir, monkeypatch, counters, pivots):
     assert answers(joins.join(df, counters=counters).collect()) == linked(rows)
 
 
-def test_groups_of_several_classes_and_shared_ids(spark):
-    # one prefix and one size, sets that differ only in shingles that many others have
-    common = [f"c{i}" for i in range(40)]
-    rare = [f"r{i}" for i in range(60)]
-    # frequent runs, so that every text begins its order with the rare words
-    rows = [(1000 + k, " ".join(common[a : a + 8])) for k, a in enumerate(list(range(0, 33)) * 3)]
-    rows += [(k, " ".join([*rare, *common[5 * k : 5 * k + 4]])) for k in range(1, 7)]
-    rows += [(50, "one two three four"), (50, "five six seven eight"), (40, "ONE two three four"), (60, "five six seven eight")]
+def test_groups_of_several_classes(spark, monkeypatch):
+    # sets of words: one size and one prefix of rare words, and frequent words that differ
+    rare, often = [f"r{i}" for i in range(7)], [f"f{i}" for i in range(200)]
+    rows = [(1000 + k, " ".join(often[i : i + 40])) for k, i in enumerate(list(range(0, 161, 10)) * 12)]
+    rows += [(k, " ".join([*rare, *often[:53], often[100 + k]])) for k in range(1, 6)]  # linked with each other
+    rows += [(k, " ".join([*rare, *often[80:133], often[140 + k]])) for k in range(20, 24)]  # the same, but not with those
+    rows += [(30, " ".join([*rare, *often[146:200]]))]  # linked with nobody
+    sizes, units = [], joins._units
+
+    def seen(stash, classes, links, percent):
+        found = units(stash, classes, links, percent)
+        sizes.extend(r["count"] for r in found.groupBy("u").count().collect())
+        sizes.append(classes.groupBy("g").count().agg(F.max("count")).first()[0])
+        return found
+
+    monkeypatch.setattr(joins, "_units", seen)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = answers(joins.join(df, size=1, counters=1 << 16).collect())
+    assert found == linked(rows, size=1)
+    assert sizes[-1] == 10 and sorted(sizes[:-1])[-2:] in ([1, 4], [1, 5])
+    assert {found[k][1] for k in range(1, 6)} == {1} and {found[k][1] for k in range(20, 24)} == {20}
+
+
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    rows = [(50, "one two three four"), (50, "five six seven eight"), (40, "ONE two three four"), (60, "five six seven eight")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     found = answers(joins.join(df, counters=1 << 12).collect())
-    assert found == linked(rows)
-    assert found[60][1] == found[50][1] == 40
+    assert found == linked(rows) and found[60][1] == found[50][1] == 40
 
 
 def test_join_of_hard_rows(spark, hard, nothing):

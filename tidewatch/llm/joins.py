@@ -183,8 +183,13 @@ def join(
     early = F.expr(f"n - i >= {overlap(percent, 'n + n')}").alias("early")
     tokens = stash.keep(tokens.select("token", "k", F.col("n").cast("int").alias("n"), "i", early), "tokens")
     met = tokens.groupBy("token").agg(F.count("*").alias("size"), F.max("early").alias("soon")).filter("size > 1 and soon")
-    shared = tokens.join(stash.keep(met.select("token"), "met"), "token")
+    met = met.select("token")
     heads = units.filter("u = c").select(group, "u")
+    # units of one group meet at each of its tokens
+    several = stash.keep(heads.groupBy("k").count().filter("count > 1").select("k"), "several")
+    if not several.isEmpty():
+        met = met.unionByName(lookup(tokens, several, "k", "inner").filter("early").select("token")).distinct()
+    shared = tokens.join(stash.keep(met, "met"), "token")
     active = stash.keep(shared.join(heads, "k").select("token", "u", "n", "i", "early"), "active")
     stash.drop(tokens)
 
