@@ -35,8 +35,9 @@ SALTS = 64
 BROADCAST_IDS = 300_000
 
 
-def _sets(stash: Stash, texts: DataFrame, size: int) -> DataFrame:
-    """(c, own), the sorted hashes of the set of each class, from (c, d, rows, text).
+def _sets(stash: Stash, texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(c, own), the sorted hashes of the set of each class, from (c, d, rows, text), and the stored
+    table that it reads.
 
     A text counts if its set has the digest ``d``, as other texts may have the same doc_id. Only
     classes of several rows can come up more than once, and a task gives each of them once.
@@ -57,7 +58,7 @@ def _sets(stash: Stash, texts: DataFrame, size: int) -> DataFrame:
     every = map_sets(texts.select("c", "d", "rows", "text"), size, run, "c bigint, several boolean, own binary")
     every = stash.keep(every, "sets")
     again = every.filter("several").select("c", "own").dropDuplicates(["c"])
-    return every.filter("not several").select("c", "own").unionByName(again)
+    return every.filter("not several").select("c", "own").unionByName(again), every
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -112,8 +113,11 @@ class _Links:
             named = self.stash.keep(self.classes.select("c", "d", "doc_id", "rows").join(ids, "c"), "wanted")
             few = named.count() <= BROADCAST_IDS
             texts = self.rows.join(F.broadcast(named) if few else named, "doc_id")
-            sets = _sets(self.stash, texts, self.size)
-            self.add(self.stash.keep(_linked(pairs, sets, self.percent), "links"))
+            sets, stored = _sets(self.stash, texts, self.size)
+            links = self.stash.keep(_linked(pairs, sets, self.percent), "links")
+            self.stash.drop(stored, named)
+            self.add(links)
+        self.stash.drop(pairs)
 
     def add(self, links: DataFrame) -> None:
         if not links.isEmpty():
