@@ -406,3 +406,22 @@ def test_toxicity_takes_one_text_of_an_id(spark, monkeypatch):
     toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), labels, rows=3)
     (sample,) = seen
     assert len(sample) == 6 and sorted(y for _, y in sample) == [0, 0, 0, 1, 1, 1]
+
+
+def test_training_holds_a_word_once_and_scores_slices(monkeypatch):
+    """Words are shared between windows; every slice is scored by itself, with the scores of one pass."""
+    rng = random.Random(5)
+    rows = [(toxicity.spaced(t, 10), y) for t, y in sample(rng, 80)]
+    seen = []
+    inner = toxicity._scores
+    monkeypatch.setattr(toxicity, "_scores", lambda network, flat: seen.append((flat, inner(network, flat))) or seen[-1][1])
+    monkeypatch.setattr(toxicity, "SLICE", 512)
+    whole = toxicity.Scorer.windows
+    sizes = []
+    monkeypatch.setattr(toxicity.Scorer, "windows", lambda self, texts: sizes.append(len(texts)) or whole(self, texts))
+    network = toxicity.train(rows * 2, rounds=2)
+    flat, scores = seen[0]
+    assert len({id(w) for t in flat for w in t}) == len({w for t in flat for w in t})
+    assert len(flat) > 512 and max(sizes) == 512 and sum(sizes) == len(flat) == len(scores)
+    monkeypatch.setattr(toxicity, "SLICE", len(flat))
+    assert np.allclose(inner(network, flat), np.concatenate([inner(network, flat[:512]), inner(network, flat[512:])]), atol=1e-6)

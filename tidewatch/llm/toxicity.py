@@ -35,6 +35,8 @@ BATCH = 64
 LEAST_STEPS = 30
 CUTOFF = 0.7
 _CACHE = 150_000
+# Windows of the sample that are scored at once while training, whole batches of the scorer.
+SLICE = 2048
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -258,6 +260,13 @@ class Scorer:
         return out
 
 
+def _scores(network: Network, flat: list[list[bytes]]) -> np.ndarray:
+    """Scores of windows that are held as words. A slice of them is scored at a time, and the input
+    products of its words go with it."""
+    slices = (flat[at : at + SLICE] for at in range(0, len(flat), SLICE))
+    return np.concatenate([Scorer(network).windows([b" ".join(t) for t in part])[0] for part in slices])
+
+
 def train(sample: list[tuple[list[bytes], int]], rounds: int = ROUNDS, seed: int = 7) -> Network | None:
     """Fit on (windows of a document, label); None if a class is missing."""
     if len({y for _, y in sample}) < 2:
@@ -270,7 +279,9 @@ def train(sample: list[tuple[list[bytes], int]], rounds: int = ROUNDS, seed: int
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     label = np.array([y for _, y in sample], np.float32)
-    flat = [alnum_words(t) for texts, _ in sample for t in texts]
+    # every distinct word is held once, the windows refer to it
+    held: dict[bytes, bytes] = {}
+    flat = [[held.setdefault(w, w) for w in alnum_words(t)] for texts, _ in sample for t in texts]
     counts = np.array([len(texts) for texts, _ in sample])
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     steps = 0
@@ -278,8 +289,7 @@ def train(sample: list[tuple[list[bytes], int]], rounds: int = ROUNDS, seed: int
         if r == 0:
             chosen = first + rng.integers(0, counts)
         else:
-            scorer = Scorer(network)
-            scores, _ = scorer.windows([b" ".join(t) for t in flat])
+            scores = _scores(network, flat)
             chosen = np.array([f + int(np.argmax(scores[f : f + c])) for f, c in zip(first, counts)])
         # a small sample is gone through more than once
         order = np.resize(rng.permutation(len(sample)), max(len(sample), LEAST_STEPS * BATCH))
