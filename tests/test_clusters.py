@@ -225,3 +225,33 @@ def test_detector_with_similarity_survives_storage(spark, fitted):
         Detector(mining="guess")
     with pytest.raises(ValueError):
         jobs.stream_detect_learning(DetectorModel(dataclasses.replace(fitted.config, mining="buckets"), {}, *[None] * 4), lines, None, "", "")
+
+
+def test_places_carry_no_text(spark, monkeypatch):
+    """Rows of single places hold numbers; a line's text is neither sent nor stored once for each of them,
+    nor beside its tokens."""
+    lines = [(i, " ".join(f"{'abcdefg'[(i * j) % 7]}{'uvw'[j % 3]}" for j in range(60))) for i in range(1, 30)]
+    found = spark.createDataFrame(lines, "line_no bigint, line string")
+    stored, joined = [], []
+    keep, join = cl.freeze, cl.lookup
+    monkeypatch.setattr(cl, "freeze", lambda df, label="table": stored.append(df.columns) or keep(df, label))
+    monkeypatch.setattr(cl, "lookup", lambda rows, *rest: joined.append(rows) or join(rows, *rest))
+    _, members = cl.mine_clusters(found, "line")
+    near = cl.nearest_clusters(cl.signatures(found, "line"), members)
+    assert near.count() == 7
+    assert not any({"signature", "tokens"} <= set(columns) for columns in stored)
+    assert all(rows.count() <= 2 * 7 for rows in joined if "signature" in rows.columns)
+
+
+def test_group_names_stay_short(spark, monkeypatch):
+    """The name of a part does not grow with the rounds of cutting."""
+    lines = [(i, " ".join(f"{chr(97 + (i >> (j % 9)) % 2)}{chr(97 + j % 26)}" for j in range(40))) for i in range(1, 60)]
+    longest, cut = [], cl._cut
+
+    def watched(rows, similarity):
+        longest.append(rows.selectExpr("max(length(group))").first()[0])
+        return cut(rows, similarity)
+
+    monkeypatch.setattr(cl, "_cut", watched)
+    cl.mine_clusters(spark.createDataFrame(lines, "line_no bigint, line string"), "line", similarity=0.9)
+    assert len(longest) > 1 and max(longest) <= 32
