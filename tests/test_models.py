@@ -426,3 +426,17 @@ def test_stream_of_text_files(spark, tmp_path):
     (tmp_path / "b.log").write_text("three")
     found = jobs.run_available(stream_lines(spark, str(tmp_path), 1), "text")
     assert sorted(r["line"] for r in found.collect()) == ["one", "three", "two"]
+
+
+def test_training_rows_are_dealt_once(spark, monkeypatch):
+    """Epochs shuffle no rows: they are dealt to tasks before the first one, and released at the end."""
+    from pyspark.sql.classic.dataframe import DataFrame as Rows
+
+    from tidewatch.operators import reconstruction
+
+    dealt, inner = [], Rows.repartition
+    monkeypatch.setattr(Rows, "repartition", lambda self, *by: dealt.append(by) or inner(self, *by))
+    features = spark.range(400).selectExpr("id as line_no", "sin(id) as a", "cos(id) as b")
+    _, losses = reconstruction.fit_mlp(features, ["a", "b"], (4,), 2, epochs=3, shards=4)
+    assert len(losses) == 3 and len(dealt) == 1
+    assert not spark._jsc.sc().getPersistentRDDs().size()
