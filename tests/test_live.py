@@ -125,6 +125,31 @@ def test_windows_take_late_rows_inside_the_delay_only(spark):
     assert len(found.collect()) == len(counts)  # each window is written once
 
 
+@pytest.mark.parametrize("minutes, slide, lateness", [(60, 5, "2 hours"), (25, 10, "45 minutes")])
+def test_stored_windows_equal_those_of_the_streaming_plan(spark, minutes, slide, lateness):
+    path, rng = scratch_path(spark, "late"), random.Random(minutes)
+    for k in range(4):
+        rows = [(rng.choice(["a", "b", None]), None if rng.random() < 0.1 else k * 70 + rng.randint(-150, 150)) for _ in range(40)]
+        made = spark.createDataFrame(rows, "ip string, m int")
+        made.selectExpr("ip", "timestamp_micros(1704067200123456 + m * 60000000L) as event_ts").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("ip string, event_ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    plan = jobs.stream_ip_window(stream, minutes, slide, lateness)
+    for mode in ("append", "complete"):
+        want = jobs.run_available(plan, "plan", mode).collect()
+        found = jobs.run_ip_windows(stream, "stored", minutes, slide, lateness, mode).collect()
+        assert want and sorted(map(str, found)) == sorted(map(str, want))
+
+
+def test_window_state_has_a_row_for_each_slice_and_not_for_each_window(spark):
+    from tidewatch.streaming.store import WindowStore
+
+    rows = spark.range(500).selectExpr("cast(id % 100 as string) as ip", "timestamp_micros(1704067200000000 + id * 60000000) as event_ts")
+    store = WindowStore(spark, scratch_path(spark, "windows"))
+    store.add(rows, 0)
+    store.add(rows, 0)  # a repeated micro-batch is added once
+    assert store.slices().count() == 500 and store.windows(store.slices()).count() == 500 * 12
+
+
 @pytest.mark.parametrize("delay, kept", [("2 hours", ["a", "b"]), ("1 minute", ["a", "a", "b"])])
 def test_copies_are_recognised_within_the_delay(spark, delay, kept):
     path = scratch_path(spark, "copies")

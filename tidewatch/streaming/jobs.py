@@ -14,7 +14,7 @@ from tidewatch.operators.templates import signatures
 from tidewatch.plans.detector import DetectorModel, record_fields
 from tidewatch.session import freeze, scratch_path
 from tidewatch.streaming.ip_stats import stream_ip_statistics, with_debuts
-from tidewatch.streaming.store import AddressStore, TemplateStore
+from tidewatch.streaming.store import AddressStore, TemplateStore, WindowStore
 
 
 def stream_detect(model: DetectorModel, lines: DataFrame) -> DataFrame:
@@ -190,6 +190,32 @@ def stream_ip_window(
     )
 
 
+def run_ip_windows(
+    parsed: DataFrame, label: str, minutes: int = 60, slide: int = 5, lateness: str = "1 day", mode: str = "append"
+) -> DataFrame:
+    """Run ``stream_ip_window`` over what is available, with its state in a ``WindowStore``.
+
+    The results are those of the streaming plan. Its state has a row for every window of an address
+    and lies in memory; the store has one for every slice of time and lies in files, and windows are
+    made of slices by a batch plan. ``append`` writes a window once, when the watermark has passed
+    its end; ``complete`` gives all of them.
+    """
+    spark = parsed.sparkSession
+    store = WindowStore(spark, scratch_path(spark, label), minutes, slide, lateness)
+    (
+        parsed.select("event_ts", "ip")
+        .writeStream.foreachBatch(lambda batch, batch_id: store.add(batch, batch_id, mode == "append"))
+        .option("checkpointLocation", scratch_path(spark, f"{label}-state"))
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    if mode == "complete":
+        return store.windows(store.slices())
+    store.close()
+    return store.closed()
+
+
 def stream_dedup(lines: DataFrame, time: str = "event_ts", delay: str = "1 day") -> DataFrame:
     """Distinct lines; a copy is recognised within ``delay`` of the first one's event time."""
     return lines.select("line", time).withWatermark(time, delay).dropDuplicatesWithinWatermark(["line"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,9 @@ from tidewatch.session import freeze
 _COUNTS = "template_id bigint, n bigint, first_line_no bigint"
 _TAIL = "ip string, event_us bigint, line_no bigint, version bigint"
 _PATHS = "ip string, paths bigint, version bigint"
+_SLICES = "slice timestamp, ip string, requests bigint, late_us bigint"
+_WINDOWS = "window_start timestamp, ip string, requests bigint"
+_MARKS = "version bigint, newest_us bigint, closed_us bigint"
 # Versions after which the state is written as a whole, so that a reader opens few folders.
 WHOLE = 32
 
@@ -181,3 +185,85 @@ class AddressStore(Versions):
         inside = F.col("event_us") > F.col("_newest") - self.window_minutes * 60_000_000
         kept = tail.join(F.broadcast(newest), inside).select("ip", "event_us", "line_no", "version")
         return {"tail": kept, "counts": counts.select("ip", "paths", "version")}
+
+
+class WindowStore(Versions):
+    """Requests of addresses in slices of time that no border of a sliding window cuts.
+
+    Version k has the slices of micro-batch k and, in ``windows``, the windows that the watermark
+    closed then: those that end after the watermark of the micro-batch before, up to its own, which
+    follows the newest request of earlier micro-batches. A request counts in the windows that were
+    open when it came. ``counts`` holds the newest request so far and the end of closed windows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, minutes: int = 60, slide: int = 5, lateness: str = "1 day"):
+        super().__init__(spark, path)
+        self.minutes, self.slide, self.lateness = minutes, slide, lateness
+
+    def _marks(self, before: int | None = None) -> tuple[int, int]:
+        """Newest request and end of closed windows after the versions before ``before``, in microseconds."""
+        found = self._read("counts", _MARKS, before).agg(F.max("newest_us"), F.max("closed_us")).first()
+        return found[0] or 0, found[1] or 0
+
+    def _watermark(self, newest_us: int, closed_us: int) -> int:
+        """The end up to which windows close, whole milliseconds as the engine has them."""
+        mark = F.timestamp_micros(F.lit(newest_us // 1000 * 1000)) - F.expr(f"interval {self.lateness}")
+        return max(closed_us, self.spark.range(1).select(F.unix_micros(mark)).first()[0])
+
+    def slices(self, before: int | None = None) -> DataFrame:
+        return self._read("slices", _SLICES, before)
+
+    def closed(self) -> DataFrame:
+        """Windows that have been closed."""
+        return self._read("windows", _WINDOWS, None)
+
+    def windows(self, slices: DataFrame, after_us: int | None = None, upto_us: int | None = None) -> DataFrame:
+        """window_start, ip, requests of all windows, or of those that end after and up to a time."""
+        length = F.expr(f"interval {self.minutes} minutes")
+        if upto_us is not None:
+            slices = slices.filter((F.col("slice") >= F.timestamp_micros(F.lit(after_us)) - length) & (
+                F.col("slice") < F.timestamp_micros(F.lit(upto_us))))
+        # placed by address once, as slices; the windows they lie in need no exchange of their own
+        span = F.window("slice", f"{self.minutes} minutes", f"{self.slide} minutes").alias("w")
+        rows = slices.repartition("ip").select(span, "ip", "requests", "late_us")
+        if upto_us is not None:
+            end = F.unix_micros("w.end")
+            rows = rows.filter((end > after_us) & (end <= upto_us) & (end > F.col("late_us")))
+        found = rows.groupBy("w", "ip").agg(F.sum("requests").alias("requests"))
+        return found.select(F.col("w.start").alias("window_start"), "ip", "requests")
+
+    def add(self, batch: DataFrame, version: int, closing: bool = True) -> None:
+        """Add a micro-batch (``event_ts``, ``ip``) and close the windows whose time has come."""
+        if version in self._complete("version"):
+            return
+        newest, late = self._marks(version)
+        mark = self._watermark(newest, late)
+        width = math.gcd(self.minutes, self.slide)
+        own = F.window("event_ts", f"{width} minutes").alias("w")
+        cut = batch.groupBy(own, "ip").agg(F.count("*").alias("requests"), F.max("event_ts").alias("newest"))
+        folder = f"{self.path}/version={version}/slices"
+        cut.select(
+            F.col("w.start").alias("slice"), "ip", "requests", F.lit(late).cast("bigint").alias("late_us"), "newest"
+        ).write.mode("overwrite").parquet(folder)
+        stored = self.spark.read.schema(f"{_SLICES}, newest timestamp").parquet(folder)
+        parts = {}
+        if closing:
+            # the rows of this micro-batch may still fall into windows that close now
+            found = self.slices(version).unionByName(stored.drop("newest"))
+            parts["windows"] = self.windows(found, late, mark)
+        row = stored.agg(F.max(F.unix_micros("newest")).alias("own_us")).select(
+            F.lit(version).cast("bigint").alias("version"),
+            F.greatest(F.lit(newest), "own_us").cast("bigint").alias("newest_us"),
+            F.lit(mark if closing else late).cast("bigint").alias("closed_us"),
+        )
+        self._write(f"version={version}", {**parts, "counts": row})
+
+    def close(self) -> None:
+        """Close the windows that the newest request so far leaves behind, as a version without requests."""
+        version, (newest, late) = self.latest() + 1, self._marks()
+        mark = self._watermark(newest, late)
+        none = self.spark.createDataFrame([], _SLICES)
+        row = self.spark.createDataFrame([(version, newest, mark)], _MARKS).coalesce(1)
+        self._write(f"version={version}", {
+            "slices": none, "windows": self.windows(self.slices(), late, mark), "counts": row
+        })
