@@ -190,3 +190,20 @@ def test_disabled_features_are_absent(logs_of):
     assert found.columns == ["line_no", "status_2xx", "status_4xx", "status_5xx", "path_length"]
     with pytest.raises(ValueError):
         extract_features(parse_logs(logs_of([""])), ["no_such_group"])
+
+
+def test_classes_that_ask_for_ascii_first_are_the_white_space_ones(spark):
+    codes = [c for c in [*range(0x3100), 0xFEFF, 0x1F600] if c]
+    rows = spark.createDataFrame([(c, chr(c)) for c in codes], "code int, c string")
+    found = rows.select("code", F.col("c").rlike(f"^{S.SPACES}$").alias("space"), F.col("c").rlike(f"^{S.NO_SPACE}$").alias("other"))
+    for r in found.collect():
+        assert r.space == (chr(r.code) in S.SPACE_CHARACTERS) and r.other == (not r.space), hex(r.code)
+
+
+def test_stored_row_features_are_read_instead_of_parsing_again(spark, logs_of):
+    lines = [f'10.0.0.{i % 3} - - [02/Mar/2024:07:08:{i % 60:02d} +0000] "GET /a/{i % 5} HTTP/1.1" 200 {i}' for i in range(50)]
+    parsed = parse_logs(logs_of(lines)).filter("status > 0")
+    stored, plain = extract_features(parsed, stored=True), extract_features(parsed)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect()))
+    shown = [d._jdf.queryExecution().optimizedPlan().toString().lower() for d in (stored, plain)]
+    assert "regexp" not in shown[0] and "regexp" in shown[1]
