@@ -63,6 +63,18 @@ def _shape(tokens: str, open_places: str) -> Column:
     )
 
 
+def _place_kinds(named: DataFrame) -> DataFrame:
+    """How many tokens each place of a bucket holds, and whether the wildcard is one of them."""
+    tokens = named.select("bucket", F.posexplode("tokens").alias("place", "token"))
+    # a flag and not a text, so that the counts are hashed and not sorted
+    return (
+        tokens.groupBy("bucket", "place", "token")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("bucket", "place")
+        .agg(F.count("*").alias("kinds"), F.max(F.col("token") == WILDCARD).alias("wild"))
+    )
+
+
 def mine_templates(
     df: DataFrame,
     line: str = "raw",
@@ -92,14 +104,8 @@ def mine_templates(
         "bucket", _bucket(F.when(F.col("wide"), F.lit(WILDCARD)).otherwise(F.col("lead")))
     )
     named = freeze(named.select("signature", "tokens", "n", "first_line_no", "bucket"), "buckets")
-    tokens = named.select("bucket", F.posexplode("tokens").alias("place", "token"))
-    kinds = (
-        tokens.groupBy("bucket", "place", "token")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("bucket", "place")
-        .agg(F.count("*").alias("kinds"), F.min("token").alias("token"))
-    )
-    fixed = F.count_if((F.col("kinds") == 1) & (F.col("token") != WILDCARD))
+    kinds = _place_kinds(named)
+    fixed = F.count_if((F.col("kinds") == 1) & ~F.col("wild"))
     many = F.collect_list(F.when(F.col("kinds") > max_children, F.col("place")))
     varied = F.collect_list(F.when(F.col("kinds") > 1, F.col("place")))
     rules = kinds.groupBy("bucket").agg(
