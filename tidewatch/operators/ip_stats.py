@@ -21,8 +21,10 @@ from tidewatch.operators.ordering import in_chunks, lookup, number_rows
 from tidewatch.session import freeze
 
 MAX_REQUESTS = 1000
-CHUNK_ROWS = 1_000_000
-MAX_GROUP_ROWS = 2_000_000
+CHUNK_ROWS = 250_000
+MAX_GROUP_ROWS = 1_000_000
+# Stands for the second of a row without a time; under all seconds of 64-bit microseconds.
+NO_SECOND = -(10**13)
 
 STATISTICS = ("ip_frequency", "ip_path_diversity", "ip_request_rate")
 
@@ -142,29 +144,30 @@ def _cut_by_time(df: DataFrame, window_minutes: int, max_requests: int, chunk_ro
 
     Requests are counted by second. The running count gives the chunk of a second, and the later
     chunks whose look-back of ``max_requests`` - 1 rows reaches into it get a copy of its rows. So
-    a chunk is a range of seconds and an address fills as many tasks as it has chunks.
+    a chunk is a range of seconds and an address fills as many tasks as it has chunks. The running
+    count is that of the hours before and that inside the hour, so no task holds all seconds of an
+    address.
     """
-    timed = df.withColumn("_second", F.floor(F.col("event_us") / 1_000_000))
-    in_order = Window.partitionBy("ip").orderBy("_second")
-    seconds = timed.groupBy("ip", "_second").agg(F.count("*").alias("_rows"))
-    seconds = seconds.withColumn("_upto", F.sum("_rows").over(in_order))
-    seconds = seconds.withColumn("_before", F.col("_upto") - F.col("_rows"))
-    seconds = seconds.withColumn(
-        "_home", F.dense_rank().over(Window.partitionBy("ip").orderBy(F.floor(F.col("_before") / chunk_rows)))
-    )
+    # rows without a time come first in every window, so they are one second before all others
+    second = F.coalesce(F.floor(F.col("event_us") / 1_000_000), F.lit(NO_SECOND))
+    timed = df.withColumn("_second", second)
+    numbered = _running(timed.groupBy("ip", "_second").agg(F.count("*").alias("_rows")))
+    numbered = numbered.withColumn("_home", F.floor(F.col("_before") / chunk_rows))
     # a chunk that starts after b rows looks back into seconds that end after b - max_requests + 1 rows
-    starts = seconds.groupBy("ip", "_home").agg(F.min("_before").alias("_start")).select(
-        "ip", (F.col("_start") - max_requests + 2).alias("_upto"), F.col("_home").alias("_reach")
-    )
-    reached = seconds.unionByName(starts, allowMissingColumns=True)
-    by_count = Window.partitionBy("ip").orderBy("_upto").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = reached.withColumn("_last", F.greatest("_home", F.max("_reach").over(by_count))).filter("_second is not null")
-    placed = timed.join(reached.select("ip", "_second", "_home", "_last"), ["ip", "_second"]).drop("_second")
-    marks = _path_marks(placed.select("ip", "path", "_home")).withColumn("_mark", F.lit(0))
-    rows = placed.withColumn("_chunk", F.explode(F.sequence("_home", "_last"))).withColumns(
-        {"_margin": F.col("_chunk") != F.col("_home"), "_mark": F.lit(1), "_seen": F.lit(0).cast("bigint")}
+    last_start = F.col("_upto") + max_requests - 2
+    starts = numbered.groupBy("ip", F.col("_home").alias("_chunk")).agg(F.min("_before").alias("_start"))
+    reach = F.sequence("_home", F.greatest("_home", F.floor(last_start / chunk_rows)))
+    places = (
+        numbered.withColumn("_chunk", F.explode(reach))
+        .join(starts, ["ip", "_chunk"])
+        .filter((F.col("_chunk") == F.col("_home")) | (F.col("_start") <= last_start))
+        .select("ip", "_second", "_chunk", (F.col("_chunk") != F.col("_home")).alias("_margin"))
     )
-    merged = rows.drop("_home", "_last").unionByName(marks, allowMissingColumns=True).repartition("_chunk", "ip")
+    placed = timed.join(places, ["ip", "_second"]).drop("_second")
+    own = placed.filter(~F.col("_margin")).select("ip", "path", F.col("_chunk").alias("_home"))
+    marks = _path_marks(own).withColumn("_mark", F.lit(0))
+    rows = placed.withColumns({"_mark": F.lit(1), "_seen": F.lit(0).cast("bigint")})
+    merged = rows.unionByName(marks, allowMissingColumns=True).repartition("_chunk", "ip")
     by_path = Window.partitionBy("_chunk", "ip", "path").orderBy("_mark", *_order())
     new = (F.row_number().over(by_path) == 1) & ~F.col("_margin")
     flagged = (
@@ -176,6 +179,22 @@ def _cut_by_time(df: DataFrame, window_minutes: int, max_requests: int, chunk_ro
     return result.filter(~F.col("_margin")).select(*df.columns, *STATISTICS)
 
 
+def _running(seconds: DataFrame) -> DataFrame:
+    """Add the requests of the address before each second (``_before``) and up to it (``_upto``)."""
+    seconds = seconds.withColumn("_hour", F.floor(F.col("_second") / 3600))
+    earlier = Window.partitionBy("ip").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = (
+        seconds.groupBy("ip", "_hour")
+        .agg(F.sum("_rows").alias("_rows"))
+        .select("ip", "_hour", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_hours_before"))
+    )
+    inside = Window.partitionBy("ip", "_hour").orderBy("_second")
+    counted = seconds.join(hours, ["ip", "_hour"]).withColumn(
+        "_upto", F.col("_hours_before") + F.sum("_rows").over(inside)
+    )
+    return counted.select("ip", "_second", "_upto", (F.col("_upto") - F.col("_rows")).alias("_before"))
+
+
 def _path_marks(rows: DataFrame) -> DataFrame:
     """Rows (ip, path, _chunk) of paths that an earlier chunk has, and (ip, _chunk, _seen), the
     paths of the address before the chunk, from rows with their chunk ``_home``."""
