@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -76,7 +77,9 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
     """Cut batches so that each holds about ``SLICE_BYTES`` of text, and one row at least."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.cumsum([0, *(len(x) for x in utf8(column))])
+        # lengths alone: the values of a whole batch are never held beside it
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        sizes = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(sizes, sizes[start] + SLICE_BYTES, "right")) - 1

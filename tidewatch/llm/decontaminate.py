@@ -244,6 +244,37 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, most_words: int):
     yield held
 
 
+def _finder(spark, block: list, window: int):
+    """Makes, inside a task, the function from texts to what ``Shard.find`` tells of them."""
+    shipped = spark.sparkContext.broadcast([(str(i), t) for i, t in block if i is not None])
+    return lambda: Shard(Phrases(shipped.value, window)).find
+
+
+def _search(rows: DataFrame, text: str, block: list, window: int) -> DataFrame:
+    """Add n_words, spans and items of one block of test items."""
+    fields = [
+        StructField("n_words", LongType()),
+        StructField("spans", _SPANS),
+        StructField("items", ArrayType(StringType())),
+    ]
+    finder = _finder(rows.sparkSession, block, window)
+
+    def make():
+        find_in = finder()
+
+        def work(texts):
+            found = find_in(texts)
+            return (
+                [f[0] for f in found],
+                [[{"start": a, "end": b} for a, b in f[1]] for f in found],
+                [f[2] for f in found],
+            )
+
+        return work
+
+    return map_text(rows, text, fields, make)
+
+
 def find(
     df: DataFrame,
     benchmark: DataFrame,
@@ -260,41 +291,17 @@ def find(
     an empty benchmark hits nothing. Columns of ``df`` with these names are replaced.
     """
 
-    def search(rows: DataFrame, block: list) -> DataFrame:
-        named = [(str(i), t) for i, t in block if i is not None]
-        shipped = rows.sparkSession.sparkContext.broadcast(named)
-        fields = [
-            StructField("n_words", LongType()),
-            StructField("spans", _SPANS),
-            StructField("items", ArrayType(StringType())),
-        ]
-
-        def make():
-            shard = Shard(Phrases(shipped.value, window))
-
-            def work(texts):
-                found = shard.find(texts)
-                return (
-                    [f[0] for f in found],
-                    [[{"start": a, "end": b} for a, b in f[1]] for f in found],
-                    [f[2] for f in found],
-                )
-
-            return work
-
-        return map_text(rows, text, fields, make)
-
     parts = blocks(benchmark, item_id, item_text, block_words)
     one, more = next(parts), next(parts, None)
     if more is None:
-        return search(df, one)
+        return _search(df, text, one, window)
     # more test text than one block: number the rows, search block by block, merge by row
     stash = Stash(df.sparkSession, "decontaminate")
     key = fresh(df, "_row")
     rows = stash.keep(df.withColumn(key, F.monotonically_increasing_id()), "rows")
     found = None
     while one is not None:
-        hits = search(rows.select(key, text), one).drop(text)
+        hits = _search(rows.select(key, text), text, one, window).drop(text)
         hits = stash.keep(hits, "hits")
         found = hits if found is None else found.unionByName(hits)
         one, more = more, next(parts, None)
@@ -339,27 +346,50 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+def _cut(batch: pa.RecordBatch, at: int, texts: list[bytes], found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """``batch`` with the spans cut out of its text column ``at``, without rows that were nothing else."""
+    out = [remove(raw, spans) for raw, spans in zip(texts, found)]
+    keep = [not spans or bool(alnum_words(left)) for left, spans in zip(out, found)]
+    new = pa.array(out, pa.binary()).cast(pa.string())
+    columns = list(batch.columns)
+    columns[at] = pc.if_else(columns[at].is_valid(), new, pa.scalar(None, pa.string()))
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+
+def clean(
+    df: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """``df`` with the hit words cut out of its texts.
 
     Texts without a hit stay as they are, null ones too. A text that has no word left was benchmark
-    text as a whole; its row goes. ``df`` must not have columns n_words, spans or items.
+    text as a whole; its row goes. ``df`` must not have columns n_words, spans or items. Where one
+    block holds the test items, a slice is searched and cut in one pass, by one Python worker a core.
     """
-    found = find(df, benchmark, text, **options)
     schema, names = df.schema, df.columns
-    at, spans_at = names.index(text), len(names) + 1
+    at = names.index(text)
+    parts = blocks(benchmark, item_id, item_text, block_words)
+    one, more = next(parts), next(parts, None)
+    if more is None:
+        finder = _finder(df.sparkSession, one, window)
 
-    def run(batches):
+        def search_and_cut(batches):
+            find_in = finder()
+            for batch in sliced(batches, text):
+                texts = utf8(batch.column(at))
+                yield _cut(batch, at, texts, [spans for _, spans, _ in find_in(texts)])
+
+        return df.mapInArrow(search_and_cut, schema)
+    found = find(df, benchmark, text, item_id, item_text, window, block_words)
+
+    def cut(batches):
         for batch in sliced(batches, text):
-            texts, out, keep = utf8(batch.column(at)), [], []
-            for raw, spans in zip(texts, batch.column(spans_at).to_pylist()):
-                left = remove(raw, [(s["start"], s["end"]) for s in spans])
-                keep.append(not spans or bool(alnum_words(left)))
-                out.append(left)
-            new = pa.array(out, pa.binary()).cast(pa.string())
-            valid = batch.column(at).is_valid()
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pc.if_else(valid, new, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-    return found.select(*df.columns, "n_words", "spans").mapInArrow(run, schema)
+            spans = [[(s["start"], s["end"]) for s in own] for own in batch.column(len(names)).to_pylist()]
+            yield _cut(batch.select(names), at, utf8(batch.column(at)), spans)
+
+    return found.select(*names, "spans").mapInArrow(cut, schema)
