@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -17,6 +18,10 @@ from tidewatch.session import scratch_path
 
 # Text handled at once inside a task, so that word lists stay small beside the Arrow batch.
 SLICE_BYTES = 4 << 20
+# The same where each row stands alone, so that a slice need not be long.
+ROW_SLICE_BYTES = 1 << 20
+# An Arrow batch between Spark and a worker. Either side of the pipe holds one or two of them.
+BATCH_BYTES = "8MB"
 
 # ASCII tables for bytes.translate: every byte that is no word character becomes a blank.
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -62,6 +67,9 @@ def worker_cache(name: str, make: Callable):
     kept = holder.__dict__.setdefault("kept", {})
     if name not in kept:
         kept.clear()
+        # what the operator before left behind goes back before the new value is made
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         kept[name] = make()
     return kept[name]
 
@@ -73,8 +81,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``SLICE_BYTES`` of text, and one row at least."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` for long rows, unless the session names a size of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, spark.conf.get(name, BATCH_BYTES))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``most`` or ``SLICE_BYTES`` of text, and one row at least."""
+    most = SLICE_BYTES if most is None else most
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         # lengths alone: the values of a whole batch are never held beside it
@@ -82,7 +97,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         sizes = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         start = 0
         while start < batch.num_rows:
-            end = int(np.searchsorted(sizes, sizes[start] + SLICE_BYTES, "right")) - 1
+            end = int(np.searchsorted(sizes, sizes[start] + most, "right")) - 1
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
@@ -94,6 +109,7 @@ def map_text(df: DataFrame, text: str, fields: list[StructField], make: Callable
     ``make()`` runs once in a task and returns a function from a list of UTF-8 texts to a list of
     columns, one for each of ``fields``. A field named like a column of ``df`` replaces it.
     """
+    bounded_batches(df.sparkSession)
     replaced = {f.name for f in fields}
     names = [c for c in df.columns if c not in replaced]
     kept = [f for f in df.schema.fields if f.name not in replaced]
@@ -105,7 +121,7 @@ def map_text(df: DataFrame, text: str, fields: list[StructField], make: Callable
 
         work, out = make(), to_arrow_schema(schema)
         types_ = {f.name: out.field(f.name).type for f in fields}
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, ROW_SLICE_BYTES):
             added = work(utf8(batch.column(batch.schema.get_field_index(text))))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             columns += [

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from tidewatch.llm.common import alnum_words, map_text, sliced, utf8, worker_cache
+from tidewatch.llm.common import alnum_words, bounded_batches, map_text, sliced, utf8, worker_cache
 
 WINDOW = 48
 STRIDE = 24
@@ -35,6 +35,8 @@ BATCH = 64
 LEAST_STEPS = 30
 CUTOFF = 0.7
 _CACHE = 150_000
+# Words whose grams are summed at once, and spare rows of the cache.
+_PART = 4096
 # Windows of the sample that are scored at once while training, whole batches of the scorer.
 SLICE = 2048
 
@@ -114,8 +116,12 @@ class Network:
         return np.concatenate([self.p["word"][own], total], 1), (own, grams, owner, counts)
 
     def project(self, words: list[bytes]) -> np.ndarray:
-        """Input products of words for all gates of both directions."""
-        return self.vectors(words)[0] @ self.p["input"] + self.p["bias"]
+        """Input products of words for all gates of both directions. Grams are many times the words'
+        size, so they are summed for some words at a time."""
+        inputs = np.empty((len(words), 2 * WIDTH), np.float32)
+        for start in range(0, len(words), _PART):
+            inputs[start : start + _PART] = self.vectors(words[start : start + _PART])[0]
+        return inputs @ self.p["input"] + self.p["bias"]
 
     def _pass(self, x, mask, weights, order, keep):
         n, h = x.shape[0], HIDDEN
@@ -219,18 +225,24 @@ class Scorer:
 
     def __init__(self, network: Network):
         self.network, self.index = network, {}
+        # filled from the front, so that few new words copy nothing; row 0 is a place without a word
         self.rows = np.zeros((1, 6 * HIDDEN), np.float32)
 
     def _numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.index) > _CACHE:
-            self.index, self.rows = {}, self.rows[:1]
+            self.index = {}
         index = self.index
         new = list({w for t in texts for w in t if w not in index})
+        used = len(index) + 1
+        if used + len(new) > len(self.rows):
+            room = np.empty((used + len(new) + _PART, 6 * HIDDEN), np.float32)
+            room[:used] = self.rows[:used]
+            self.rows = room
         for start in range(0, len(new), 50_000):
             part = new[start : start + 50_000]
-            at = len(self.rows)
+            at = used + start
             index.update(zip(part, range(at, at + len(part))))
-            self.rows = np.concatenate([self.rows, self.network.project(part)])
+            self.rows[at : at + len(part)] = self.network.project(part)
         return [np.array([index[w] for w in t], np.int64) for t in texts]
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
@@ -340,6 +352,7 @@ def fit(
     Of several texts under one chosen id the one with the lowest hash is taken, so at most
     ``2 * rows`` texts reach the driver.
     """
+    bounded_batches(documents.sparkSession)
     known = (
         labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col("toxic").cast("int").alias("y"))
         .filter("id is not null and y is not null")
