@@ -83,11 +83,14 @@ def _statistics(window_minutes: int, max_requests: int):
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent, paths = state.get if state.exists else ([], 0)
-        both = pd.concat(list(frames), ignore_index=True)
-        debuts = both.loc[both["_debut"], "path"]
-        rows = both[~both["_debut"]].drop(columns="_debut")
-        rows = rows.sort_values(["event_us", "line_no"], ignore_index=True)
-        times = np.concatenate([np.asarray(recent, dtype=np.int64), rows["event_us"].to_numpy()])
+        frames = list(frames)
+        both = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        # arrays, as most addresses have few rows and a frame's operations cost more than those
+        debut, path = both["_debut"].to_numpy(dtype=bool), both["path"].to_numpy()
+        own = np.flatnonzero(~debut)
+        own = own[np.lexsort((both["line_no"].to_numpy()[own], both["event_us"].to_numpy()[own]))]
+        rows = both.drop(columns="_debut").take(own).reset_index(drop=True)
+        times = np.concatenate([np.asarray(recent, dtype=np.int64), both["event_us"].to_numpy()[own]])
         at = np.arange(len(recent), len(times))
         # times are in order inside a batch; a batch that arrives late only sees an older tail
         ordered = np.maximum.accumulate(times)
@@ -95,12 +98,16 @@ def _statistics(window_minutes: int, max_requests: int):
         start = np.minimum(np.maximum(start, at - max_requests + 1), at)
         frequency = at - start + 1
         minutes = np.maximum((times[at] - times[start]) / 60_000_000, 1.0)
-        new = rows["path"].isin(debuts) & ~rows["path"].duplicated()
-        seen = paths + new.cumsum()
-        state.update(([int(t) for t in times[-max_requests:]], int(seen.iloc[-1])))
+        debuts, new = set(path[debut]), np.zeros(len(own), np.int64)
+        for i, p in enumerate(path[own]):
+            if p in debuts:
+                debuts.remove(p)
+                new[i] = 1
+        seen = paths + np.cumsum(new)
+        state.update(([int(t) for t in times[-max_requests:]], int(seen[-1])))
         yield rows.assign(
             ip_frequency=frequency,
-            ip_path_diversity=seen.astype("int64"),
+            ip_path_diversity=seen,
             ip_request_rate=np.where(frequency > 1, frequency / minutes, 0.0),
         )
 
