@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, licenses, minhash, repeats, toxicity
 from tidewatch.llm.queries import QUERIES
@@ -248,6 +249,38 @@ def test_statistics_equal_plain_comparison():
     assert (index.samples == index.order[index.runs]).all()
 
 
+def test_sieve_lets_its_hashes_pass(spark):
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    sieve = repeats.Sieve(hashes, 5000)
+    inside = np.array([r.h for r in hashes.collect()], np.int64)
+    others = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 20_000)
+    assert sieve.passing(inside).all()
+    assert sieve.passing(others).mean() < 0.05
+    assert not repeats.Sieve(hashes.filter("false"), 0).passing(others).any()
+
+
+@pytest.mark.parametrize("bits", [(64, 64), (1 << 16, 1 << 28)])
+def test_bytes_of_segments_are_never_shuffled_to_find_equal_ones(spark, monkeypatch, bits):
+    """Only the different segments of a shared anchor travel with their bytes, and a full sieve changes no result."""
+    monkeypatch.setattr(repeats, "SIEVE_BITS", bits)
+    plans, inner = {}, repeats.Stash.keep
+    monkeypatch.setattr(
+        repeats.Stash, "keep", lambda self, df, label: plans.update({label: df._jdf.queryExecution().toString()}) or inner(self, df, label)
+    )
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcde fgh", k=n))
+    shared = text(300)
+    rows = [(k, text(400) + shared[k : k + 200] + text(90)) for k in range(30)]
+    rows += [(50, shared), (51, shared + "!"), (51, "?" + shared), (51, shared + "!"), (52, text(40) + shared[:120])]
+    wanted = removed(rows)
+    for r in repeats.remove(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect():
+        assert wanted[r.doc_id, r.n_bytes, bytes(r.kept)] == (sum(s.end - s.start for s in r.spans), len(r.spans))
+    physical = lambda label: plans[label][plans[label].index("== Physical Plan ==") :]
+    assert "bytes" not in physical("firsts") and "bytes" not in physical("others") and "bytes" not in physical("shared")
+    assert "Exchange hashpartitioning" not in physical("mixed")
+    assert physical("segments").count("Join") == 1  # with ids of whole copies
+
+
 def test_repeats_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     wanted = {(i, n): (hashlib.sha256(kept).hexdigest(), *v) for (i, n, kept), v in removed(rows).items()}

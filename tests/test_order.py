@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import ordering, prep, quantiles, stats
 from tidewatch.operators.ip_stats import ip_statistics, moving_average
+from tidewatch.session import freeze
 
 
 def replay(rows, minutes=60, cap=1000):
@@ -177,3 +179,12 @@ def test_entropy(spark):
     df = spark.createDataFrame([("a",)] * 4 + [("b",)] * 2 + [("c",)] * 2, "v string")
     assert stats.entropy(df, "v").first()[0] == pytest.approx(1.5)
     assert stats.entropy(df.filter("false"), "v").first()[0] == 0.0
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Files of a stored job's shuffles go with the job, and a setting of the session stays as it was."""
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before = files()
+    stored = freeze(spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).agg(F.count("*").alias("n")))
+    assert not files() - before
+    assert stored.agg(F.sum("n")).first()[0] == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

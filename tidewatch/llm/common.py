@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tidewatch.session import scratch_path
+from tidewatch.session import scratch_path, write_stored
 
 # Text handled at once inside a task, so that word lists stay small beside the Arrow batch.
 SLICE_BYTES = 4 << 20
@@ -142,7 +142,7 @@ class Stash:
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{label}"
-        df.write.option("compression", "zstd").parquet(path)
+        write_stored(df, path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.stash_path = path
         return kept

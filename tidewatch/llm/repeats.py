@@ -2,11 +2,11 @@
 
 Equal strings of ``LENGTH`` bytes share the smallest hash of their ``GRAM``-byte pieces, so a hash
 seen once in the corpus cannot lie in a repeat. Neighbouring strings with one such anchor form a
-segment; segments whose anchor occurs again are brought together by it, equal ones are joined
-before the shuffle, and the different ones are indexed in chunks: a Burrows-Wheeler transform in
-runs with the suffixes at the run heads sampled, and matching statistics streamed from them (bytes
-are compared at run heads only; inside a run the statistic of a place is that of the place before
-less one). Suffixes linked by statistics of ``LENGTH`` or more begin with one string; all but the
+segment; only segments whose anchor occurs again leave their task, and numbers alone tell which of
+them are equal. The different ones of an anchor are brought together and indexed in chunks: a
+Burrows-Wheeler transform in runs with the suffixes at the run heads sampled, and matching
+statistics streamed from them (bytes are compared at run heads only; inside a run the statistic of
+a place is that of the place before less one). Suffixes linked by statistics of ``LENGTH`` or more begin with one string; all but the
 first in corpus order are marked. Anchors with very many different segments are resolved string by
 string in an aggregate instead, which gives the same marks.
 """
@@ -28,9 +28,15 @@ GRAM = 16
 CROWD = 8000
 # Bytes of segments in one index; an anchor's segments are never split over two.
 CHUNK = 1 << 18
-# Repeated anchors that may be broadcast; beyond it the join is shuffled.
-BROADCAST_ANCHORS = 3_000_000
-_BLOCK = 1 << 18
+# Ids of copied texts that may be broadcast; beyond it the join is shuffled.
+BROADCAST_COPIES = 750_000
+# Bits of a sieve for each value, and the least and the most of all (32 MB for every executor).
+SIEVE_SHARE, SIEVE_BITS = 16, (1 << 16, 1 << 28)
+# Places hashed at once, so that their hashes stay in a cache.
+_BLOCK = 1 << 15
+# Bits of one of three numbers that share 63.
+_THIRD = 21
+_LAST = (1 << _THIRD) - 1
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,7 +76,8 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
             best = np.minimum(best[: len(best) - (grams - width)], best[grams - width :])
         anchor = (best[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         starts = np.arange(low, low + n)
-        owner = np.searchsorted(ends, starts, "right")
+        own = np.arange(np.searchsorted(ends, low, "right"), np.searchsorted(ends, low + n - 1, "right") + 1)
+        owner = np.repeat(own, np.diff(np.minimum(ends[own], low + n), prepend=low))
         valid = starts + length <= ends[owner]
         places = np.flatnonzero(valid)
         if not len(places):
@@ -88,10 +95,50 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+class Sieve:
+    """Set of 64-bit hashes that tasks test rows against, as two bits for each hash.
+
+    Every hash of the set passes and, rarely, others do. Its size has an upper bound, beyond which
+    more others pass; so it may only hold back rows that would not change a result.
+    """
+
+    def __init__(self, hashes: DataFrame, most: int):
+        """``hashes``: one bigint column of at most about ``most`` values."""
+        wanted = 1 << max(1, SIEVE_SHARE * most - 1).bit_length()
+        bits = min(max(wanted, SIEVE_BITS[0]), SIEVE_BITS[1])
+        value = F.col(hashes.columns[0])
+        places = F.explode(F.array(value, F.shiftrightunsigned(value, 32))).alias("at")
+        at = F.col("at").bitwiseAND(F.lit(bits - 1))
+        words = (
+            hashes.select(places)
+            .select(F.shiftright(at, 6).cast("int").alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+            .groupBy("word")
+            .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+            .toArrow()
+        )
+        table = np.zeros(bits // 64, np.uint64)
+        table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+        self.sent, self.bits = hashes.sparkSession.sparkContext.broadcast(table), bits
+
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        table, last, found = self.sent.value, np.uint64(self.bits - 1), None
+        for shift in (0, 32):
+            at = hashes.view(np.uint64) >> np.uint64(shift) & last
+            hit = table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) != 0
+            found = hit if found is None else found & hit
+        return found
+
+    def drop(self) -> None:
+        self.sent.destroy()
+
+
 class RunIndex:
     """Run-length index of several byte strings, each closed by an end mark of its own."""
 
     WIDE = 7  # symbols of nine bits in one 64-bit code
+    # smallest codes whose first, second, .. symbol from the end is not empty; codes of the first symbols alone
+    _STEPS = 1 << 9 * np.arange(WIDE, dtype=np.int64)
+    _FIRST = np.array([(1 << 63) - (1 << 9 * (7 - k)) for k in range(WIDE + 1)], np.int64)
 
     def __init__(self, parts: list[bytes]):
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -106,7 +153,10 @@ class RunIndex:
         self.to_mark = self.marks[self.part] - np.arange(n)
         self.code = np.zeros(n, np.int64)
         for k in range(self.WIDE):
-            self.code = self.code << 9 | np.where(self.to_mark > k, symbols[k : n + k], 0)
+            self.code <<= 9
+            self.code |= symbols[k : n + k]
+        short = np.flatnonzero(self.to_mark < self.WIDE)
+        self.code[short] &= self._FIRST[self.to_mark[short]]
         self.n, self.symbols = n, symbols[:n]
         self.order = self._sorted()
         before = self.order - 1
@@ -122,10 +172,13 @@ class RunIndex:
     def _sorted(self) -> np.ndarray:
         """Suffix array by prefix doubling from seven symbols on; end marks break all ties."""
         n = self.n
-        mark = np.where(self.to_mark < self.WIDE, self.part + 1, 0)
-        order = np.lexsort((mark, self.code))
+        order = np.argsort(self.code)
         new = np.ones(n, bool)
-        new[1:] = (np.diff(self.code[order]) != 0) | (np.diff(mark[order]) != 0)
+        new[1:] = np.diff(self.code[order]) != 0
+        # what is left of a part before its mark, if short, is one of a kind and stands by part
+        short = np.flatnonzero(self.to_mark[order] < self.WIDE)
+        order[short] = order[short][np.lexsort((order[short], self.code[order[short]]))]
+        new[short] = True
         heads = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank = np.empty(n, np.int64)
         rank[order] = heads
@@ -135,8 +188,13 @@ class RunIndex:
             places = np.flatnonzero(tied)
             own, group = order[places], heads[places]
             second = rank[own + step]  # ties end before their marks, so this stays inside
-            resort = np.lexsort((second, group))
-            own, second = own[resort], second[resort]
+            if n <= 1 << _THIRD:
+                # three numbers in one, so that they are sorted and not their places
+                packed = np.sort((group << 2 * _THIRD) | (second << _THIRD) | own)
+                own, second = packed & _LAST, packed >> _THIRD & _LAST
+            else:
+                resort = np.lexsort((second, group))
+                own, second = own[resort], second[resort]
             order[places] = own
             fresh = np.ones(len(places), bool)
             fresh[1:] = (np.diff(group) != 0) | (np.diff(second) != 0)
@@ -154,10 +212,7 @@ class RunIndex:
         live = np.flatnonzero(most > 0)
         while len(live):
             x = self.code[a[live] + done[live]] ^ self.code[b[live] + done[live]]
-            equal = np.full(len(live), self.WIDE)
-            for k in range(self.WIDE):
-                differs = (x >> 9 * (self.WIDE - 1 - k) & 511 != 0) & (equal == self.WIDE)
-                equal[differs] = k
+            equal = self.WIDE - np.searchsorted(self._STEPS, x, "right")
             done[live] = np.minimum(done[live] + equal, most[live])
             live = live[(equal == self.WIDE) & (done[live] < most[live])]
         return done
@@ -199,12 +254,8 @@ def _marked(batches, length: int):
         inside = np.arange(index.n) - index.starts[index.part]
         at = firsts[index.part] + inside
         # corpus order of every place: document, start; places of one document and start are one
-        order = np.lexsort((at, docs[index.part]))
-        new = np.ones(index.n, bool)
-        d, a = docs[index.part][order], at[order]
-        new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1])
-        rank = np.empty(index.n, np.int64)
-        rank[order] = np.cumsum(new)
+        document = np.unique(docs, return_inverse=True)[1]
+        rank = document[index.part] * (at.max() + 1) + at
         hit = index.repeats(rank, length)
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
         low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -215,12 +266,14 @@ def _marked(batches, length: int):
     held, size, last = [], 0, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= CHUNK and row[0] != last:
+            if row == last:
+                continue  # of rows that come twice
+            if size >= CHUNK and row[0] != last[0]:
                 yield settle(held)
                 held, size = [], 0
             held.append(row)
             size += len(row[4])
-            last = row[0]
+            last = row
     yield settle(held) if held else empty
 
 
@@ -240,7 +293,7 @@ def covers(df: DataFrame, doc: str, th: str, text: str, length: int = LENGTH) ->
     )
     copies = later.select("doc", "th", F.lit(0).cast("bigint").alias("s"), (F.col("size") - length + 1).alias("n"))
     ids = later.select("doc", "th")
-    few = later.count() <= BROADCAST_ANCHORS // 4
+    few = later.count() <= BROADCAST_COPIES
     single = rows.filter(F.octet_length("t") >= length).join(
         F.broadcast(ids) if few else ids, ["doc", "th"], "left_anti"
     ).select("doc", "th", "t")
@@ -252,12 +305,14 @@ def covers(df: DataFrame, doc: str, th: str, text: str, length: int = LENGTH) ->
 
     repeated = single.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     repeated = stash.keep(repeated.filter("n > 1").select("h"), "anchors")
+    again = Sieve(repeated, repeated.count())
 
     def cut(batches):
-        names = ["h", "doc", "th", "s", "bytes"]
+        names = ["h", "doc", "th", "s", "n", "bytes"]
         for batch in sliced(batches, "t"):
             texts = utf8(batch.column(2))
-            number, start, n, h = segments(texts, length)
+            found = segments(texts, length)
+            number, start, n, h = (c[again.passing(found[3])] for c in found)
             owner = pa.array(number)
             parts = [
                 texts[k][s : s + c + length - 1]
@@ -265,34 +320,49 @@ def covers(df: DataFrame, doc: str, th: str, text: str, length: int = LENGTH) ->
             ]
             columns = [pa.array(h), batch.column(0).take(owner), batch.column(1).take(owner)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(start), pa.array(parts, pa.binary())], names=names
+                [*columns, pa.array(start), pa.array(n), pa.array(parts, pa.binary())], names=names
             )
 
-    shape = "h bigint, doc bigint, th bigint, s bigint, bytes binary"
-    few = repeated.count() <= BROADCAST_ANCHORS
-    found = single.mapInArrow(cut, shape).join(F.broadcast(repeated) if few else repeated, "h", "left_semi")
-    found = stash.keep(found.withColumn("c", F.xxhash64("bytes")), "segments")
-    # equal segments are one from here on; their first place stands for them
-    kinds = stash.keep(
-        found.groupBy("h", "bytes").agg(F.min(F.struct("doc", "s", "th")).alias("f")).select("h", "bytes", "f.*"),
-        "kinds",
+    shape = "h bigint, doc bigint, th bigint, s bigint, n bigint, bytes binary"
+    found = stash.keep(single.mapInArrow(cut, shape).withColumn("c", F.xxhash64("bytes")), "segments")
+    # equal segments are one from here on, by numbers alone; their first place stands for them
+    numbers = found.select("h", "c", "n", "doc", "s", "th")
+    firsts = numbers.groupBy("h", "c", "n").agg(
+        F.min(F.struct("doc", "s", "th")).alias("f"), F.count("*").alias("copies")
     )
-    firsts = kinds.select("h", F.xxhash64("bytes").alias("c"), "doc", "s", "th")
-    count_ = F.octet_length("bytes").cast("bigint") - length + 1
-    others = (
-        found.select("h", "c", "doc", "s", "th", count_.alias("n"))
-        .join(firsts.toDF("h", "c", "fd", "fs", "ft"), ["h", "c"])
-        .filter("doc != fd or s != fs")
-        .select("doc", "th", "s", "n")
+    firsts = stash.keep(firsts.select("h", "c", "n", "copies", "f.*"), "firsts")
+    several = firsts.filter("copies > 1").select("h", "c", "n", F.col("doc").alias("fd"), F.col("s").alias("fs"))
+    others = numbers.join(several, ["h", "c", "n"]).filter("doc != fd or s != fs").select("doc", "th", "s", "n")
+    others = stash.keep(others, "others")
+    shared = firsts.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    shared = stash.keep(shared, "shared")
+    crowds = np.array([r["h"] for r in shared.filter(F.col("kinds") > CROWD).collect()], np.int64)
+    place = F.xxhash64("doc", "th", "s").alias("k")
+    first = Sieve(firsts.select("h", place).join(shared.select("h"), "h").select("k"), firsts.count())
+
+    def choose(batches):
+        # later copies that pass as well are marked as what they are
+        for batch in batches:
+            chosen = batch.filter(pa.array(first.passing(batch.column(5).to_numpy())))
+            crowded = pa.array(np.isin(chosen.column(0).to_numpy(), crowds))
+            yield pa.RecordBatch.from_arrays(
+                [*chosen.columns[:5], crowded], names=["h", "doc", "th", "s", "bytes", "crowded"]
+            )
+
+    mixed = found.select("h", "doc", "th", "s", "bytes", place).mapInArrow(
+        choose, "h bigint, doc bigint, th bigint, s bigint, bytes binary, crowded boolean"
     )
-    shared = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = stash.keep(kinds.join(shared, "h"), "mixed")
-    chunks = mixed.filter(F.col("kinds") <= CROWD).select("h", "doc", "th", "s", "bytes")
+    mixed = stash.keep(mixed, "mixed")
+    stash.drop(whole, repeated, found, firsts, shared)
+    again.drop()
+    first.drop()
+    count_ = F.octet_length("bytes").cast("bigint") - length + 1
+    chunks = mixed.filter("not crowded").select("h", "doc", "th", "s", "bytes")
     marked = (
-        chunks.repartition("h").sortWithinPartitions("h", "doc", "s")
+        chunks.repartition("h").sortWithinPartitions("h", "doc", "s", "th")
         .mapInArrow(lambda batches: _marked(batches, length), "doc bigint, th bigint, s bigint, n bigint")
     )
-    strings = mixed.filter(F.col("kinds") > CROWD).select(
+    strings = mixed.filter("crowded").select(
         "doc", "th", "s", "bytes", F.explode(F.sequence(F.lit(1), count_.cast("int"))).alias("k")
     ).select("doc", "th", (F.col("s") + F.col("k") - 1).alias("s"), F.substring("bytes", F.col("k"), F.lit(length)).alias("w"))
     earliest = strings.groupBy("w").agg(F.min(F.struct("doc", "s")).alias("e"), F.count("*").alias("m"))
@@ -302,7 +372,7 @@ def covers(df: DataFrame, doc: str, th: str, text: str, length: int = LENGTH) ->
         .select("doc", "th", "s", F.lit(1).cast("bigint").alias("n"))
     )
     out = stash.keep(copies.unionByName(others).unionByName(marked).unionByName(alone), "covers")
-    stash.drop(whole, later, repeated, found, kinds, mixed)
+    stash.drop(later, others, mixed)
     return out
 
 

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Shuffle files go when the job that wrote them ends, and not when the driver collects its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
@@ -55,6 +58,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
 
 
+def write_stored(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet and drop the shuffle files of that one job, which nothing reads again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+
+
 def freeze(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return the stored table.
 
@@ -62,7 +76,7 @@ def freeze(df: DataFrame, label: str = "table") -> DataFrame:
     re-samples) the rows, and keeps column pruning for whatever reads the result.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    write_stored(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
