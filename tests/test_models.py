@@ -176,6 +176,35 @@ def test_gradients_match_differences():
         assert grads[name][at] == pytest.approx((losses[0] - losses[1]) / (2 * step), rel=1e-3, abs=1e-7)
 
 
+def test_training_steps_write_over_arrays_made_once():
+    """Two mini-batches of one size share their arrays, and steps equal the formulas bit by bit."""
+    net, rng = Network(5, (6, 4), 2, seed=1), np.random.default_rng(2)
+    x = [rng.normal(size=(16, 5)) for _ in range(2)]
+    plain, dice = Network(5, (6, 4), 2, seed=1), np.random.default_rng(9)
+    h = x[0]
+    for i in range(plain.depth):
+        z = h @ plain.p[f"w{i}"] + plain.p[f"b{i}"]
+        if i in plain.plain:
+            h = z
+            continue
+        a = np.maximum(z, 0)
+        norm = (a - a.mean(axis=0)) * (1.0 / np.sqrt(a.var(axis=0) + plain.epsilon))
+        h = (norm * plain.p[f"g{i}"] + plain.p[f"s{i}"]) * ((dice.random(a.shape) >= plain.dropout) / (1.0 - plain.dropout))
+    loss, grads = net.gradients(x[0], np.random.default_rng(9))
+    assert loss == float(((h - x[0]) ** 2).mean())
+    rooms = [a for room in net._room(16) for a in room.values()]
+    net.gradients(x[1], rng)
+    assert all(a is b for a, b in zip(rooms, [a for room in net._room(16) for a in room.values()]))
+    adam, before = Adam(), {k: v.copy() for k, v in net.p.items()}
+    m = v = {k: np.zeros_like(a) for k, a in before.items()}
+    for step in (1, 2):
+        adam.update(net.p, grads)
+        m = {k: 0.9 * m[k] + (1 - 0.9) * g for k, g in grads.items()}
+        v = {k: 0.999 * v[k] + (1 - 0.999) * g * g for k, g in grads.items()}
+        before = {k: before[k] - 0.001 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) for k in before}
+    assert all(np.array_equal(net.p[k], before[k]) for k in before)
+    assert all(np.array_equal(adam.first[k], m[k]) and np.array_equal(adam.second[k], v[k]) for k in before)
+
 def test_default_network_size():
     net = Network(19)
     assert net.sizes == [19, 64, 32, 16, 8, 4, 8, 16, 32, 64, 19]
