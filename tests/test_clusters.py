@@ -255,3 +255,31 @@ def test_group_names_stay_short(spark, monkeypatch):
     monkeypatch.setattr(cl, "_cut", watched)
     cl.mine_clusters(spark.createDataFrame(lines, "line_no bigint, line string"), "line", similarity=0.9)
     assert len(longest) > 1 and max(longest) <= 32
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_are_counted_by_hash(spark):
+    rows = spark.createDataFrame(
+        [("g", "a b <*>"), ("g", "a c <*>"), ("g", "a d  <*>"), ("h", "x")], "group string, signature string"
+    )
+    found = cl._places(rows)
+    assert "SortAggregate" not in physical(found)
+    got = {(r.group, r.place): (r.kinds, r.wild) for r in found.collect()}
+    assert got == {("g", 0): (1, False), ("g", 1): (3, False), ("g", 2): (1, True), ("h", 0): (1, False)}
+
+
+def test_lines_and_clusters_are_compared_once_and_by_all_cores(spark, monkeypatch):
+    """A pair's texts are split once, no list of a cluster's places is gathered, and ties go to the smallest id."""
+    plans, inner = {}, cl.freeze
+    monkeypatch.setattr(cl, "freeze", lambda df, label="table": plans.update({label: physical(df)}) or inner(df, label))
+    held = [(f"4\x01{t[0]}", i, t) for i, t in enumerate(["a b c d", "a x c d", "a b c z", "b b c d"], 5)]
+    members = spark.createDataFrame([(b, i, t, t.split(" ")) for b, i, t in held], cl.MEMBER_SCHEMA)
+    lines = spark.createDataFrame([("a b c q",), ("a q c d",), ("a q q q",), ("b b  c d",)], "signature string")
+    near = {r.signature: (r.template_id, r.template) for r in cl.nearest_clusters(lines, members).collect()}
+    assert near == {"a b c q": (5, "a b c d"), "a q c d": (5, "a b c d"), "b b  c d": (8, "b b c d")}
+    assert "collect_list" not in plans["index"] and "Window" in plans["index"]
+    assert "SortAggregate" not in plans["best"] and plans["best"].count("split(signature") == 2  # for buckets, for pairs
+    assert "REPARTITION_BY_NUM" in plans["best"]
